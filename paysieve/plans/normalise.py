@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paysieve.fixtures import payload_rows, table
 from paysieve.functions import text as T
 from paysieve.plans.registry import query
+from paysieve.session import reuse
 
 P = F.col("payload")
 
@@ -75,7 +76,7 @@ def _fix(spark, sf):
 
 def normalised(df, raw: str = "payload"):
     """Adds norm, chain and depth to rows that carry a raw text."""
-    return df.withColumn("n_", T.normalise(F.col(raw))).withColumns({
+    return df.withColumn("n_", reuse(f"normalise:{raw}", lambda: T.normalise(F.col(raw)))).withColumns({
         "norm": F.col("n_.norm"), "chain": F.col("n_.chain"), "depth": F.size("n_.chain")}).drop("n_")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Settings the jobs rely on.  All of them are runtime SQL settings, so they can be applied to a
 # session that the cluster (or a test driver) has already created.
@@ -15,6 +15,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Score rows are wide; beyond this width each projection is compiled (and split into methods)
+    # on its own instead of as one whole-stage method that would pass the JVM's 64 KB limit.
+    "spark.sql.codegen.maxFields": "40",
 }
 
 
@@ -40,3 +43,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and gives the next stage a short plan."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan with fewer splits than cores before CPU-heavy columns; a large scan is left as is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+_COLUMNS: dict[tuple[str, str], Column] = {}
+
+
+def reuse(key: str, build) -> Column:
+    """One Column object per application for expressions that are costly to assemble."""
+    full = (SparkSession.active().sparkContext.applicationId, key)
+    if full not in _COLUMNS:
+        _COLUMNS[full] = build()
+    return _COLUMNS[full]
