@@ -189,6 +189,7 @@ MARKERS = {
     "MULTI_CMD": ["&&echo", "%26%26", "|echo", "%7cecho", "%27&&"],
     "STR_ECHO": ["str%3d%24%28echo", "str=$(echo", "${#str}"],
     "WRAPPERS": ["php://filter", "zip://", "xi:include"],
+    "SHELL_BLANK": ["${ifs}", "{cat,", "/???/"],
     "SHELLISH": ["$(echo", "&&echo", "%0aecho", "|echo", "sleep 0", "sleep 1", " -ne ", " -eq ", "%20-ne%20", "%20-eq%20",
                  "wc -c", "tr -d", "${#str}", "str=$(", "str%3d%24%28echo"],
     "XSS_MARK": ["<script", "</script", "onerror=", "onload=", "onmouseover=", "javascript:", "svg/onload", "<svg", "<img",
@@ -420,7 +421,7 @@ STRUCTURE = [
     ("t_CMD", term(
         ("anyof(raw_low,ECHO3)", .55), ("contains(raw_low,'sleep') AND anyof(raw_low,SLEEP_TEST)", .50), ("anyof(raw_low,STR_ECHO)", .45),
         ("cmd_raw_low", .55), ("contains(raw_low,'%252') AND cmd_raw_low", .15), ("nullval AND cmd_raw_low", .35),
-        ("contains(raw_low,'${ifs}') OR contains(raw_low,'{cat,') OR contains(raw_low,'/???/')", .5),
+        ("anyof(raw_low,SHELL_BLANK)", .5),
         ("webkit AND (cmd_raw_low OR anyof(raw_low,MULTI_CMD))", .55))),
     ("t_FileInclusion", term(("anyof(raw_low,WRAPPERS)", .65))),
     ("t_PathTraversal", term(

@@ -14,7 +14,8 @@ from paysieve.session import reuse
 
 
 def sql_literal(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """Spark SQL literal; the dollar sign is escaped because ``${name}`` is substituted in SQL text."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
 
 
 def spark_sql(text: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the jobs rely on.  All of them are runtime SQL settings, so they can be applied to a
 # session that the cluster (or a test driver) has already created.
@@ -60,3 +61,13 @@ def reuse(key: str, build) -> Column:
     if full not in _COLUMNS:
         _COLUMNS[full] = build()
     return _COLUMNS[full]
+
+
+def evaluated_once(c: Column) -> Column:
+    """Keep a costly column out of filter push-down.
+
+    A filter on a derived column is moved below the projection by substituting its definition; with
+    staged scores that repeats every earlier stage at each reference.  Spark does not move a filter
+    through a non-deterministic projection, and ``rand() >= 0`` always holds, so the value is unchanged.
+    """
+    return F.when(F.rand(0) >= 0.0, c)
