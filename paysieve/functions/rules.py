@@ -20,6 +20,7 @@ ATTACKS = LABELS[1:]
 # Regular expressions of the signal rules (portable between Java and RE2).
 PATTERNS = {
     "NUL": "\\x00",
+    "NON_ASCII": r"[^\x00-\x7F]",
     "FULLWIDTH": "[＀-￯]",
     "ZERO_WIDTH": "[​‌‍‮]",
     "HEX32_PARAM": r"(?i)(?:^|[&?])(\w+)=([0-9a-f]{32})\b",

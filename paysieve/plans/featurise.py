@@ -189,7 +189,7 @@ def _gate(spark, sf):
     for m in R.MARKERS["SUSPICIOUS"]:
         words = words | F.col("low").contains(m)
     deep = (F.length("norm") >= 4) & ~benign & (words | marks | F.col("low").rlike(R.PATTERNS["HEX32_TOKEN"]) | F.col("dup_raw_low") | (F.length("low") > 80))
-    flagged = df.select("row_id", "label", evaluated_once(deep).alias("deep"))
+    flagged = evaluated_once(df, "row_id", "label", deep=deep)
     costly = flagged.filter("deep").withColumn("branch", F.lit("deep"))
     cheap = flagged.filter("not deep").withColumn("branch", F.lit("cheap"))
     return costly.unionByName(cheap).groupBy("label", "branch").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))

@@ -63,11 +63,11 @@ def reuse(key: str, build) -> Column:
     return _COLUMNS[full]
 
 
-def evaluated_once(c: Column) -> Column:
-    """Keep a costly column out of filter push-down.
+def evaluated_once(df: DataFrame, *keep: str, **cols: Column) -> DataFrame:
+    """Columns ``keep`` plus costly derived columns that later filters may use.
 
-    A filter on a derived column is moved below the projection by substituting its definition; with
-    staged scores that repeats every earlier stage at each reference.  Spark does not move a filter
-    through a non-deterministic projection, and ``rand() >= 0`` always holds, so the value is unchanged.
+    A filter on a derived column is moved below its projection by substituting the definition; with
+    staged scores that repeats every earlier stage at each reference.  Filters on generator output
+    stay above it, so a one-row ``inline`` keeps each definition evaluated once, without a shuffle.
     """
-    return F.when(F.rand(0) >= 0.0, c)
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
