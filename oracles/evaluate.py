@@ -70,7 +70,7 @@ SQL = {
     "lab_miss_pattern": with_payloads(f"SELECT row_id, {PATTERN} AS pattern FROM payload_rows"),
     "top_miss_patterns": P("SELECT pattern, count(*) AS n, round(count(*)/sum(count(*)) OVER ()*100,2) AS pct FROM ms GROUP BY 1 ORDER BY n DESC, pattern LIMIT 10", MISS),
     "agg_crosstab": "SELECT lang, " + ", ".join(f"count(*) FILTER (regexp_extract(source,'^(src[0-9])',1)='src{i}') AS src{i}" for i in range(10)) + " FROM documents GROUP BY 1",
-    "agg_score_histogram": P("SELECT printf('%.2f',conf) AS bin, count(*) AS n FROM (SELECT round(conf::DECIMAL(10,4),2) AS conf FROM pr) GROUP BY 1 ORDER BY n DESC, bin LIMIT 10"),
+    "agg_score_histogram": P("SELECT floor(round(conf*10000)/100)::BIGINT AS bin, count(*) AS n FROM pr GROUP BY 1 ORDER BY n DESC, bin LIMIT 10"),
     "agg_fallback_coverage": P("SELECT scope, sum(n)::BIGINT AS n, sum(hits)::BIGINT AS hits, round(sum(hits)/sum(n),4) AS share FROM (SELECT 'all' AS scope, * FROM per UNION ALL SELECT 'top5', * FROM (SELECT * FROM per ORDER BY n DESC, pattern LIMIT 5)) GROUP BY 1",
                                MISS + ", per AS (SELECT pattern, count(*) AS n, count(*) FILTER (regexp_matches(payload,'%|\\\\u|&#|0x')) AS hits FROM ms GROUP BY 1)"),
     "lab_fp_category": P(f"SELECT row_id, {FPCAT} AS category FROM pr"),

@@ -139,7 +139,7 @@ def _cross(spark, sf):
 @query("agg_score_histogram")
 def _hist(spark, sf):
     p = predictions(spark, sf)
-    return p.groupBy(F.format_number("conf", 2).alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bin").limit(10)
+    return p.groupBy(F.floor(F.round(F.col("conf") * 10000) / 100).alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bin").limit(10)
 
 
 @query("agg_fallback_coverage")
@@ -188,7 +188,7 @@ def crs_hits():
 
 def crs_rows(spark, sf):
     df = evaluated_once(payload_rows(spark, sf), "row_id", "label", hits=crs_hits())
-    lab = first_match([(F.size("hits") == 0, F.lit("Normal"))] + [(F.exists("hits", lambda h, p=p: h.startswith(p)), F.lit(n)) for p, n in (("942", "SQLi"), ("941", "XSS"), ("932", "CMD"))], "SQLi")
+    lab = first_match([(F.size("hits") == 0, F.lit("Normal"))] + [(F.array_join("hits", ",").rlike(f"(?:^|,){p}"), F.lit(n)) for p, n in (("942", "SQLi"), ("941", "XSS"), ("932", "CMD"))], "SQLi")
     return df.withColumn("crs", lab)
 
 
