@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from paysieve.plans.evaluate import misses_raw
 from paysieve.plans.normalise import normalised
 from paysieve.plans.registry import query
 from paysieve.sources.files import scratch
-from paysieve.session import spread
+from paysieve.session import cut_lineage, spread
 
 
 def vectors(spark, sf):
@@ -82,7 +81,8 @@ def _fuse(spark, sf):
     """Decision with a memory of stored payloads: nearest by trigram vector, exact hits by hash."""
     rows = normalised(payload_rows(spark, sf)).withColumn("raw", F.col("payload"))
     stored = rows.filter("row_id % 10 < 3")
-    mem = M.evict(stored.withColumns({"hits_": F.pmod("row_id", F.lit(7))}), "hits_", "row_id").select("row_id", "label", "payload", X.trigram_embed(F.col("norm")).alias("v"))
+    kept = M.evict(stored.withColumns({"hits_": F.pmod("row_id", F.lit(7))}), "hits_", "row_id").select("row_id", "label", "payload", "norm")
+    mem = cut_lineage(kept).select("row_id", "label", "payload", X.trigram_embed(F.col("norm")).alias("v"))
     q = rows.select("row_id", X.trigram_embed(F.col("norm")).alias("v"))
     near = M.nearest(q, mem, "row_id", "v", "row_id", "label")
     score = F.exp(-M.BETA * (1.0 - F.greatest("sim", F.lit(0.0))))

@@ -32,7 +32,7 @@ def _scsv(spark, sf):
 def _rcsv(spark, sf):
     path = S.scratch(spark, "requests")
     r = requests(spark, sf).select(F.when(F.pmod("req_id", F.lit(10)) == 0, F.lit(None)).otherwise(F.col("method")).alias("method"), "url", "body")
-    r.write.option("header", True).option("escape", '"').csv(path)
+    r.write.options(**S.CSV).csv(path)
     return S.read_request_csv(spark, path).groupBy("method", "source").agg(F.count("*").alias("n"), F.count_if(F.col("body") != "").alias("with_body"), F.sum(F.length("url")).alias("url_chars"))
 
 
@@ -189,7 +189,7 @@ DEFAULT_PATTERN = {"SQLi": r"union\s+select", "XSS": "<script", "CMD": "[;&|]",
 
 
 def rule_text(span, label):
-    escaped = F.regexp_replace(F.regexp_replace(F.trim(span), r"([^A-Za-z0-9_ ])", r"\\\\$1"), " ", r"\\\\s+")
+    escaped = F.regexp_replace(F.regexp_replace(F.trim(span), r"([^A-Za-z0-9_ ])", r"\\$1"), " ", r"\\s+")
     pattern = F.when(span != "", escaped).otherwise(first_match([(label == k, F.lit(v)) for k, v in DEFAULT_PATTERN.items()], ""))
     return F.format_string("SecRule ARGS \"@rx %s\" \"id:10001,phase:2,deny,msg:'%s detected'\"", pattern, label), \
         F.format_string('alert http any any -> any any (msg:"%s"; content:"%s"; sid:90001;)', label, F.substring(span, 1, 20))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from paysieve.session import checkpoint_dir
 
+# Payloads keep their outer white space and line breaks in both directions.
+CSV = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 LABELED = "payload STRING, label STRING, source STRING"
 
 
@@ -19,18 +21,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def read_labeled_csv(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """payload,label[,source] with quoted line breaks; ``first`` caps by the given order of payloads."""
-    df = spark.read.schema(LABELED).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    df = spark.read.schema(LABELED).options(**CSV).csv(path)
     df = df.select(F.coalesce("payload", F.lit("")).alias("payload"), F.coalesce("label", F.lit("Normal")).alias("label"), F.coalesce("source", F.lit("original")).alias("source"))
     return df.orderBy("payload", "label", "source").limit(first) if first else df
 
 
 def write_labeled_csv(df: DataFrame, path: str, fields: tuple[str, ...] = ("payload", "label", "source")) -> str:
-    df.select(*fields).write.option("header", True).option("escape", '"').csv(path)
+    df.select(*fields).write.options(**CSV).csv(path)
     return path
 
 
 def read_request_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.schema("method STRING, url STRING, body STRING").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    df = spark.read.schema("method STRING, url STRING, body STRING").options(**CSV).csv(path)
     return df.select(F.coalesce("method", F.lit("GET")).alias("method"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("body", F.lit("")).alias("body"), F.lit("csv").alias("source"))
 
 
