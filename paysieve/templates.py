@@ -49,7 +49,7 @@ TEMPLATES = [
     ("token=9F86d081884C7D659a2feaa0c55Ad015&n={n}", "Normal", "hex"),
     ("select your favourite colour {n}", "Normal", "plain"),
     # SQLi
-    ("{n}' OR '1'='1", "SQLi", "plain"),
+    ("{n}' OR '1'='1' OR 1=1", "SQLi", "plain"),
     ("1%27%20UNION%20SELECT%20name%2C{n}%20FROM%20users--", "SQLi", "url"),
     ("1%2527%2520UNION%2520SELECT%2520{n}%2C2--", "SQLi", "double_url"),
     ("1\\u0027 \\u0055NION \\u0053ELECT {n}", "SQLi", "unicode"),
