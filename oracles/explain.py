@@ -41,7 +41,7 @@ def refine():
         out.append((f"{m('sub', p)}<>''", m("sub", p)))
     for cls, words in E.ANCHORS.items():
         for w in sorted(words, key=len, reverse=True):
-            esc = "(?i)" + "".join("\\" + ch if ch in ".\;|" else ch for ch in w)
+            esc = "(?i)" + "".join("\\" + ch if ch in ".\\;|" else ch for ch in w)
             out.append((f"pred='{cls}' AND length(sub)>={len(w)} AND {m('sub', esc)}<>''", m("sub", esc)))
     return "CASE " + " ".join(f"WHEN {c} THEN {e}" for c, e in out) + " END"
 

@@ -38,7 +38,7 @@ def candidates() -> list[tuple[str | None, str, float, bool]]:
     for c, ps in SPAN_PATTERNS.items():
         out += [(c, f"(?i){p}", 2.0 if p.startswith("alert") else 4.0, False) for p in ps]
     for c, words in ANCHORS.items():
-        out += [(c, "(?i)" + "".join("\\" + ch if ch in ".\;|" else ch for ch in w), 3.5, False) for w in words]
+        out += [(c, "(?i)" + "".join("\\" + ch if ch in ".\\;|" else ch for ch in w), 3.5, False) for w in words]
     return out
 
 
@@ -95,7 +95,7 @@ def refine(text: Column, label: Column, s: Column, e: Column) -> Column:
     picks = [inside(r"(?i)union\s+select"), inside(r"(?i)ignore\s+previous"), inside("(?i)entity")]
     for cls, words in ANCHORS.items():
         for w in sorted(words, key=len, reverse=True):
-            esc = "(?i)" + "".join("\\" + ch if ch in ".\;|" else ch for ch in w)
+            esc = "(?i)" + "".join("\\" + ch if ch in ".\\;|" else ch for ch in w)
             picks.append(F.when((label == cls) & (F.length(sub) >= len(w)), inside(esc)))
     return F.coalesce(*picks, F.struct(s.cast("int").alias("s"), e.cast("int").alias("e")))
 

@@ -14,7 +14,6 @@ from paysieve.plans.normalise import normalised
 from paysieve.plans.registry import query
 from paysieve.session import evaluated_once
 
-L, PR = F.col("label"), F.col("pred")
 
 
 def predictions(spark, sf):
@@ -23,7 +22,7 @@ def predictions(spark, sf):
     special = F.regexp_count("norm", F.lit(r"[^\p{L}\p{N}]")) / F.greatest(F.length("norm"), F.lit(1))
     pred = infer_label(F.col("norm"))
     df = evaluated_once(df, "row_id", "ts", "src", "payload", "label", "kind", "source", norm=F.col("norm"), depth=F.col("depth"), pred=pred, pred0=infer_label(F.col("payload")), special=special)
-    return df.withColumn("conf", F.round(F.when(PR == "Normal", 1 - 0.5 * F.col("special")).otherwise(
+    return df.withColumn("conf", F.round(F.when(F.col("pred") == "Normal", 1 - 0.5 * F.col("special")).otherwise(
         F.least(F.lit(0.99), 0.55 + 0.08 * F.col("depth") + 0.4 * F.col("special"))), 4))
 
 
@@ -37,12 +36,10 @@ def traffic_tier(key, canary: int = TIER_CUT[0]):
 
 def feedback(spark, sf):
     p = predictions(spark, sf)
-    reward = F.when(PR == L, 1.0).when((PR != "Normal") & (L != "Normal"), -0.5).otherwise(-1.0)
-    return p.select(F.col("row_id").alias("seq"), "ts", "src", traffic_tier(F.col("src")).alias("tier"), PR.alias("predicted"), L.alias("true_label"), reward.alias("reward"), "payload")
+    reward = F.when(F.col("pred") == F.col("label"), 1.0).when((F.col("pred") != "Normal") & (F.col("label") != "Normal"), -0.5).otherwise(-1.0)
+    return p.select(F.col("row_id").alias("seq"), "ts", "src", traffic_tier(F.col("src")).alias("tier"), F.col("pred").alias("predicted"), F.col("label").alias("true_label"), reward.alias("reward"), "payload")
 
 
-ATK, HIT = L != "Normal", PR != "Normal"
-OBF = F.col("kind") != "plain"
 
 
 @query("agg_binary_metrics")
@@ -57,21 +54,21 @@ def _bin(spark, sf):
 
 @query("agg_multiclass")
 def _multi(spark, sf):
-    return predictions(spark, sf).agg(F.count("*").alias("n"), F.round(F.avg((PR == L).cast("double")), 4).alias("accuracy"), ratio(F.count_if(ATK & (PR == L)), F.count_if(ATK)).alias("exact_recall"))
+    return predictions(spark, sf).agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 4).alias("accuracy"), ratio(F.count_if((F.col("label") != "Normal") & (F.col("pred") == F.col("label"))), F.count_if((F.col("label") != "Normal"))).alias("exact_recall"))
 
 
 @query("agg_subset_metrics")
 def _subset(spark, sf):
     """All rows, obfuscated attacks and normals from one pass."""
     p = predictions(spark, sf)
-    parts = {"all": F.lit(True), "obfuscated": ATK & OBF, "normal": ~ATK}
-    cols = [c.alias(f"{s}_{n}") for s, w in parts.items() for n, c in binary(ATK, HIT, w).items() if n in ("tp", "fp", "fn", "tn", "recall", "fpr")]
+    parts = {"all": F.lit(True), "obfuscated": (F.col("label") != "Normal") & (F.col("kind") != "plain"), "normal": ~(F.col("label") != "Normal")}
+    cols = [c.alias(f"{s}_{n}") for s, w in parts.items() for n, c in binary((F.col("label") != "Normal"), (F.col("pred") != "Normal"), w).items() if n in ("tp", "fp", "fn", "tn", "recall", "fpr")]
     return p.agg(*cols)
 
 
 @query("agg_recall_buckets")
 def _buckets(spark, sf):
-    p = predictions(spark, sf).filter(ATK).withColumn("family", family(F.col("kind")))
+    p = predictions(spark, sf).filter((F.col("label") != "Normal")).withColumn("family", family(F.col("kind")))
     p.createOrReplaceTempView("paysieve_preds")
     return spark.sql("""SELECT coalesce(kind,'*') AS kind, coalesce(label,'*') AS label, coalesce(family,'*') AS family, count(*) AS total, count_if(pred<>'Normal') AS detected,
         count_if(pred=label) AS exact, round(count_if(pred<>'Normal')/count(*),4) AS recall, round(count_if(pred=label)/count(*),4) AS exact_recall
@@ -94,7 +91,7 @@ def shares(df, *keys):
 
 
 def misses(spark, sf):
-    return predictions(spark, sf).filter(ATK & (PR == "Normal"))
+    return predictions(spark, sf).filter((F.col("label") != "Normal") & (F.col("pred") == "Normal"))
 
 
 @query("agg_miss_counts")
@@ -108,7 +105,7 @@ def _miss(spark, sf):
 
 def miss_pattern():
     pl, k = F.lower("payload"), F.split_part("source", F.lit(":"), F.lit(2))
-    cmd = L == "CMD"
+    cmd = F.col("label") == "CMD"
     return first_match([
         ((k == "double_url") | pl.contains("%252"), F.when(cmd, "double_url_encode_cmd").otherwise("double_url_encode_sqli")),
         ((k == "null_byte") | pl.contains("%00"), F.lit("null_byte_in_params")),
@@ -157,7 +154,7 @@ def fp_category():
     return first_match([
         (low.rlike("modo=|login=|password=|usuario=|clave="), F.lit("login_form_other")), (low.rlike("%2[0-9a-f]{2}"), F.lit("url_encoded")),
         (low.rlike(r"<script|onerror|alert\("), F.lit("xss_like")), (low.rlike(r"union|select|insert|or\s+1"), F.lit("sqli_like")), (low.rlike(r"\.\./|etc/passwd"), F.lit("path_like")),
-        (low.rlike("webkitformboundary|multipart"), F.lit("multipart_like")), (F.length("payload") > 500, F.lit("long_payload"))], F.concat(F.lit("other_"), PR))
+        (low.rlike("webkitformboundary|multipart"), F.lit("multipart_like")), (F.length("payload") > 500, F.lit("long_payload"))], F.concat(F.lit("other_"), F.col("pred")))
 
 
 @query("lab_fp_category")
@@ -167,7 +164,7 @@ def _fpc(spark, sf):
 
 @query("agg_fp_report")
 def _fpr(spark, sf):
-    p = evaluated_once(predictions(spark, sf).filter(~ATK), "row_id", "pred", category=fp_category(), hit=(PR != "Normal") | (F.col("conf") < 0.9))
+    p = evaluated_once(predictions(spark, sf).filter(~(F.col("label") != "Normal")), "row_id", "pred", category=fp_category(), hit=(F.col("pred") != "Normal") | (F.col("conf") < 0.9))
     return p.groupBy("category", "pred").agg(F.count("*").alias("n"), F.count_if("hit").alias("flagged"), F.round(F.count_if("hit") / F.count("*"), 4).alias("fpr"))
 
 
@@ -205,8 +202,8 @@ def _rules(spark, sf):
 @query("agg_baseline_compare")
 def _cmp(spark, sf):
     p = predictions(spark, sf).withColumn("hits", crs_hits())
-    rows = p.select("label", F.explode(F.array(F.struct(F.lit("engine").alias("detector"), HIT.alias("hit")), F.struct(F.lit("baseline").alias("detector"), (F.size("hits") > 0).alias("hit")))).alias("d")).select("label", "d.*")
-    return rows.groupBy("detector").agg(ratio(F.count_if(ATK & F.col("hit")), F.count_if(ATK)).alias("recall"), ratio(F.count_if(~ATK & F.col("hit")), F.count_if(~ATK)).alias("fpr"))
+    rows = p.select("label", F.explode(F.array(F.struct(F.lit("engine").alias("detector"), (F.col("pred") != "Normal").alias("hit")), F.struct(F.lit("baseline").alias("detector"), (F.size("hits") > 0).alias("hit")))).alias("d")).select("label", "d.*")
+    return rows.groupBy("detector").agg(ratio(F.count_if((F.col("label") != "Normal") & F.col("hit")), F.count_if((F.col("label") != "Normal"))).alias("recall"), ratio(F.count_if(~(F.col("label") != "Normal") & F.col("hit")), F.count_if(~(F.col("label") != "Normal"))).alias("fpr"))
 
 
 def rounds(spark, sf):
@@ -242,8 +239,8 @@ def _rr(spark, sf):
 
 @query("agg_block_label_recall")
 def _block(spark, sf):
-    p = predictions(spark, sf).filter(ATK).withColumn("round", F.pmod("row_id", F.lit(3)))
-    return p.rollup("round").agg(F.count("*").alias("n"), ratio(F.count_if(HIT), F.count("*")).alias("block_recall"), ratio(F.count_if(PR == L), F.count("*")).alias("label_recall")).withColumn("round", F.coalesce("round", F.lit(-1)))
+    p = predictions(spark, sf).filter((F.col("label") != "Normal")).withColumn("round", F.pmod("row_id", F.lit(3)))
+    return p.rollup("round").agg(F.count("*").alias("n"), ratio(F.count_if((F.col("pred") != "Normal")), F.count("*")).alias("block_recall"), ratio(F.count_if(F.col("pred") == F.col("label")), F.count("*")).alias("label_recall")).withColumn("round", F.coalesce("round", F.lit(-1)))
 
 
 @query("agg_seed_median")
@@ -255,20 +252,20 @@ def _seed(spark, sf):
 @query("agg_recovery")
 def _rec(spark, sf):
     """Former misses of the undecoded verdict, recovered by the decoded one."""
-    m = predictions(spark, sf).filter(ATK & (F.col("pred0") == "Normal"))
-    return m.groupBy("kind").agg(F.count("*").alias("total"), F.count_if(HIT).alias("recovered"), ratio(F.count_if(HIT), F.count("*")).alias("rate"), (F.count("*") == 0).alias("vacuous"))
+    m = predictions(spark, sf).filter((F.col("label") != "Normal") & (F.col("pred0") == "Normal"))
+    return m.groupBy("kind").agg(F.count("*").alias("total"), F.count_if((F.col("pred") != "Normal")).alias("recovered"), ratio(F.count_if((F.col("pred") != "Normal")), F.count("*")).alias("rate"), (F.count("*") == 0).alias("vacuous"))
 
 
 def configs(spark, sf):
     p = predictions(spark, sf)
-    cfg = F.explode(F.array(F.struct(F.lit("full").alias("config"), PR.alias("p")), F.struct(F.lit("no_decode").alias("config"), F.col("pred0").alias("p")),
-                            F.struct(F.lit("depth1").alias("config"), F.when(F.col("depth") <= 1, PR).otherwise(F.col("pred0")).alias("p"))))
+    cfg = F.explode(F.array(F.struct(F.lit("full").alias("config"), F.col("pred").alias("p")), F.struct(F.lit("no_decode").alias("config"), F.col("pred0").alias("p")),
+                            F.struct(F.lit("depth1").alias("config"), F.when(F.col("depth") <= 1, F.col("pred")).otherwise(F.col("pred0")).alias("p"))))
     return p.select("label", "kind", cfg.alias("c")).select("label", "kind", "c.*")
 
 
 @query("agg_ablation_delta")
 def _abl(spark, sf):
-    m = configs(spark, sf).groupBy("config").agg(ratio(F.count_if(ATK & OBF & (F.col("p") != "Normal")), F.count_if(ATK & OBF)).alias("recall"), ratio(F.count_if(~ATK & (F.col("p") != "Normal")), F.count_if(~ATK)).alias("fpr"))
+    m = configs(spark, sf).groupBy("config").agg(ratio(F.count_if((F.col("label") != "Normal") & (F.col("kind") != "plain") & (F.col("p") != "Normal")), F.count_if((F.col("label") != "Normal") & (F.col("kind") != "plain"))).alias("recall"), ratio(F.count_if(~(F.col("label") != "Normal") & (F.col("p") != "Normal")), F.count_if(~(F.col("label") != "Normal"))).alias("fpr"))
     full = m.filter("config='full'").select(F.col("recall").alias("r0"), F.col("fpr").alias("f0"))
     return m.crossJoin(F.broadcast(full)).select("config", "recall", "fpr", F.round(F.col("recall") - F.col("r0"), 4).alias("d_recall"), F.round(F.col("fpr") - F.col("f0"), 4).alias("d_fpr"))
 
@@ -303,13 +300,13 @@ def cumulative(hist):
 
 @query("agg_attack_distribution")
 def _dist(spark, sf):
-    recent = predictions(spark, sf).filter(HIT).orderBy(F.desc("ts"), F.desc("row_id")).limit(50)
+    recent = predictions(spark, sf).filter((F.col("pred") != "Normal")).orderBy(F.desc("ts"), F.desc("row_id")).limit(50)
     return recent.groupBy("pred").agg(F.count("*").alias("n"))
 
 
 @query("snk_alerts")
 def _alerts(spark, sf):
-    return predictions(spark, sf).filter(HIT).orderBy(F.desc("ts"), F.desc("row_id")).limit(20).select("row_id", "ts", "pred", "conf")
+    return predictions(spark, sf).filter((F.col("pred") != "Normal")).orderBy(F.desc("ts"), F.desc("row_id")).limit(20).select("row_id", "ts", "pred", "conf")
 
 
 @query("agg_reward_summary")
@@ -319,7 +316,7 @@ def _rew(spark, sf):
 
 @query("agg_calibration")
 def _calib(spark, sf):
-    p = predictions(spark, sf).agg(ratio(F.count_if(ATK & OBF & HIT), F.count_if(ATK & OBF)).alias("recall"), ratio(F.count_if(~ATK & HIT), F.count_if(~ATK)).alias("fpr"))
+    p = predictions(spark, sf).agg(ratio(F.count_if((F.col("label") != "Normal") & (F.col("kind") != "plain") & (F.col("pred") != "Normal")), F.count_if((F.col("label") != "Normal") & (F.col("kind") != "plain"))).alias("recall"), ratio(F.count_if(~(F.col("label") != "Normal") & (F.col("pred") != "Normal")), F.count_if(~(F.col("label") != "Normal"))).alias("fpr"))
     r, f = F.col("recall"), F.col("fpr")
     return p.select("recall", "fpr", F.when(r < 0.98, 0.03).otherwise(0.0).alias("d_semantic"), F.when(r < 0.98, -0.02).otherwise(0.0).alias("d_base"), F.when(f > 0.02, 0.02).otherwise(0.0).alias("d_multimodal"), F.when(f > 0.02, -0.01).otherwise(0.0).alias("d_series"))
 
@@ -327,7 +324,7 @@ def _calib(spark, sf):
 @query("agg_gate")
 def _gate(spark, sf):
     """Regression gate per run (decoded / undecoded) and overall."""
-    m = configs(spark, sf).groupBy("config").agg(ratio(F.count_if(ATK & OBF & (F.col("p") != "Normal")), F.count_if(ATK & OBF)).alias("recall"), ratio(F.count_if(~ATK & (F.col("p") != "Normal")), F.count_if(~ATK)).alias("fpr"))
+    m = configs(spark, sf).groupBy("config").agg(ratio(F.count_if((F.col("label") != "Normal") & (F.col("kind") != "plain") & (F.col("p") != "Normal")), F.count_if((F.col("label") != "Normal") & (F.col("kind") != "plain"))).alias("recall"), ratio(F.count_if(~(F.col("label") != "Normal") & (F.col("p") != "Normal")), F.count_if(~(F.col("label") != "Normal"))).alias("fpr"))
     m = m.withColumn("ok", (F.col("recall") >= 0.995) & (F.col("fpr") <= 0.013))
     return m.rollup("config").agg(F.min("recall").alias("recall"), F.max("fpr").alias("fpr"), F.bool_and("ok").alias("ok")).withColumn("config", F.coalesce("config", F.lit("*")))
 
@@ -342,7 +339,7 @@ def _patch(spark, sf):
 def _sync(spark, sf):
     """One summary row from several metric tables."""
     p = predictions(spark, sf)
-    a = p.agg(F.count("*").alias("n"), ratio(F.count_if(ATK & HIT), F.count_if(ATK)).alias("recall"))
+    a = p.agg(F.count("*").alias("n"), ratio(F.count_if((F.col("label") != "Normal") & (F.col("pred") != "Normal")), F.count_if((F.col("label") != "Normal"))).alias("recall"))
     b = drift(rounds(spark, sf)).select(F.col("mean").alias("round_mean"), F.col("std").alias("round_std"))
     return a.crossJoin(b)
 
@@ -363,18 +360,18 @@ def _unseen(spark, sf):
 # --- top-k -------------------------------------------------------------------------------------
 @query("top_weakest")
 def _weak(spark, sf):
-    p = predictions(spark, sf).filter(ATK).groupBy("kind", "label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred0") != "Normal").cast("double")), 4).alias("recall"))
+    p = predictions(spark, sf).filter((F.col("label") != "Normal")).groupBy("kind", "label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred0") != "Normal").cast("double")), 4).alias("recall"))
     return p.orderBy("recall", "kind", "label").limit(8)
 
 
 @query("top_hardest_first")
 def _hard(spark, sf):
-    return predictions(spark, sf).filter(ATK).orderBy(F.coalesce("conf", F.lit(1.0)), "row_id").limit(40).select("row_id", "label", "conf")
+    return predictions(spark, sf).filter((F.col("label") != "Normal")).orderBy(F.coalesce("conf", F.lit(1.0)), "row_id").limit(40).select("row_id", "label", "conf")
 
 
 @query("top_cap_rows")
 def _cap(spark, sf):
-    return payload_rows(spark, sf).filter(ATK).orderBy("row_id").limit(80).select("row_id", "payload", "label")
+    return payload_rows(spark, sf).filter((F.col("label") != "Normal")).orderBy("row_id").limit(80).select("row_id", "payload", "label")
 
 
 @query("top_samples")
@@ -427,19 +424,19 @@ def _vd(spark, sf):
 @query("set_pool_mix")
 def _pool(spark, sf):
     m = misses_raw(spark, sf).select("payload", F.lit(0).alias("prio"), "row_id")
-    base = payload_rows(spark, sf).filter(ATK).select("payload", F.lit(1).alias("prio"), "row_id")
+    base = payload_rows(spark, sf).filter((F.col("label") != "Normal")).select("payload", F.lit(1).alias("prio"), "row_id")
     return m.unionByName(base).groupBy("payload").agg(F.min("prio").cast("bigint").alias("prio"), F.min("row_id").alias("row_id"))
 
 
 def misses_raw(spark, sf):
-    return payload_rows(spark, sf).filter(ATK & (infer_label(F.col("payload")) == "Normal"))
+    return payload_rows(spark, sf).filter((F.col("label") != "Normal") & (infer_label(F.col("payload")) == "Normal"))
 
 
 @query("set_carry_over")
 def _carry(spark, sf):
     """Next pool: all misses plus the first half of the base seeds (cap from a count, order by id)."""
     m = misses_raw(spark, sf).select("row_id", F.lit("miss").alias("origin"))
-    base = payload_rows(spark, sf).filter(ATK & (F.col("kind") == "plain")).select("row_id")
+    base = payload_rows(spark, sf).filter((F.col("label") != "Normal") & (F.col("kind") == "plain")).select("row_id")
     n = base.agg(F.greatest(F.lit(3), F.floor(F.count("*") / 2)).alias("k"))
     cut = position_cut(base, n)
     return m.unionByName(cut.select("row_id", F.lit("carry").alias("origin")))

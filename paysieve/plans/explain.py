@@ -19,7 +19,6 @@ from paysieve.plans.label import risk
 from paysieve.plans.registry import query
 from paysieve.session import evaluated_once
 
-T, P = F.col("norm"), F.col("pred")
 
 
 def flagged(spark, sf):
@@ -28,9 +27,9 @@ def flagged(spark, sf):
 
 def located(spark, sf):
     f = flagged(spark, sf)
-    f = evaluated_once(f, "row_id", "label", "pred", "kind", "norm", "depth", "conf", loc=E.locate(T, P))
-    f = f.withColumn("fine", F.when(F.col("loc.prio").between(0.1, 5.999), E.refine(T, P, F.col("loc.s"), F.col("loc.e"))).otherwise(F.struct(F.col("loc.s").alias("s"), F.col("loc.e").alias("e"))))
-    return f.withColumns({"s": F.col("fine.s"), "e": F.col("fine.e")}).withColumn("span", F.substr(T, F.col("s") + 1, F.col("e") - F.col("s")))
+    f = evaluated_once(f, "row_id", "label", "pred", "kind", "norm", "depth", "conf", loc=E.locate(F.col("norm"), F.col("pred")))
+    f = f.withColumn("fine", F.when(F.col("loc.prio").between(0.1, 5.999), E.refine(F.col("norm"), F.col("pred"), F.col("loc.s"), F.col("loc.e"))).otherwise(F.struct(F.col("loc.s").alias("s"), F.col("loc.e").alias("e"))))
+    return f.withColumns({"s": F.col("fine.s"), "e": F.col("fine.e")}).withColumn("span", F.substr(F.col("norm"), F.col("s") + 1, F.col("e") - F.col("s")))
 
 
 def clean(c):
@@ -39,13 +38,13 @@ def clean(c):
 
 @query("exp_locate_legacy")
 def _leg(spark, sf):
-    f = flagged(spark, sf).select("row_id", E.legacy(T, P).alias("g"))
+    f = flagged(spark, sf).select("row_id", E.legacy(F.col("norm"), F.col("pred")).alias("g"))
     return f.select("row_id", clean(F.col("g.span")).alias("span"), F.col("g.s").cast("bigint").alias("s"), F.col("g.e").cast("bigint").alias("e"))
 
 
 @query("exp_locate_span")
 def _loc(spark, sf):
-    f = flagged(spark, sf).select("row_id", E.locate(T, P).alias("g"))
+    f = flagged(spark, sf).select("row_id", E.locate(F.col("norm"), F.col("pred")).alias("g"))
     return f.select("row_id", F.col("g.prio").alias("prio"), F.col("g.s").cast("bigint").alias("s"), F.col("g.e").cast("bigint").alias("e"))
 
 
@@ -56,7 +55,7 @@ def _ref(spark, sf):
 
 @query("exp_highlight")
 def _high(spark, sf):
-    return located(spark, sf).select("row_id", clean(E.highlight(T, F.col("s"), F.col("e"))).alias("html"))
+    return located(spark, sf).select("row_id", clean(E.highlight(F.col("norm"), F.col("s"), F.col("e"))).alias("html"))
 
 
 # Class names used in sentences.
@@ -66,21 +65,21 @@ NAMES = {"SQLi": "SQL injection", "XSS": "cross-site scripting", "CMD": "command
 @query("exp_sentence")
 def _sent(spark, sf):
     f = located(spark, sf)
-    name = first_match([(P == k, F.lit(v)) for k, v in NAMES.items()], P)
+    name = first_match([(F.col("pred") == k, F.lit(v)) for k, v in NAMES.items()], F.col("pred"))
     how = F.when(F.col("depth") > 0, F.concat(F.lit("after "), F.col("depth").cast("string"), F.lit(" decoding steps"))).otherwise("without encoding")
-    text = F.concat(F.lit("The query field holds a "), name, F.lit(" pattern ("), clean(F.col("span")), F.lit(") "), how, F.lit(": "), risk(P, F.col("conf")), F.lit(" risk, confidence "), F.floor(F.round(F.col("conf") * 10000) / 100).cast("string"), F.lit("%."))
+    text = F.concat(F.lit("The query field holds a "), name, F.lit(" pattern ("), clean(F.col("span")), F.lit(") "), how, F.lit(": "), risk(F.col("pred"), F.col("conf")), F.lit(" risk, confidence "), F.floor(F.round(F.col("conf") * 10000) / 100).cast("string"), F.lit("%."))
     return f.select("row_id", text.alias("sentence"))
 
 
 @query("agg_iou")
 def _iou(spark, sf):
     """Span hit rate and mean IoU of both localisers against the first class anchor."""
-    f = located(spark, sf).withColumn("old", E.legacy(T, P))
+    f = located(spark, sf).withColumn("old", E.legacy(F.col("norm"), F.col("pred")))
     want = None
     for k, words in E.ANCHORS.items():
-        pos = F.locate(words[0], F.lower(T))
+        pos = F.locate(words[0], F.lower(F.col("norm")))
         c = F.when(pos > 0, F.struct((pos - 1).alias("s"), (pos - 1 + len(words[0])).alias("e")))
-        want = F.when(P == k, c) if want is None else want.when(P == k, c)
+        want = F.when(F.col("pred") == k, c) if want is None else want.when(F.col("pred") == k, c)
     f = f.withColumn("want", want).filter("want is not null")
 
     def iou(s, e):

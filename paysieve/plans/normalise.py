@@ -9,7 +9,6 @@ from paysieve.functions import text as T
 from paysieve.plans.registry import query
 from paysieve.session import reuse
 
-P = F.col("payload")
 
 
 def keyed(key: str, fn, prep=None):
@@ -17,7 +16,7 @@ def keyed(key: str, fn, prep=None):
     @query(key)
     def _run(spark, sf):
         df = payload_rows(spark, sf)
-        col = P if prep is None else prep(P)
+        col = F.col("payload") if prep is None else prep(F.col("payload"))
         return df.select("row_id", fn(col).alias("value"))
 
 
@@ -50,7 +49,7 @@ keyed("nrm_crs_layers", lambda c: visible(T.percent_layers(c)))
 @query("nrm_html_unescape")
 def _html(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("row_id"), F.lit("page").alias("origin"), T.html_unescape(F.col("html")).alias("value"))
-    rows = payload_rows(spark, sf).select("row_id", F.lit("payload").alias("origin"), T.html_unescape(P).alias("value"))
+    rows = payload_rows(spark, sf).select("row_id", F.lit("payload").alias("origin"), T.html_unescape(F.col("payload")).alias("value"))
     return pages.unionByName(rows)
 
 
@@ -58,19 +57,19 @@ def _html(spark, sf):
 def _magic(spark, sf):
     df = payload_rows(spark, sf).withColumn("t", F.concat(
         F.when(F.pmod("row_id", F.lit(3)) == 0, "GIF89a\r\n").when(F.pmod("row_id", F.lit(3)) == 1, "junk").otherwise(""),
-        F.lit("<?XML v?>"), P))
+        F.lit("<?XML v?>"), F.col("payload")))
     return df.select("row_id", T.magic_step(F.col("t")).alias("m")).select("row_id", F.col("m.cur").alias("value"), F.col("m.step").alias("step"))
 
 
 @query("nrm_xml_entities")
 def _xml(spark, sf):
-    df = payload_rows(spark, sf).withColumn("t", F.concat(P, F.lit("&#38;#65;")))
+    df = payload_rows(spark, sf).withColumn("t", F.concat(F.col("payload"), F.lit("&#38;#65;")))
     return df.select("row_id", T.xml_entities(F.col("t")).alias("m")).select("row_id", F.col("m.cur").alias("value"), F.col("m.n").cast("bigint").alias("changed"))
 
 
 @query("nrm_decode_fixpoint")
 def _fix(spark, sf):
-    df = payload_rows(spark, sf).select("row_id", T.decode_fixpoint(P).alias("d"))
+    df = payload_rows(spark, sf).select("row_id", T.decode_fixpoint(F.col("payload")).alias("d"))
     return df.select("row_id", visible(F.col("d.cur")).alias("value"), F.array_join("d.chain", ">").alias("chain"))
 
 
@@ -90,4 +89,4 @@ def _norm_summary(spark, sf):
     """Step chain histogram with the share of changed rows (two-phase aggregation)."""
     df = normalised(payload_rows(spark, sf))
     return df.groupBy("kind", F.array_join("chain", ">").alias("chain")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("norm") != P).alias("changed"))
+        F.count("*").alias("n"), F.count_if(F.col("norm") != F.col("payload")).alias("changed"))

@@ -74,7 +74,7 @@ def _ring(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         pdf = pdf.sort_values(["us", "event_id"])
         n_points, anom = [], []
         for us, ent in zip(pdf["us"].to_numpy(), pdf["entropy"].to_numpy()):
-            rates = (rates + [1.0 if last is None else 1.0 / max((us - last) / 1e6, 1e-6)])[-SERIES:]
+            rates = (rates + [1.0 if last is None else float(1.0 / max((int(us) - last) / 1e6, 1e-6))])[-SERIES:]
             prim, last = (prim + [float(ent)])[-SERIES:], int(us)
             x, r = np.zeros(SERIES), np.zeros(SERIES)
             x[SERIES - len(prim):], r[SERIES - len(rates):] = prim, rates
