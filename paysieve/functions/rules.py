@@ -229,8 +229,29 @@ MARKERS = {
 }
 
 
-def render(text: str, lit: Callable[[str], str], matches: Callable[[str, str], str], count: Callable[[str, str], str]) -> str:
+# A pattern can only match a text that holds one of these literals (no letters, so case does not
+# matter); the engine tests them first and skips the regular expression on most texts.
+GATES = {
+    **dict.fromkeys(["FORM_INJ", "FORM_CTX", "BENIGN_FORM", "BENIGN_SHOP", "PARAM_MIXED", "HEX32_PARAM", "HEX32_VALUE", "TAIL_BLANK", "LOGIN_PLUS", "PWD_QUESTION", "FIELD_BLANK",
+                     "VALUE_TAIL_BLANK", "FIELD_EMPTY", "FIELD_SUFFIX", "QTY_ODD", "PWD_ODD", "ID_PARAM", "CASE_QTY", "CASE_ADDR"], ["="]),
+    "ANOMALY_FIELDS": ["=", "%"],
+    **dict.fromkeys(["NULL_IN_VALUE", "NULL_BETWEEN", "OPAQUE_URL", "DOUBLE_CMD", "ENC_NAME", "PE_CHAIN", "PE_REF", "DOUBLE_QUOTE_SLASH"], ["%"]),
+    **dict.fromkeys(["DOUBLE_PCT", "MAIL_DOUBLE"], ["%25"]), **dict.fromkeys(["FULL_ENC_FORM", "COOKIE_COLON", "COOKIE_TAMPER"], ["%3"]),
+    **dict.fromkeys(["STREET_JOIN", "PCT_PLUS_END", "PRODUCT_TAIL"], ["%2"]), "NULL_SPLICE": ["%00", "\x00"],
+    **dict.fromkeys(["HTML_ENTITY_XSS", "ENTITY_BROKEN", "HEX_SYSTEM", "HEX_FILE"], ["&#"]), "ENTITY_REF": ["&"],
+    **dict.fromkeys(["XML_DECL", "DOCTYPE", "ENTITY", "PARAM_ENTITY", "SYS_SPLIT", "HEX_PCT_ENTITY", "SVG"], ["<"]),
+    "FILE_URI": [":///"], "LOCAL_DTD": ["."], "JSON_NESTED": ["{"], "COMMENT_PARAM": ["/**/"], "CONCAT_SPLIT": ["'"], "SCRIPT_SPLIT": ["+"],
+}
+
+
+def render(text: str, lit: Callable[[str], str], matches: Callable[[str, str], str], count: Callable[[str, str], str], gated: bool = False) -> str:
     """Expand the four shorthands with the literal and regex syntax of one SQL dialect."""
+    def regex(m):
+        hit = matches(m[1], lit(PATTERNS[m[2]]))
+        if not gated or m[2] not in GATES:
+            return hit
+        return "((" + " OR ".join(f"contains({m[1]},{lit(g)})" for g in GATES[m[2]]) + f") AND {hit})"
+
     def has(m):
         return "(" + " OR ".join(f"contains({m[1]},{lit(x)})" for x in MARKERS[m[2]]) + ")"
 
@@ -239,7 +260,7 @@ def render(text: str, lit: Callable[[str], str], matches: Callable[[str, str], s
     text = re.sub(r"\bnof\((\w+),(\w+)\)", number, text)
     text = re.sub(r"\banyof\((\w+),(\w+)\)", has, text)
     text = re.sub(r"\bnrx\((\w+),(\w+)\)", lambda m: count(m[1], lit(PATTERNS[m[2]])), text)
-    return re.sub(r"\brx\((\w+),(\w+)\)", lambda m: matches(m[1], lit(PATTERNS[m[2]])), text)
+    return re.sub(r"\brx\((\w+),(\w+)\)", regex, text)
 
 
 def cnt(col: str, token: str) -> str:

@@ -19,7 +19,7 @@ def sql_literal(s: str) -> str:
 
 
 def spark_sql(text: str) -> str:
-    return R.render(text, sql_literal, lambda c, p: f"regexp_like({c},{p})", lambda c, p: f"regexp_count({c},{p})")
+    return R.render(text, sql_literal, lambda c, p: f"regexp_like({c},{p})", lambda c, p: f"regexp_count({c},{p})", gated=True)
 
 
 def xml_canonical(c: Column) -> Column:
