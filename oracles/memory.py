@@ -33,5 +33,5 @@ SQL = {
       MRAW + """, qt AS (SELECT list_position(['Normal','SQLi','XSS','CMD','PathTraversal','FileInclusion','XXE','PromptInjection'],label)::BIGINT AS id, label||' '||string_agg(substr(payload,1,80),' ' ORDER BY row_id) AS t FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_id) AS rn FROM mr) WHERE rn<=3 GROUP BY label),
       al AS (SELECT 'q' AS kind, id, lower(t) AS l FROM qt UNION ALL SELECT 'd', doc_id, lower(text) FROM documents),
       tri AS (SELECT kind, id, substr(l,i::BIGINT,3) AS tok, 1.0 AS w FROM (SELECT *, unnest(range(1,length(l)-1)) AS i FROM al) UNION ALL SELECT kind, id, tok, 0.5 FROM (SELECT kind, id, unnest(regexp_extract_all(l,'[^\\s]+')) AS tok FROM al) WHERE length(tok)>=3),
-      bb AS (SELECT kind, id, ('0x'||substr(md5(tok),1,8))::BIGINT%384 AS bucket, sum(w)::DOUBLE AS w FROM tri GROUP BY 1,2,3), vv AS MATERIALIZED (SELECT kind, id, bucket, w/sqrt(sum(w*w) OVER (PARTITION BY kind, id)) AS w FROM bb)"""),
+      bb AS (SELECT kind, id, ('0x'||substr(md5(tok),1,8))::BIGINT%384 AS bucket, sum(w)::DOUBLE AS w FROM tri GROUP BY 1,2,3), vv AS MATERIALIZED (SELECT kind, id, bucket, (w/sqrt(sum(w*w) OVER (PARTITION BY kind, id)))::FLOAT::DOUBLE AS w FROM bb)"""),
 }

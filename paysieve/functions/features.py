@@ -164,19 +164,23 @@ def hash_bucket(token: str) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % EMBED_DIM
 
 
+def embed_texts(texts: pd.Series) -> np.ndarray:
+    """Hashed character trigrams (weight 1) and words (weight .5), unit length, one row per text."""
+    out = np.zeros((len(texts), EMBED_DIM))
+    for row, t in zip(out, texts):
+        low = (t or "").lower()
+        for i in range(len(low) - 2):
+            row[hash_bucket(low[i:i + 3])] += 1.0
+        for w in low.split():
+            if len(w) >= 3:
+                row[hash_bucket(w)] += 0.5
+        n = np.linalg.norm(row)
+        if n > 1e-8:
+            row /= n
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def trigram_embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Hashed character trigrams (weight 1) and words (weight .5), unit length."""
     for s in texts:
-        out = []
-        for t in s:
-            low = (t or "").lower()
-            v = np.zeros(EMBED_DIM)
-            for i in range(len(low) - 2):
-                v[hash_bucket(low[i:i + 3])] += 1.0
-            for w in low.split():
-                if len(w) >= 3:
-                    v[hash_bucket(w)] += 0.5
-            n = np.linalg.norm(v)
-            out.append((v / n if n > 1e-8 else v).astype(np.float32))
-        yield pd.Series(out)
+        yield pd.Series(list(embed_texts(s).astype(np.float32)))

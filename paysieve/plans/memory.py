@@ -83,8 +83,7 @@ def _fuse(spark, sf):
     stored = rows.filter("row_id % 10 < 3")
     kept = M.evict(stored.withColumns({"hits_": F.pmod("row_id", F.lit(7))}), "hits_", "row_id").select("row_id", "label", "payload", "norm")
     mem = cut_lineage(kept).select("row_id", "label", "payload", X.trigram_embed(F.col("norm")).alias("v"))
-    q = rows.select("row_id", X.trigram_embed(F.col("norm")).alias("v"))
-    near = M.nearest(q, mem, "row_id", "v", "row_id", "label")
+    near = M.nearest(rows.select("row_id", F.col("norm").alias("v")), mem, "row_id", "v", "row_id", "label", encode=X.embed_texts)
     score = F.exp(-M.BETA * (1.0 - F.greatest("sim", F.lit(0.0))))
     votes = near.groupBy("qid").agg(*[F.sum(F.when(F.col("label") == k, score).otherwise(0.0)).alias(f"v_{k}") for k in R.LABELS], F.max("sim").alias("mem_hit"), F.sum(score).alias("t_"))
     exact = mem.groupBy(F.trim("payload").alias("key_")).agg(F.min_by("label", "row_id").alias("mem_exact"))
