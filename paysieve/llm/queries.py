@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paysieve.llm.common import table
+from paysieve.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +18,18 @@ def register(f):
     return f
 
 
+@register
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored by the text CNN; ``rejected`` uses the thresholds calibrated by language."""
+    from paysieve.llm import toxicity as t
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    scored = saved(t.score(docs, t.train(docs, labels), "doc_id", "lang"))
+    cut = t.threshold_column(t.language_thresholds(scored, labels), F.col("lang"))
+    return scored.select("doc_id", F.coalesce(t.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= t.CUT).cast("int").alias("predicted"),
+                         cut.alias("threshold"), (F.col("score") >= cut).alias("rejected"))
+
+
 @register
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document rules over whole texts, shrunk failure rates by host (the source), verdicts joined back."""
