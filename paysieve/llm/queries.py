@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paysieve.llm.common import saved, table
@@ -35,3 +35,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document rules over whole texts, shrunk failure rates by host (the source), verdicts joined back."""
     from paysieve.llm.host_rules import MEASURES, judge
     return judge(table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
+
+
+@register
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern and Markov-model spans of every whole text, as digests of their positions."""
+    from paysieve.llm import secrets as s
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = s.scan(docs, "doc_id")
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{s.KINDS[kind]}")
+
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(s.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), s.listed(F.col("spans")).alias("spans"))
