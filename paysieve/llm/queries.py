@@ -48,3 +48,35 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{s.KINDS[kind]}")
 
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(s.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), s.listed(F.col("spans")).alias("spans"))
+
+
+@register
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a 13-word span of a benchmark item, found by winnowing."""
+    from paysieve.llm import decontaminate as d
+    found = d.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLES["op6_decontamination"] = r"""
+WITH split AS (
+  SELECT doc_id AS id, 0 AS side, row_number() OVER () AS r, text FROM documents
+  UNION ALL SELECT item_id, 1, row_number() OVER (), text FROM benchmark WHERE item_id IS NOT NULL),
+words AS (
+  SELECT id, side, r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM split),
+spans AS (
+  SELECT DISTINCT id AS item_id, array_to_string(w[i:i + least(12, len(w) - 1)], ' ') AS span, least(13, len(w)) AS n
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM words WHERE side = 1 AND len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM spans),
+places AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS span
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, sizes WHERE side = 0 AND len(w) >= n)),
+hit AS (SELECT p.r, p.i, p.n, s.item_id FROM places p JOIN spans s ON p.n = s.n AND p.span = s.span),
+hit_words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, i, n FROM hit)) GROUP BY r),
+hit_items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, cast(item_id AS varchar) AS item_id FROM hit) GROUP BY r)
+SELECT w.id AS doc_id, cast(len(w.w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
+FROM words w LEFT JOIN hit_words h ON w.r = h.r LEFT JOIN hit_items i ON w.r = i.r WHERE w.side = 0
+"""
