@@ -80,3 +80,10 @@ SELECT w.id AS doc_id, cast(len(w.w) AS bigint) AS n_words, coalesce(n_hit, 0) A
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
 FROM words w LEFT JOIN hit_words h ON w.r = h.r LEFT JOIN hit_items i ON w.r = i.r WHERE w.side = 0
 """
+
+
+@register
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 0.75 or more between five-word shingle sets."""
+    from paysieve.llm.near_dup import groups
+    return groups(table(spark, sf_dir, "documents"))
