@@ -87,3 +87,19 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of 0.75 or more between five-word shingle sets."""
     from paysieve.llm.near_dup import groups
     return groups(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document written to flat binary files in doc_id order and read back through memory maps."""
+    from paysieve.llm import tokens as t
+    folder = t.new_folder(spark)
+    parts = t.write_ids(table(spark, sf_dir, "documents"), folder, t.tokenizer_path(), end_id=2)
+    return t.digested(t.read_ids(parts, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@register
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into power-of-two pieces, one per sequence, numbered by length bucket."""
+    from paysieve.llm import tokens as t
+    return t.pack(table(spark, sf_dir, "documents"), t.tokenizer_path(), end_id=0, ids=False).drop("bucket")
