@@ -103,3 +103,83 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into power-of-two pieces, one per sequence, numbered by length bucket."""
     from paysieve.llm import tokens as t
     return t.pack(table(spark, sf_dir, "documents"), t.tokenizer_path(), end_id=0, ids=False).drop("bucket")
+
+
+@register
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page url judged by the longest rule, else by trust and distrust spread over the graph of hosts."""
+    from paysieve.llm import url_trust as u
+    return u.judge(table(spark, sf_dir, "pages")).select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def _url_sql() -> str:
+    from paysieve.llm import url_trust as u
+    fits = []
+    for rule, verdict in sorted(u.RULES, key=lambda r: -len(r[0])):
+        host, _, path = rule.partition("/")
+        fits.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN {{'rule': '{rule}', 'verdict': '{verdict}'}}")
+    low = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    rounds = "".join(f""",
+s{i + 1} AS (SELECT flow, host, sum(mass) AS mass FROM (
+  SELECT t.flow, t.dst AS host, s.mass * t.share AS mass FROM steps t JOIN s{i} s ON t.flow = s.flow AND t.src = s.host
+  UNION ALL SELECT flow, host, mass * {1 - u.DAMPING} FROM s0) GROUP BY flow, host)""" for i in range(u.ROUNDS))
+    return rf"""
+WITH urls AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), {low}) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+judged AS (SELECT page_id, html, host, path, CASE {' '.join(fits)} END AS found FROM urls),
+hosts AS (SELECT host, count(*) FILTER (found.verdict = 'allow') AS a, count(*) FILTER (found.verdict = 'block') AS b FROM judged WHERE host <> '' GROUP BY host),
+raw AS (SELECT host AS src, unnest(regexp_extract_all(html, '{u.LINK.replace("'", "''")}', 1)) AS dst FROM judged),
+links AS (SELECT src, regexp_replace(translate(dst, {low}), '^[^@]*@|:\d*$', '', 'g') AS dst FROM raw),
+pairs AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+known AS (SELECT host FROM hosts UNION SELECT src FROM pairs UNION SELECT dst FROM pairs),
+family AS (SELECT c.host AS child, k.host AS parent FROM known c JOIN known k ON regexp_extract(c.host, '^[^.]*\.(.+)$', 1) = k.host AND k.host <> ''),
+edges AS (SELECT src, dst, sum(n) AS n FROM (SELECT * FROM pairs UNION ALL SELECT child, parent, 1 FROM family UNION ALL SELECT parent, child, 1 FROM family) GROUP BY src, dst),
+flows AS (SELECT 'trust' AS flow, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+steps AS (SELECT flow, src, dst, n / sum(n) OVER (PARTITION BY flow, src) * {u.DAMPING} AS share FROM flows),
+s0 AS (SELECT 'trust' AS flow, host, a / (SELECT greatest(sum(a), 1) FROM hosts) AS mass FROM hosts WHERE a > 0 UNION ALL SELECT 'distrust', host, b / (SELECT greatest(sum(b), 1) FROM hosts) FROM hosts WHERE b > 0){rounds},
+shares AS (SELECT host, round(sum(mass) FILTER (flow = 'distrust') / sum(mass), 9) AS share FROM s{u.ROUNDS} GROUP BY host)
+SELECT page_id, j.host, path, found.rule AS rule, coalesce(found.verdict, CASE WHEN coalesce(share, 0) > {u.MAX_SHARE} THEN 'block' ELSE 'allow' END) AS verdict FROM judged j LEFT JOIN shares s ON j.host = s.host
+"""
+
+
+ORACLES["op2_url_filters"] = _url_sql()
+
+
+@register
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of a response per page, as identifiers and digests of the written records."""
+    from paysieve.llm import warc as w
+    found = w.derive(w.responses(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "content_length", F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"))
+
+
+def _warc_sql() -> str:
+    from paysieve.llm import warc as w
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    text = "coalesce(html, '')"
+    for pattern, by in w.TEXT_STEPS:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(by) if by != chr(10) else 'chr(10)'}, 'g')"
+    for name, char in w.ENTITIES:
+        text = f"replace({text}, {quoted(name)}, {quoted(char)})"
+    for pattern, by in w.SPACE_STEPS:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(by) if by != chr(10) else 'chr(10)'}, 'g')"
+    uuid = lambda s: f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5({s}) AS h))"
+    end = "chr(13) || chr(10)"
+    line = lambda name, value: f"'{name}: ' || {value} || {end}"
+    head = " || ".join(line(n, v) for n, v in (
+        ("WARC-Type", "type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", f"'{w.DATE}'"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"),
+        ("WARC-Refers-To-Date", f"'{w.DATE}'"), ("WARC-Source-Payload-Digest", "source_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")))
+    about = " || ".join([line("title", r"regexp_replace(regexp_extract(body, '(?is)<title\b[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')"), line("links", r"len(regexp_extract_all(body, '(?i)<a\s[^>]*?href\s*='))"),
+                         line("source-payload-digest", "source_digest"), line("source-length", "strlen(body)"), f"'source-header: HTTP/1.1 200 OK' || {end}",
+                         line("source-header: Content-Type", "'text/html; charset=utf-8'"), line("source-header: Content-Length", "strlen(body)")])
+    return rf"""
+WITH responses AS (SELECT page_id, {uuid("'response|' || coalesce(cast(page_id AS varchar), '') || '|' || coalesce(url, '')")} AS refers_to, coalesce(url, '') AS target_uri, coalesce(html, '') AS body, {text} AS plain,
+  'sha256:' || sha256(coalesce(html, '')) AS source_digest FROM pages),
+blocks AS (SELECT page_id, refers_to, target_uri, source_digest, 'metadata' AS type, 'application/warc-fields' AS content_type, {about} AS block FROM responses
+  UNION ALL SELECT page_id, refers_to, target_uri, source_digest, 'conversion', 'text/plain; charset=utf-8', plain FROM responses),
+named AS (SELECT *, {uuid("type || '|' || refers_to")} AS record_id, 'sha256:' || sha256(block) AS block_digest, cast(strlen(block) AS bigint) AS content_length FROM blocks)
+SELECT page_id, type, record_id, refers_to, target_uri, source_digest, block_digest, content_length,
+  sha256('WARC/1.1' || {end} || {head} || {end} || block || {end} || {end}) AS record_sha256 FROM named
+"""
+
+
+ORACLES["op7_warc_derivatives"] = _warc_sql()
