@@ -183,3 +183,15 @@ SELECT page_id, type, record_id, refers_to, target_uri, source_digest, block_dig
 
 
 ORACLES["op7_warc_derivatives"] = _warc_sql()
+
+
+@register
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures of every whole text; the score is the best confidence of what stays."""
+    from paysieve.llm import licenses as s
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = F.filter("found", lambda x: x["base"])
+    starts = F.transform(base, lambda x: x["start"].cast("long"))
+    return s.scan(docs, "doc_id").select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        s.labels(base).alias("base_labels"), s.labels(F.col("found")).alias("labels"), F.coalesce(F.array_max(F.transform("found", lambda x: x["confidence"])), F.lit(0.0)).alias("score"))
