@@ -60,7 +60,7 @@ def winnowed(gram_hashes: Column, k: int, span: int = SPAN) -> Column:
     return F.array_distinct(_sliding(gram_hashes, span - k + 1, lambda a, b: F.least(a, b)))
 
 
-def _bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A saved table, marked for broadcast if it is small."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
@@ -93,9 +93,9 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     lengths = {r.n: r.k for r in seeds.select("k", F.size(F.split("span", " ")).alias("n")).distinct().collect()}  # at most SPAN values
     short = sorted(n for n in lengths if n < SPAN)
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    wanted = _bounded(saved(seeds.select("fp").distinct()))
+    wanted = bounded(saved(seeds.select("fp").distinct()))
     prints = rows.select("key", F.explode(_prints(word_array(F.col("text")), short)).alias("fp"))
-    candidates = _bounded(saved(prints.join(wanted, "fp").groupBy("key").agg(F.collect_set("fp").alias("common"))))
+    candidates = bounded(saved(prints.join(wanted, "fp").groupBy("key").agg(F.collect_set("fp").alias("common"))))
     again = rows.join(candidates, "key").select("key", "common", F.inline(F.array(F.struct(word_array(F.col("text")).alias("words")))))
 
     def places(k: int) -> Column:
@@ -110,7 +110,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     # Long spans and short items of GRAM words use the same grams, so those items' places are found with the long ones.
     kinds = [GRAM, *(k for k in short if k != GRAM)]
     spots = again.select("key", F.inline(F.concat(*[places(k) for k in kinds]) if len(kinds) > 1 else places(GRAM)))
-    near = spots.join(_bounded(seeds), ["fp", "k"])
+    near = spots.join(bounded(seeds), ["fp", "k"])
     n = F.size(F.split("span", " "))
     start = F.col("place") - F.col("ahead")
     same = F.array_join(F.slice("around", F.greatest(start - F.col("from") + 1, F.lit(1)), n), " ") == F.col("span")
@@ -123,7 +123,7 @@ def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
     by_doc = hits(docs, items).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), lambda acc, s: F.struct(
         (acc["n"] + F.greatest(s["end"] - F.greatest(s["start"], acc["reach"]), F.lit(0))).alias("n"), F.greatest(acc["reach"], s["end"]).alias("reach")), lambda acc: acc["n"])
-    found = _bounded(saved(by_doc.select("key", covered.cast("long").alias("n_hit"), "items")))
+    found = bounded(saved(by_doc.select("key", covered.cast("long").alias("n_hit"), "items")))
     rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
     out = rows.join(found, "key", "left").select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -224,7 +224,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, limit: int = 1024, ids: b
     """Cut every document into pieces of power-of-two lengths and number the sequences bucket by bucket.
 
     A piece fills its sequence, so none crosses documents and none is padded.  Returns per piece doc_id, start, length,
-    ids_crc32, doc_tokens, bucket (log2 of the length), sequence_id, offset (0) and, if asked for, ids (as in read_ids).
+    ids_crc32, doc_tokens, bucket (log2 of the length), sequence_id, offset (0) and, if asked for, ids: the piece's ids as
+    little-endian unsigned bytes of the narrowest type, of 2 bytes each where the vocabulary has at most 65,536 entries.
     Within a task the pieces of a bucket are counted up; a prefix sum over (bucket, task) counts gives each its base, so
     the sequences of one length have consecutive ids.  ``limit`` must be a power of two.
     """
@@ -240,12 +241,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, limit: int = 1024, ids: b
         for b in batches:
             rows = []
             for i, found in zip(b["doc_id"], encoder.encode_all(b["text"].tolist()), strict=True):
-                own = np.append(np.frombuffer(found, encoder.dtype), encoder.dtype.type(end_id)).astype("<u4")
-                start = 0
+                narrow = np.append(np.frombuffer(found, encoder.dtype), encoder.dtype.type(end_id))
+                own, start = narrow.astype("<u4"), 0
                 for n in pieces_of(len(own), limit):
-                    bucket, raw = n.bit_length() - 1, own[start:start + n].tobytes()
+                    bucket = n.bit_length() - 1
                     seen[bucket] = seen.get(bucket, -1) + 1
-                    rows.append((part, bucket, seen[bucket], i, start, n, crc32(raw), len(own), raw if ids else None))
+                    rows.append((part, bucket, seen[bucket], i, start, n, crc32(own[start:start + n]), len(own), narrow[start:start + n].tobytes() if ids else None))
                     start += n
             frame = pd.DataFrame(rows, columns=names)
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
