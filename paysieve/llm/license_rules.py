@@ -2,19 +2,20 @@
 
 Texts are matched as lower-cased words with single blanks between and around them, so ``2.0`` reads ``2 0``.  A family
 is written by hand as (label, word that every mention holds, pattern of its name); the forms below turn each name into
-rules of rising priority: a bare name, a grant under that name, a machine-readable tag.  Notices have no name and stand
+rules of rising priority: a bare name, a grant under that name, a declaration of the license.  Each label also is a
+machine-readable tag.  Notices have no name and stand
 alone.  A rule runs only where its keyword and its second word both occur in the document.
 """
 
 from __future__ import annotations
 
 L = "licen[cs]e"
-V = "(?: version| v)?"
+V = "(?: version| v)?"  # before a number, which may hold the v itself: "v3"
 
 # (label, word in every mention, name)
 FAMILIES = [
-    ("apache-1.0", "apache", rf"apache (?:software )?{L}{V} 1 0"),
-    ("apache-1.1", "apache", rf"apache (?:software )?{L}{V} 1 1"),
+    ("apache-1.0", "apache", rf"apache (?:software )?{L}{V} v?1 0"),
+    ("apache-1.1", "apache", rf"apache (?:software )?{L}{V} v?1 1"),
     ("apache-2.0", "apache", rf"apache (?:software )?(?:{L} )?(?:version |v)?2(?: 0)?(?: {L})?"),
     ("apache", "apache", rf"apache (?:software )?{L}"),
     ("mit", "mit", rf"mit {L}"),
@@ -28,46 +29,46 @@ FAMILIES = [
     ("bsd-4-clause", "bsd", rf"(?:bsd (?:4|four) clause|original bsd)(?: {L})?"),
     ("bsd", "bsd", rf"bsd(?: style)? {L}"),
     ("0bsd", "0bsd", rf"0bsd(?: {L})?"),
-    ("gpl-1.0", "general", rf"(?:gnu )?general public {L}{V} 1(?: 0)?"),
-    ("gpl-2.0", "general", rf"(?:gnu )?general public {L}{V} 2(?: 0)?"),
+    ("gpl-1.0", "general", rf"(?:gnu )?general public {L}{V} v?1(?: 0)?"),
+    ("gpl-2.0", "general", rf"(?:gnu )?general public {L}{V} v?2(?: 0)?"),
     ("gpl-2.0-or-later", "general", rf"(?:gnu )?general public {L} (?:either )?version 2 (?:of the {L} )?or (?:at your option )?any later version"),
-    ("gpl-3.0", "general", rf"(?:gnu )?general public {L}{V} 3(?: 0)?"),
+    ("gpl-3.0", "general", rf"(?:gnu )?general public {L}{V} v?3(?: 0)?"),
     ("gpl-3.0-or-later", "general", rf"(?:gnu )?general public {L} (?:either )?version 3 (?:of the {L} )?or (?:at your option )?any later version"),
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"),
     ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"),
-    ("lgpl-2.0", "general", rf"(?:gnu )?library general public {L}(?:{V} 2(?: 0)?)?"),
-    ("lgpl-2.1", "general", rf"(?:gnu )?lesser general public {L}{V} 2 1"),
-    ("lgpl-3.0", "general", rf"(?:gnu )?lesser general public {L}{V} 3(?: 0)?"),
+    ("lgpl-2.0", "general", rf"(?:gnu )?library general public {L}(?:{V} v?2(?: 0)?)?"),
+    ("lgpl-2.1", "general", rf"(?:gnu )?lesser general public {L}{V} v?2 1"),
+    ("lgpl-3.0", "general", rf"(?:gnu )?lesser general public {L}{V} v?3(?: 0)?"),
     ("lgpl", "general", rf"(?:gnu )?(?:lesser|library) general public {L}"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: version| v)?(?: ?[23](?: [01])?)?"),
-    ("agpl-3.0", "general", rf"(?:gnu )?affero general public {L}(?:{V} 3(?: 0)?)?"),
-    ("agpl-1.0", "general", rf"affero general public {L}{V} 1(?: 0)?"),
+    ("agpl-3.0", "general", rf"(?:gnu )?affero general public {L}(?:{V} v?3(?: 0)?)?"),
+    ("agpl-1.0", "general", rf"affero general public {L}{V} v?1(?: 0)?"),
     ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: version| v)?(?: ?3(?: 0)?)?"),
-    ("gfdl", "documentation", rf"(?:gnu )?free documentation {L}(?:{V} 1 [123])?"),
-    ("mpl-1.0", "mozilla", rf"mozilla public {L}{V} 1 0"),
-    ("mpl-1.1", "mozilla", rf"mozilla public {L}{V} 1 1"),
-    ("mpl-2.0", "mozilla", rf"mozilla public {L}{V} 2(?: 0)?"),
+    ("gfdl", "documentation", rf"(?:gnu )?free documentation {L}(?:{V} v?1 [123])?"),
+    ("mpl-1.0", "mozilla", rf"mozilla public {L}{V} v?1 0"),
+    ("mpl-1.1", "mozilla", rf"mozilla public {L}{V} v?1 1"),
+    ("mpl-2.0", "mozilla", rf"mozilla public {L}{V} v?2(?: 0)?"),
     ("mpl", "mozilla", rf"mozilla public {L}"),
-    ("epl-1.0", "eclipse", rf"eclipse public {L}{V} 1 0"),
-    ("epl-2.0", "eclipse", rf"eclipse public {L}{V} 2(?: 0)?"),
+    ("epl-1.0", "eclipse", rf"eclipse public {L}{V} v?1 0"),
+    ("epl-2.0", "eclipse", rf"eclipse public {L}{V} v?2(?: 0)?"),
     ("epl", "eclipse", rf"eclipse public {L}"),
-    ("eclipse-distribution", "eclipse", rf"eclipse distribution {L}(?:{V} 1 0)?"),
-    ("cddl-1.0", "distribution", rf"common development and distribution {L}{V} 1 0"),
-    ("cddl-1.1", "distribution", rf"common development and distribution {L}{V} 1 1"),
+    ("eclipse-distribution", "eclipse", rf"eclipse distribution {L}(?:{V} v?1 0)?"),
+    ("cddl-1.0", "distribution", rf"common development and distribution {L}{V} v?1 0"),
+    ("cddl-1.1", "distribution", rf"common development and distribution {L}{V} v?1 1"),
     ("cddl", "distribution", rf"common development and distribution {L}"),
-    ("cpl-1.0", "common", rf"common public {L}(?:{V} 1 0)?"),
-    ("ipl-1.0", "ibm", rf"ibm public {L}(?:{V} 1 0)?"),
-    ("eupl-1.1", "european", rf"european union public {L}{V} 1 1"),
-    ("eupl-1.2", "european", rf"european union public {L}{V} 1 2"),
+    ("cpl-1.0", "common", rf"common public {L}(?:{V} v?1 0)?"),
+    ("ipl-1.0", "ibm", rf"ibm public {L}(?:{V} v?1 0)?"),
+    ("eupl-1.1", "european", rf"european union public {L}{V} v?1 1"),
+    ("eupl-1.2", "european", rf"european union public {L}{V} v?1 2"),
     ("eupl", "european", rf"european union public {L}"),
-    ("artistic-1.0", "artistic", rf"artistic {L}{V} 1(?: 0)?"),
-    ("artistic-2.0", "artistic", rf"artistic {L}{V} 2(?: 0)?"),
+    ("artistic-1.0", "artistic", rf"artistic {L}{V} v?1(?: 0)?"),
+    ("artistic-2.0", "artistic", rf"artistic {L}{V} v?2(?: 0)?"),
     ("artistic", "artistic", rf"artistic {L}"),
     ("zlib", "zlib", rf"zlib(?: libpng)? {L}"),
     ("libpng", "libpng", rf"libpng {L}"),
-    ("boost-1.0", "boost", rf"boost software {L}(?:{V} 1 0)?"),
-    ("psf-2.0", "python", rf"python software foundation {L}(?:{V} 2)?"),
-    ("php-3.01", "php", rf"php {L}(?:{V} 3 0 ?1?)?"),
+    ("boost-1.0", "boost", rf"boost software {L}(?:{V} v?1 0)?"),
+    ("psf-2.0", "python", rf"python software foundation {L}(?:{V} v?2)?"),
+    ("php-3.01", "php", rf"php {L}(?:{V} v?3 0 ?1?)?"),
     ("postgresql", "postgresql", rf"postgresql {L}"),
     ("openssl", "openssl", rf"openssl {L}"),
     ("ruby", "ruby", rf"ruby(?: s)? {L}"),
@@ -78,26 +79,26 @@ FAMILIES = [
     ("ncsa", "ncsa", rf"(?:university of illinois )?ncsa(?: open source)? {L}"),
     ("ms-pl", "microsoft", rf"microsoft public {L}"),
     ("ms-rl", "microsoft", rf"microsoft reciprocal {L}"),
-    ("ofl-1.1", "font", rf"(?:sil )?open font {L}(?:{V} 1 1)?"),
-    ("osl-3.0", "open", rf"open software {L}{V} 3 0"),
-    ("afl-3.0", "academic", rf"academic free {L}(?:{V} [23] [01])?"),
-    ("ecl-2.0", "community", rf"educational community {L}(?:{V} 2 0)?"),
-    ("upl-1.0", "universal", rf"universal permissive {L}(?:{V} 1 0)?"),
+    ("ofl-1.1", "font", rf"(?:sil )?open font {L}(?:{V} v?1 1)?"),
+    ("osl-3.0", "open", rf"open software {L}{V} v?3 0"),
+    ("afl-3.0", "academic", rf"academic free {L}(?:{V} v?[23] [01])?"),
+    ("ecl-2.0", "community", rf"educational community {L}(?:{V} v?2 0)?"),
+    ("upl-1.0", "universal", rf"universal permissive {L}(?:{V} v?1 0)?"),
     ("cecill", "cecill", rf"cecill(?: [bc])?(?: free software)?(?: {L})?(?: agreement)?"),
-    ("qpl-1.0", "public", rf"q public {L}(?:{V} 1 0)?"),
+    ("qpl-1.0", "public", rf"q public {L}(?:{V} v?1 0)?"),
     ("sleepycat", "sleepycat", rf"sleepycat {L}"),
     ("vim", "vim", rf"vim {L}"),
     ("beerware", "beer", rf"beer ?ware {L}"),
-    ("odbl-1.0", "database", rf"open database {L}(?:{V} 1 0)?"),
-    ("odc-by-1.0", "data", rf"open data commons attribution {L}(?:{V} 1 0)?"),
+    ("odbl-1.0", "database", rf"open database {L}(?:{V} v?1 0)?"),
+    ("odc-by-1.0", "data", rf"open data commons attribution {L}(?:{V} v?1 0)?"),
     ("pddl-1.0", "domain", rf"(?:open data commons )?public domain dedication and {L}"),
-    ("ogl-uk", "government", rf"open government {L}(?:{V} [123] 0)?"),
+    ("ogl-uk", "government", rf"open government {L}(?:{V} v?[123] 0)?"),
     ("llama", "llama", rf"llama (?:[23] )?(?:\d )?community {L}(?: agreement)?"),
     ("rail", "responsible", rf"(?:open ?)?rail(?: m)? (?:responsible ai )?{L}|responsible ai {L}"),
-    ("sspl-1.0", "server", rf"server side public {L}(?:{V} 1)?"),
-    ("bsl-1.1", "business", rf"business source {L}(?:{V} 1 1)?"),
-    ("elastic-2.0", "elastic", rf"elastic {L}(?:{V} 2(?: 0)?)?"),
-    ("commons-clause", "clause", rf"commons clause(?: {L} condition)?(?:{V} 1 0)?"),
+    ("sspl-1.0", "server", rf"server side public {L}(?:{V} v?1)?"),
+    ("bsl-1.1", "business", rf"business source {L}(?:{V} v?1 1)?"),
+    ("elastic-2.0", "elastic", rf"elastic {L}(?:{V} v?2(?: 0)?)?"),
+    ("commons-clause", "clause", rf"commons clause(?: {L} condition)?(?:{V} v?1 0)?"),
     ("polyform", "polyform", rf"polyform \w+(?: \w+)? {L}(?: 1 0 0)?"),
     ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
     ("cc-by-sa", "cc", r"cc by sa(?: [1234] [05])?"),
@@ -191,6 +192,9 @@ def rules() -> list[dict]:
         add(label, keyword, phrase.split()[0], BASE_PRIORITY, BASE_CONFIDENCE, phrase, True)
     for label, keyword, also, priority, confidence, pattern in NOTICES:
         add(label, keyword, also, priority, confidence, pattern)
+    for label in dict.fromkeys(f[0] for f in FAMILIES):
+        words = label.replace("-", " ").replace(".", " ")
+        add(label, "license", words.split()[0], TOP, 0.99, f"(?:spdx )?license identifier {words}(?: only)?")
     for label, word, name in FAMILIES:
         for priority, confidence, form in FORMS:
             for keyword in [word] if word in NAMES else ["license", "licence"]:
