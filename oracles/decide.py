@@ -89,12 +89,12 @@ def light(ctes, body):
 
 
 # request verdicts
-VERDICTS = (REQUESTS + ", " + PARTS + ", vp0 AS MATERIALIZED (SELECT p.* FROM parts p WHERE location IN ('query','form','json','multipart','body')), "
+VERDICTS = (REQUESTS + ", " + PARTS + ", vp0 AS MATERIALIZED (SELECT p.* FROM parts p), "
             + normal_ctes("(SELECT raw AS txt FROM vp0)") + ", vp1 AS (SELECT p.*, norm, len(chain)::INT AS depth FROM vp0 p JOIN nm ON txt=raw), "
             + score_ctes("vp1", "sc", "kw_peak", "kw_Normal")
             + f", pv AS (SELECT *, pred<>'Normal' AS mal, round((CASE WHEN pred='Normal' THEN kw_Normal ELSE greatest(kw_peak,0.55) END)::DOUBLE,6) AS conf FROM (SELECT *, {infer('norm')} AS pred FROM sc)), "
             "rv AS MATERIALIZED (SELECT req_id, pred, conf, mal, location, field, raw, norm FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY mal DESC, conf DESC, "
-            "CASE location WHEN 'query' THEN 0 WHEN 'multipart' THEN 1 WHEN 'body' THEN 2 ELSE 3 END, ord) AS rn FROM (SELECT *, 0 AS ord FROM pv)) WHERE rn=1), "
+            "CASE location WHEN 'query' THEN 0 WHEN 'header' THEN 1 WHEN 'cookie' THEN 2 WHEN 'multipart' THEN 3 WHEN 'body' THEN 3 WHEN 'json' THEN 4 ELSE 5 END, ord) AS rn FROM (SELECT *, 0 AS ord FROM pv)) WHERE rn=1), "
             "rq AS (SELECT v.*, r.ts, r.src, r.label, r.kind FROM rv v JOIN requests r USING (req_id))")
 
 

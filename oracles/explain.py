@@ -98,7 +98,7 @@ SQL = {
     "exp_sentence": P("SELECT row_id, 'The query field holds a '||CASE pred " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items()) + f" ELSE pred END||' pattern ('||{vis('span')}||') '||CASE WHEN depth>0 THEN 'after '||depth||' decoding steps' ELSE 'without encoding' END||': '||{RISK}||' risk, confidence '||floor(round(conf*10000)/100)::BIGINT||'%.' AS sentence FROM sp", FINE),
     "agg_iou": P(f"SELECT pred, count(*) AS n, round(avg(({iou('s', 'e')}>0)::INT),4) AS hit, round(avg({iou('s', 'e')}),4) AS iou, round(avg({iou('g.s', 'g.e')}),4) AS iou_old FROM (SELECT sp.*, le.g, {WANT.replace('norm', 'sp.norm').replace('pred', 'sp.pred')}-1 AS ws, {WANT.replace('norm', 'sp.norm').replace('pred', 'sp.pred')}-1+{WLEN.replace('pred', 'sp.pred')} AS we FROM sp JOIN le USING (row_id)) WHERE ws>=0 GROUP BY 1", FINE + ", " + LEGACY),
     "job_explain_summary": P("SELECT pred, kind, count(*) AS n, round(avg(e-s),3) AS mean_len FROM sp GROUP BY 1,2", FINE),
-    "sco_field_contrib": with_requests(f"SELECT req_id, location, field, round(w/sum(w) OVER (PARTITION BY req_id),3) AS share FROM (SELECT req_id, location, field, max(round((0.1::DOUBLE+0.25::DOUBLE*({HITS})+0.15::DOUBLE*least(4,{MARK}))::DOUBLE,3)) AS w FROM parts JOIN (SELECT req_id, label FROM requests) USING (req_id) WHERE location IN ('query','form','json','cookie') GROUP BY 1,2,3)", PARTS, recursive=True),
+    "sco_field_contrib": with_requests(f"SELECT req_id, location, field, round(w/sum(w) OVER (PARTITION BY req_id),3) AS share FROM (SELECT req_id, location, field, max(round((0.1::DOUBLE+0.25::DOUBLE*({HITS})+0.15::DOUBLE*least(4,{MARK}))::DOUBLE,3)) AS w FROM parts JOIN (SELECT req_id, label FROM requests) USING (req_id) GROUP BY 1,2,3)", PARTS, recursive=True),
     "fus_request_rescue": with_requests("SELECT req_id, arg_min(lab,o) AS verdict, round(arg_min(cf,o),6) AS conf FROM (SELECT req_id, CASE WHEN lab IS NOT NULL THEN o END AS o, lab, cf FROM (SELECT req_id, o, coalesce(xxe_label,rescue_label) AS lab, coalesce(xxe_conf,rescue_conf)::DOUBLE AS cf FROM sc)) GROUP BY 1",
         ENC + ", ag AS (SELECT req_id, 0 AS o, enc AS raw, dec AS norm, 1 AS depth FROM ar UNION ALL SELECT req_id, 1, dec, dec, 1 FROM ar), " + score_ctes("ag", "sc", "rescue_label", "rescue_conf", "xxe_label", "xxe_conf")),
     "fus_request_benign_flip": frame(f"SELECT req_id, CASE WHEN {HEXED} OR {BEN} THEN 'Normal' ELSE pred END AS verdict, CASE WHEN {HEXED} THEN 0.82 WHEN {BEN} THEN 0.88 ELSE conf END::DOUBLE AS conf FROM fr"),

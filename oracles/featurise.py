@@ -77,7 +77,7 @@ PROTO = {
     "proto_multipart": "contains(raw_low,'webkitformboundary')::INT::DOUBLE", "proto_repeat": f"{dup('raw_low')}::INT::DOUBLE",
     "proto_ampersand_density": f"least({cc('raw', '&')}/20.0,1.0)", "proto_pct_density": f"least({cc('raw', '%')}/30.0,1.0)", "proto_null_byte": "contains(raw_low,'%00')::INT::DOUBLE",
 }
-PSRC = (PARTS + ", pp0 AS MATERIALIZED (SELECT * FROM parts WHERE location IN ('query','body','form')), " + normal_ctes("(SELECT raw AS txt FROM pp0)")
+PSRC = (PARTS + ", pp0 AS MATERIALIZED (SELECT * FROM parts), " + normal_ctes("(SELECT raw AS txt FROM pp0)")
         + ", pn AS (SELECT p.*, norm, len(chain)::INT AS depth FROM pp0 p JOIN nm ON txt=raw), " + score_ctes("pn", "sc", "obf"))
 
 MD5 = "md5(row_id::VARCHAR)"
@@ -96,7 +96,7 @@ SQL = {
     "fea_structural": on(PTEXTS, sel(structural("t"))),
     "fea_location_depth": with_requests(
         f"SELECT location, depth::BIGINT AS depth, count(*) AS n, round(sum({case_map('location', X.LOCATION_WEIGHT, 0.5)}),4) AS weight FROM (SELECT location, len(chain) AS depth FROM pp0 JOIN nm ON txt=raw) GROUP BY 1,2",
-        PARTS + ", pp0 AS MATERIALIZED (SELECT * FROM parts WHERE location<>'header'), " + normal_ctes("(SELECT raw AS txt FROM pp0)"), recursive=True),
+        PARTS + ", pp0 AS MATERIALIZED (SELECT * FROM parts), " + normal_ctes("(SELECT raw AS txt FROM pp0)"), recursive=True),
     "fea_vector": FROWS + "SELECT row_id, " + ", ".join(f"round({n},6) AS {n}" for n in FEATS) + " FROM fr",
     "fea_select_topk": FROWS + "SELECT feature, weight FROM (" + " UNION ALL ".join(
         f"SELECT '{n}' AS feature, {i} AS pos, round(1.0/(1.0+{i}*0.01)+least(abs(avg({n}) FILTER (label<>'Normal')-avg({n}) FILTER (label='Normal')),1.0),6) AS weight FROM fr"

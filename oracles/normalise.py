@@ -222,7 +222,7 @@ SQL = {
     "nrm_decode_once": with_payloads(
         f"SELECT row_id, coalesce(step,'-')||'|'||{vis('nxt')} AS value FROM ({decode_round('(SELECT row_id, payload AS cur FROM payload_rows)')})"),
     "nrm_null_strip": keyed(f"CASE WHEN length(x)-length(replace(x,{NUL},''))>=3 AND (length(x)-length(replace(x,{NUL},'')))/greatest(length(x),1)>=0.08 THEN replace(x,{NUL},'') ELSE x END",
-                            f"array_to_string(list_transform(regexp_extract_all(substr(payload,1,12),'(?s).'), lambda c: CASE WHEN c IN (chr(10),chr(13)) THEN c ELSE c||{NUL} END),'')"),
+                            f"array_to_string(list_transform(regexp_extract_all(payload,'(?s).'), lambda c: c||{NUL}),'')"),
     "nrm_charcode": keyed(charcode("x")),
     "nrm_sql_char": keyed(sql_char("x"), "'x=ChAr('||(length(payload)%26+65)||', 66)'||payload"),
     "nrm_string_concat": keyed(join_lits("x"), "regexp_replace(payload,'([a-z]{3})([a-z]{2})','''\\1'' + ''\\2''','g')"),

@@ -48,7 +48,7 @@ SQL = {
     "snk_miss_fp_jsonl": P("SELECT sink, label, count(*) AS n, sum(row_id)::BIGINT AS ids FROM (SELECT 'miss' AS sink, * FROM pr WHERE atk AND obf AND NOT hit UNION ALL SELECT 'fp', * FROM pr WHERE NOT atk AND (hit OR conf<0.9)) GROUP BY 1,2"),
     "snk_failure_log": FB("SELECT true_label, predicted, count(*) AS n FROM fb WHERE predicted<>true_label GROUP BY 1,2"),
     "snk_metrics_json": P("SELECT label, count(*) AS n, round(avg(hit::INT),4) AS flag_rate FROM pr GROUP BY 1"),
-    "snk_waf_rules": P("""SELECT 'SecRule ARGS "@rx '||pat||'" "id:10001,phase:2,deny,msg:'''||pred||' detected''"' AS modsecurity, 'alert http any any -> any any (msg:"'||pred||'"; content:"'||substr(span,1,20)||'"; sid:90001;)' AS suricata, count(*) AS n FROM
+    "snk_waf_rules": P("""SELECT 'SecRule ARGS "@rx '||pat||'" "id:10001,phase:2,deny,msg:'''||pred||' detected''"' AS modsecurity, 'alert http any any -> any any (msg:"'||pred||'"; content:"'||span||'"; sid:90001;)' AS suricata, count(*) AS n FROM
       (SELECT *, CASE WHEN span<>'' THEN replace(regexp_replace(trim(span),'([^A-Za-z0-9_ ])','\\\\\\1','g'),' ','\\s+') ELSE CASE pred WHEN 'SQLi' THEN 'union\\s+select' WHEN 'XSS' THEN '<script' WHEN 'CMD' THEN '[;&|]' WHEN 'PathTraversal' THEN '\\.\\./' WHEN 'FileInclusion' THEN 'php://' ELSE '' END END AS pat FROM
         (SELECT *, regexp_extract(norm,'(?i)(union\\s+select|<script|\\.\\./|php://|<!entity|jndi:|ignore\\s+previous)',1) AS span FROM pr WHERE hit)) GROUP BY 1,2"""),
     "job_ingest_summary": with_requests("SELECT CASE WHEN req_id%20=0 THEN 'bad_rows' ELSE 'requests' END AS target, CASE WHEN req_id%20=0 OR label='Normal' THEN 'norm' ELSE 'anom' END AS raw_label, count(*) AS n FROM requests GROUP BY 1,2"),

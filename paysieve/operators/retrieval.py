@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 1000
+QUERY_BLOCK = 1000
 
 
 def heading_chunks(df: DataFrame, text: str, key: str, min_chars: int = 80) -> DataFrame:
@@ -17,22 +17,31 @@ def heading_chunks(df: DataFrame, text: str, key: str, min_chars: int = 80) -> D
     parts = F.split(F.col(text), r"\n(?=#{1,4}\s)")
     out = df.select(key, F.posexplode(parts).alias("part", "t")).withColumn("t", F.trim(F.col("t"), F.lit(" \n\r\t")))
     title = F.trim(F.ltrim(F.substring_index("t", "\n", 1), F.lit("#")))
-    return out.filter(F.length("t") >= min_chars).select(key, "part", F.substring(title, 1, 80).alias("title"), F.col("t").alias("chunk"))
+    return out.filter(F.length("t") >= min_chars).select(key, "part", title.alias("title"), F.col("t").alias("chunk"))
 
 
 def search(queries: DataFrame, chunks: DataFrame, vec: str, k: int, per_category: bool = False) -> DataFrame:
-    """Top-k chunks per query.  The queries (at most MAX_QUERIES, checked) are broadcast; each task
-    keeps its own best k per query (and category), and a window merges these short lists."""
-    rows = queries.select("qid", vec).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError("more queries than a search batch allows; split them")
+    """Top-k chunks per query.  Queries are broadcast in blocks of about QUERY_BLOCK; each task keeps
+    its own best k per query (and category), and a window merges these short lists."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    part = None
+    for i in range(blocks):
+        own = _search_block(queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i), chunks, vec, k, per_category)
+        part = own if part is None else part.unionByName(own)
+    keys = ["qid", "category"] if per_category else ["qid"]
+    w = Window.partitionBy(*keys).orderBy(F.desc("sim"), "chunk_id")
+    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _search_block(queries: DataFrame, chunks: DataFrame, vec: str, k: int, per_category: bool) -> DataFrame:
+    rows = queries.select("qid", vec).collect()
     shared = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)))
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qid, q = shared.value
         best: pd.DataFrame | None = None
         for b in batches:
-            if not len(b):
+            if not len(b) or not len(qid):
                 continue
             sims = np.round(np.stack(b["vec"].to_numpy()).astype(np.float64) @ q.T, 9)
             n = len(b)
@@ -42,10 +51,7 @@ def search(queries: DataFrame, chunks: DataFrame, vec: str, k: int, per_category
             best = best.sort_values(["sim", "chunk_id"], ascending=[False, True]).groupby(keys, sort=False).head(k)
         if best is not None:
             yield best
-    part = chunks.select("chunk_id", "category", F.col(vec).alias("vec")).mapInPandas(local, "qid bigint, chunk_id bigint, category string, sim double")
-    keys = ["qid", "category"] if per_category else ["qid"]
-    w = Window.partitionBy(*keys).orderBy(F.desc("sim"), "chunk_id")
-    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return chunks.select("chunk_id", "category", F.col(vec).alias("vec")).mapInPandas(local, "qid bigint, chunk_id bigint, category string, sim double")
 
 
 def context(hits: DataFrame, text: Column, per_hit: int, budget: int) -> DataFrame:

@@ -133,7 +133,7 @@ MUTATORS = {"case": ("case_random", None), "comment": (None, lambda x: F.replace
             "split": (None, lambda x: F.regexp_replace(x, "(?i)union", "uni'+'on")), "partial_entity": ("html_entity_partial", None),
             "svg": (None, lambda x: F.concat(F.lit("<svg/onload="), x, F.lit(">"))), "event": (None, lambda x: F.concat(F.lit('<img src=x onerror="'), x, F.lit('">')))}
 CODE_MUTATORS = {"logic_split": lambda x: F.regexp_replace(x, "(?i)(u)(nion)|(s)(elect)|(s)(cript)|(a)(lert)", "$1$3$5$7'+'$2$4$6$8"),
-                 "charcode_wrap": lambda x: F.when(F.length(x) > 40, x).otherwise(F.concat(F.lit("String.fromCharCode("), F.array_join(F.transform(F.split(F.substring(x, 1, 20), ""), lambda c: F.ascii(c).cast("string")), ","), F.lit(")"))),
+                 "charcode_wrap": lambda x: F.concat(F.lit("String.fromCharCode("), F.array_join(F.transform(F.split(x, ""), lambda c: F.ascii(c).cast("string")), ","), F.lit(")")),
                  "nested_eval": lambda x: F.when(F.length(x) < 30, F.concat(F.lit("eval(atob('"), x, F.lit("'))"))).otherwise(F.concat(F.lit("eval(/*x*/("), x, F.lit("))"))),
                  "comment_inject": lambda x: F.replace(x, F.lit(" "), F.lit("/**/"))}
 

@@ -91,7 +91,7 @@ def _pseudo(spark, sf):
 # --- request verdicts ---------------------------------------------------------------------------
 def part_verdicts(spark, sf):
     """Parts of all requests with label, keyword confidence and malicious flag."""
-    parts = D.request_parts(requests(spark, sf), "ts", "src", "label", "kind").filter(F.col("location").isin("query", "form", "json", "multipart", "body"))
+    parts = D.request_parts(requests(spark, sf), "ts", "src", "label", "kind")
     df = add_scores(normalised(parts, "raw"), "kw_peak", "kw_Normal")
     pred = infer_label(F.col("norm"))
     return df.withColumns({"pred": pred, "mal": pred != "Normal",

@@ -366,7 +366,7 @@ def _weak(spark, sf):
 
 @query("top_hardest_first")
 def _hard(spark, sf):
-    return predictions(spark, sf).filter((F.col("label") != "Normal")).orderBy(F.coalesce("conf", F.lit(1.0)), "row_id").limit(40).select("row_id", "label", "conf")
+    return predictions(spark, sf).filter((F.col("label") != "Normal")).orderBy(F.coalesce("conf", F.lit(1.0)), "row_id").select("row_id", "label", "conf")
 
 
 @query("top_cap_rows")

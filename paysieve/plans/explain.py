@@ -97,7 +97,7 @@ def _es(spark, sf):
 @query("sco_field_contrib")
 def _contrib(spark, sf):
     """Share of each field of a request by anchors and markers (the parts of one request are bounded)."""
-    parts = D.request_parts(requests(spark, sf), "label").filter(F.col("location").isin("query", "form", "json", "cookie"))
+    parts = D.request_parts(requests(spark, sf), "label")
     hits = F.lit(0)
     for k, words in E.ANCHORS.items():
         n = F.lit(0)

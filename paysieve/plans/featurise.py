@@ -59,7 +59,7 @@ def _struct(spark, sf):
 
 @query("fea_location_depth")
 def _loc(spark, sf):
-    df = D.request_parts(requests(spark, sf)).filter(F.col("location") != "header")
+    df = D.request_parts(requests(spark, sf))
     df = normalised(df, "raw").select("location", "depth", X.lookup(F.col("location"), X.LOCATION_WEIGHT, 0.5).alias("w"))
     return df.groupBy("location", F.col("depth").cast("bigint").alias("depth")).agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("weight"))
 
@@ -101,7 +101,7 @@ def _grid(spark, sf):
 
 def protocol_rows(spark, sf):
     """Parts of the requests with protocol scalars."""
-    df = normalised(D.request_parts(requests(spark, sf)).filter(F.col("location").isin("query", "body", "form")), "raw")
+    df = normalised(D.request_parts(requests(spark, sf)), "raw")
     df = add_scores(df, "obf")
     vec = X.protocol_vector(F.col("raw"), F.col("location"), F.col("depth"), F.col("obf"), repeated_names(F.col("raw_low")))
     return df.withColumns(vec), list(vec)

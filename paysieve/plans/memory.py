@@ -26,7 +26,7 @@ def vectors(spark, sf):
 
 def hits(spark, sf, k=M.TOP_K):
     mem, qs = vectors(spark, sf)
-    return M.nearest(qs, mem, "vec_id", "embedding", "vec_id", "label", k, evict_by=("hits", "vec_id"))
+    return M.nearest(qs, mem, "vec_id", "embedding", "vec_id", "label", k)
 
 
 @query("jn_memory_knn")
@@ -41,10 +41,10 @@ def _vote(spark, sf):
 
 @query("jn_memory_exact")
 def _exact(spark, sf):
-    """First stored label of an equal text; the memory side is cut to its size bound, then hashed and broadcast."""
+    """First stored label of an equal text: an equi join on the hash, whatever the memory's size."""
     d = table(spark, sf, "documents").select("doc_id", "lang", F.sha2(F.trim("text"), 256).alias("h"))
-    mem = d.filter("doc_id % 10 < 3").orderBy("doc_id").limit(M.MAX_SIZE).groupBy("h").agg(F.min_by("lang", "doc_id").alias("stored"))
-    return d.filter("doc_id % 10 >= 3").join(F.broadcast(mem), "h").select("doc_id", "stored")
+    mem = d.filter("doc_id % 10 < 3").groupBy("h").agg(F.min_by("lang", "doc_id").alias("stored"))
+    return d.filter("doc_id % 10 >= 3").join(mem, "h").select("doc_id", "stored")
 
 
 @query("jn_near_duplicate")
@@ -80,16 +80,16 @@ def _snk(spark, sf):
 def _fuse(spark, sf):
     """Decision with a memory of stored payloads: nearest by trigram vector, exact hits by hash."""
     rows = normalised(payload_rows(spark, sf)).withColumn("raw", F.col("payload"))
-    stored = rows.filter("row_id % 10 < 3")
-    kept = M.evict(stored.withColumns({"hits_": F.pmod("row_id", F.lit(7))}), "hits_", "row_id").select("row_id", "label", "payload", "norm")
-    mem = cut_lineage(kept).select("row_id", "label", "payload", X.trigram_embed(F.col("norm")).alias("v"))
-    near = M.nearest(rows.select("row_id", F.col("norm").alias("v")), mem, "row_id", "v", "row_id", "label", encode=X.embed_texts)
+    texts = cut_lineage(rows.select("row_id", "label", "payload", "norm"))
+    vectors_ = cut_lineage(texts.select("row_id", "label", "payload", X.trigram_embed(F.col("norm")).alias("v")))
+    mem = vectors_.filter("row_id % 10 < 3")
+    near = M.nearest(vectors_, mem, "row_id", "v", "row_id", "label")
     score = F.exp(-M.BETA * (1.0 - F.greatest("sim", F.lit(0.0))))
     votes = near.groupBy("qid").agg(*[F.sum(F.when(F.col("label") == k, score).otherwise(0.0)).alias(f"v_{k}") for k in R.LABELS], F.max("sim").alias("mem_hit"), F.sum(score).alias("t_"))
     exact = mem.groupBy(F.trim("payload").alias("key_")).agg(F.min_by("label", "row_id").alias("mem_exact"))
 
     def lookup(df):
-        df = df.join(votes, df["row_id"] == votes["qid"], "left").join(F.broadcast(exact), F.trim("raw") == F.col("key_"), "left")
+        df = df.join(votes, df["row_id"] == votes["qid"], "left").join(exact, F.trim("raw") == F.col("key_"), "left")
         return df.withColumns({**{f"mem_{k}": F.coalesce(F.col(f"v_{k}") / F.col("t_"), F.lit(0.0)) for k in R.LABELS}, "mem_hit": F.coalesce("mem_hit", F.lit(0.0))})
     return decide_parts(rows, "mf_label", "mf_conf", "mf_mal", memory=lookup).select("row_id", F.col("mf_label").alias("verdict"), F.round(F.col("mf_conf").cast("double"), 4).alias("conf"), F.col("mf_mal").alias("mal"))
 
@@ -172,7 +172,7 @@ def _idx(spark, sf):
 @query("rag_miss_query")
 def _mq(spark, sf):
     """Query text per label from its first misses, matched against the documents by trigram vector."""
-    m = misses_raw(spark, sf).select("label", "row_id", F.substring("payload", 1, 80).alias("s"), F.row_number().over(Window.partitionBy("label").orderBy("row_id")).alias("rn")).filter("rn <= 3")
+    m = misses_raw(spark, sf).select("label", "row_id", F.col("payload").alias("s"), F.row_number().over(Window.partitionBy("label").orderBy("row_id")).alias("rn")).filter("rn <= 3")
     q = m.groupBy("label").agg(F.concat_ws(" ", F.first("label"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "s"))), lambda x: x["s"]), " ")).alias("qtext"))
     qid = F.array_position(F.array(*[F.lit(k) for k in R.LABELS]), F.col("label"))
     qv = q.select(qid.alias("qid"), X.trigram_embed(F.col("qtext")).alias("v"))

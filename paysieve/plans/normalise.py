@@ -33,7 +33,7 @@ keyed("nrm_hex_escape", T.hex_escape)
 keyed("nrm_base64_whole", T.base64_whole)
 keyed("nrm_atob", T.atob_inner, prep=lambda c: F.concat(F.lit("eval(atob('"), F.regexp_replace(F.base64(F.encode(c, "UTF-8")), "\\s", ""), F.lit("'))")))
 keyed("nrm_decode_once", lambda c: F.concat_ws("|", F.coalesce(T.decode_once(c)["step"], F.lit("-")), visible(T.decode_once(c)["cur"])))
-keyed("nrm_null_strip", T.strip_nulls, prep=lambda c: F.regexp_replace(F.substring(c, 1, 12), "(.)", "$1\u0000"))
+keyed("nrm_null_strip", T.strip_nulls, prep=lambda c: F.regexp_replace(c, "(?s)(.)", "$1\u0000"))
 keyed("nrm_charcode", T.charcode_text)
 keyed("nrm_sql_char", T.sql_char_text, prep=lambda c: F.concat(F.lit("x=ChAr("), F.pmod(F.length(c), F.lit(26)) + 65, F.lit(", 66)"), c))
 keyed("nrm_string_concat", T.join_literals, prep=lambda c: F.regexp_replace(c, "([a-z]{3})([a-z]{2})", "'$1' + '$2'"))

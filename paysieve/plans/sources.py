@@ -192,7 +192,7 @@ def rule_text(span, label):
     escaped = F.regexp_replace(F.regexp_replace(F.trim(span), r"([^A-Za-z0-9_ ])", r"\\$1"), " ", r"\\s+")
     pattern = F.when(span != "", escaped).otherwise(first_match([(label == k, F.lit(v)) for k, v in DEFAULT_PATTERN.items()], ""))
     return F.format_string("SecRule ARGS \"@rx %s\" \"id:10001,phase:2,deny,msg:'%s detected'\"", pattern, label), \
-        F.format_string('alert http any any -> any any (msg:"%s"; content:"%s"; sid:90001;)', label, F.substring(span, 1, 20))
+        F.format_string('alert http any any -> any any (msg:"%s"; content:"%s"; sid:90001;)', label, span)
 
 
 @query("snk_waf_rules")

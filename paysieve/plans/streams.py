@@ -112,7 +112,7 @@ def _cycle(spark, sf):
     """Evaluate, derive clusters from the misses, apply them, evaluate again; the gate decides on each side."""
     p = predictions(spark, sf)
     miss = p.filter((F.col("label") != "Normal") & (F.col("pred0") == "Normal")).select(cluster_key(F.col("payload"), F.col("label")).alias("c")).distinct()
-    learned = p.join(F.broadcast(miss.limit(5000)), cluster_key(F.col("payload"), F.col("label")) == F.col("c"), "left")
+    learned = p.join(F.broadcast(miss), cluster_key(F.col("payload"), F.col("label")) == F.col("c"), "left")
     after = F.when(F.col("c").isNotNull() & (F.col("label") != "Normal"), F.col("label")).otherwise(F.col("pred0"))
     sides = learned.select("label", "kind", F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("pred0").alias("pred")), F.struct(F.lit("after").alias("side"), after.alias("pred")))).alias("x")).select("label", "kind", "x.*")
     m = sides.groupBy("side").agg(ratio(F.count_if((F.col("label") != "Normal") & (F.col("kind") != "plain") & (F.col("pred") != "Normal")), F.count_if((F.col("label") != "Normal") & (F.col("kind") != "plain"))).alias("recall"), ratio(F.count_if(~(F.col("label") != "Normal") & (F.col("pred") != "Normal")), F.count_if(~(F.col("label") != "Normal"))).alias("fpr"))

@@ -49,10 +49,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a private one only where none is set."""
+    """The shared checkpoint folder named by the cluster; a private one only in local mode."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="paysieve-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)

@@ -27,7 +27,7 @@ def parse_http1(raw: Column, protocol: str = "HTTP/1.1", source: str = "api") ->
         body = F.when(blank > 0, T.strip(F.substr(s, blank + 1))).otherwise("")
         lines = F.split(head, "\n")
         words = F.split(T.strip(lines[0]), r"\s+")
-        fields = F.filter(F.slice(lines, 2, 100000), lambda x: x.contains(":"))
+        fields = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: x.contains(":"))
         headers = F.map_from_entries(F.transform(fields, lambda x: F.struct(T.strip(F.substring_index(x, ":", 1)).alias("k"), T.strip(_after(x, ":")).alias("v"))))
         method = F.when(words[0] == "", "GET").otherwise(F.upper(words[0]))
         return _request(method, F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")), headers, body, protocol, source)

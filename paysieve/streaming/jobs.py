@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paysieve.functions.labels import infer_label
 from paysieve.plans.normalise import normalised
+from paysieve.session import evaluated_once
 from paysieve.sources.files import scratch
 
 SERIES = 16
@@ -42,8 +43,8 @@ def run_batches(df: DataFrame, name: str, handle) -> None:
 
 def alerts(payloads: DataFrame) -> DataFrame:
     """Stateless detection: the same normalise and label columns as in batch."""
-    d = normalised(payloads)
-    return d.withColumn("pred", infer_label(F.col("norm"))).filter("pred <> 'Normal'").select("row_id", "ts", "src", "pred")
+    d = evaluated_once(normalised(payloads), "row_id", "ts", "src", pred=infer_label(F.col("norm")))
+    return d.filter("pred <> 'Normal'")
 
 
 def windowed_counts(events: DataFrame, watermark: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -70,8 +71,8 @@ def _ring(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     """Ring of sixteen points per source: rate and entropy series -> anomaly score per event."""
     last, rates, prim = state.get if state.exists else (None, [], [])
     rates, prim = list(rates), list(prim)
-    for pdf in batches:
-        pdf = pdf.sort_values(["us", "event_id"])
+    # A key's rows of one micro-batch may arrive in several Arrow batches: order holds over all of them.
+    for pdf in [pd.concat(list(batches)).sort_values(["us", "event_id"])]:
         n_points, anom = [], []
         for us, ent in zip(pdf["us"].to_numpy(), pdf["entropy"].to_numpy()):
             rates = (rates + [1.0 if last is None else float(1.0 / max((int(us) - last) / 1e6, 1e-6))])[-SERIES:]
@@ -101,8 +102,7 @@ BASE, DRIFT, LR = 0.38, 0.08, 0.05
 def _policy(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Canary learning per class: step on each reward, at most DRIFT away from the stable threshold."""
     thr, episodes = state.get if state.exists else (BASE, 0)
-    for pdf in batches:
-        pdf = pdf.sort_values("seq")
+    for pdf in [pd.concat(list(batches)).sort_values("seq")]:
         step = np.where(pdf["reward"].to_numpy() < 0, -LR * 0.5, LR * 0.1)
         path = np.empty(len(step))
         for i, d in enumerate(step):

@@ -53,12 +53,12 @@ def test_clamp_fold_equals_sequential(spark):
     assert got == {k: round(v, 9) for k, v in want.items()}
 
 
-def test_large_memory_lookup_equals_broadcast(spark):
+def test_memory_lookup_is_the_same_in_one_and_in_many_blocks(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("label", F.col("label").cast("string"))
     mem, q = e.filter("vec_id % 10 < 3"), e.filter("vec_id % 10 >= 3")
     cols = ["qid", "mid", "rank"]
     a = M.nearest(q, mem, "vec_id", "embedding", "vec_id", "label", 8).select(cols)
-    b = M.nearest_large(q, mem, "vec_id", "embedding", "vec_id", "label", 8, per_block=20).select(cols)
+    b = M.nearest(q, mem, "vec_id", "embedding", "vec_id", "label", 8, per_block=20).select(cols)
     assert rows(a) == rows(b)
 
 
