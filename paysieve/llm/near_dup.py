@@ -1,16 +1,16 @@
 """Near-duplicate groups: MinHash bands find candidates, odd sketches estimate them, full sets confirm them.
 
-A document's set is its distinct five-word shingles (64-bit hashes).  From 128 MinHash samples come 32 band keys of
-four samples and an odd sketch: the samples are folded into 512 parity bits, and the bits in which two sketches differ
+A document's set is its distinct five-word shingles (64-bit hashes).  Of 512 MinHash samples the first 128 make 32 band
+keys of four samples, and all are folded into an odd sketch: 1,024 parity bits; the bits in which two sketches differ
 estimate how many samples differ.  Documents with equal sets form a class, represented by its smallest doc_id.
 
 Candidates never become all pairs of a bucket:
-1. every class is compared with one hub, the smallest member of the buckets it shares most often;
-2. in buckets that still hold several components, each class outside the bucket's main component is compared with the
-   one member of another component whose sketch is nearest;
-3. what is still apart is compared wherever the sketches allow a link, so that no link between components is lost.
-Comparing sketches inside a bucket is a join with a condition on eight words of the sketches, salted by bucket size:
-it streams, and only pairs that pass come out.  Each pair that is left is confirmed on both full sets.
+1. every class is compared with hubs only: a bucket's hubs are its smallest and its largest member, and a class takes
+   the ``HUBS`` it shares most buckets with;
+2. in buckets that then still hold several components, the classes outside the bucket's main component are compared
+   with the members of other components wherever their sketches allow a link, so that no link between components is lost.
+Comparing sketches inside a bucket is a join with a condition on the sketches' words, salted by bucket size: it streams,
+and only pairs that pass come out.  Each of them is confirmed on both full sets.
 
 Links become components by alternating large-star and small-star steps, checkpointed in the shared folder.
 
@@ -27,14 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysieve.llm.common import saved
 
 SHINGLE, SIMILAR_PERCENT = 5, 75
-SAMPLES, BAND_ROWS, SKETCH_BITS = 128, 4, 512
-MIN_ESTIMATE = 0.6  # a link's estimate has a standard error of about 0.045
+SAMPLES, BANDED, BAND_ROWS, SKETCH_BITS = 512, 128, 4, 1024
+MIN_ESTIMATE = 0.67  # the standard error of the estimate is about 0.023 at 0.75
+HUBS = 2
 BLOCK = 4000  # members of a bucket per salt
 WORDS64 = SKETCH_BITS // 64
 SKETCH = [f"s{i}" for i in range(WORDS64)]
@@ -66,13 +67,13 @@ def shingles(text: str | None) -> np.ndarray:
 def signature(found: np.ndarray) -> np.ndarray:
     low = (found ^ (found >> np.uint64(32))).astype(np.uint32)
     best = np.full(SAMPLES, np.iinfo(np.uint32).max, np.uint32)
-    for i in range(0, len(low), 1024):
-        np.minimum(best, ((low[i:i + 1024, None] ^ _XOR) * _ODD).min(axis=0), out=best)
+    for i in range(0, len(low), 128):
+        np.minimum(best, ((low[i:i + 128, None] ^ _XOR) * _ODD).min(axis=0), out=best)
     return best
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(-1, BAND_ROWS).astype(np.uint64)
+    rows = sig[:BANDED].reshape(-1, BAND_ROWS).astype(np.uint64)
     key = np.arange(1, len(rows) + 1, dtype=np.uint64)
     for i in range(BAND_ROWS):
         key = _mix(key * _P + rows[:, i])
@@ -171,7 +172,7 @@ def _differing(a: str, b: str) -> Column:
 
 
 def _near(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b, differing: members of one bucket but of different components whose sketches allow a link; a is outside the main component."""
+    """a, b: members of one bucket but of different components, one of them outside its main one, whose sketches allow a link."""
     known = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     sizes = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
@@ -181,7 +182,7 @@ def _near(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFra
     outside = rows.where("comp <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
     same_place = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt"))
     pairs = outside.join(all_rows, same_place & (F.col("x.comp") != F.col("y.comp")) & (_differing("x", "y") <= MAX_DIFFERING))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), _differing("x", "y").alias("differing"))
+    return pairs.select(*_pair("x.node", "y.node"))
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -195,23 +196,20 @@ def groups(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("node"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SKETCH]))
     sketches = classes.select("node", *SKETCH)
     keys = classes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    members = saved(keys.join(shared, "key").select("key", "node", "hub"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    members = saved(keys.join(shared, "key").select("key", "node", "low", "high"))
 
-    # 1. one hub for each class
-    votes = members.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    best = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("node").alias("a"), (-F.col("best.hub")).alias("b"))
+    # 1. hubs
+    votes = members.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub")).where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    ranked = votes.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))).where(F.col("rank") <= HUBS)
+    pairs = ranked.select(*_pair("node", "hub")).distinct()
     x, y = sketches.alias("x"), sketches.alias("y")
-    rated = best.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_differing("x", "y") <= MAX_DIFFERING)
-    labels = components(confirm(docs, rated.select(*_pair("a", "b")).distinct()))
-
-    # 2. the nearest member of another component; 3. whatever is still apart
-    for nearest in (True, False):
-        found = _near(members, labels, sketches)
-        if nearest:
-            found = found.groupBy("a").agg(F.min(F.struct("differing", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        links = confirm(docs, found.select(*_pair("a", "b")).distinct())
-        labels = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    rated = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_differing("x", "y") <= MAX_DIFFERING)
+    labels = components(confirm(docs, rated.select("a", "b")))
+
+    # 2. what is still apart
+    links = confirm(docs, _near(members, labels, sketches).distinct())
+    labels = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
     named = classes.select("same", "node").join(labels, "node", "left").select("same", F.coalesce("comp", "node").alias("comp"))
     out = rows.select("doc_id", "n_shingles", "same").join(named, "same", "left")
