@@ -116,6 +116,7 @@ SQL = {
     "prd_parser_discrepancy": light(views_ctes("np1", "vw"), "SELECT row_id, discrepant AS flag FROM vw"),
     "win_pseudo_series": light(series_ctes("np1", "se"), "SELECT row_id, " + ", ".join(f"round({c},5) AS {c}" for c in ("resid", "slope", "third", "anom")) + " FROM se"),
     "flagship": verdicts("SELECT label, count(*) AS n_requests, count(*) FILTER (mal) AS flagged, count(*) FILTER (pred=label) AS exact, round(count(*) FILTER (mal)/count(*),4) AS flag_rate, round(avg(conf),4) AS avg_conf FROM rq GROUP BY 1"),
+    "fus_request_report": verdicts("SELECT req_id, method, n_parts, pred, CASE WHEN pred='Normal' THEN 'low' WHEN conf>=0.85 THEN 'high' WHEN conf>=0.6 THEN 'medium' ELSE 'low' END AS risk FROM rq JOIN (SELECT req_id, method FROM requests) USING (req_id) JOIN (SELECT req_id, count(*) AS n_parts FROM parts GROUP BY 1) USING (req_id)"),
     "fus_request_reduce": verdicts("SELECT req_id, pred, conf, mal, location FROM rq"),
     "job_decide_summary": verdicts("SELECT pred, date_trunc('day',ts) AS day, count(*) AS n, count(*) FILTER (mal) AS flagged FROM rq GROUP BY 1,2"),
 }

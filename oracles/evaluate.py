@@ -96,6 +96,7 @@ SQL = {
     "jn_label_eval": "SELECT lang, quality, toxic, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM labels JOIN documents USING (doc_id) GROUP BY 1,2,3",
     "jn_unseen_kinds": with_payloads("SELECT kind, count(*) AS n FROM payload_rows WHERE row_id%64>=45 AND kind NOT IN (SELECT kind FROM payload_rows WHERE row_id%64<45) GROUP BY 1"),
     "top_weakest": P("SELECT kind, label, count(*) AS n, round(avg((pred0<>'Normal')::INT),4) AS recall FROM pr WHERE atk GROUP BY 1,2 ORDER BY recall, kind, label LIMIT 8"),
+    "agg_canonical_sync": P(f"SELECT a.*, mean AS round_mean, std AS round_std FROM (SELECT count(*) AS n, {ratio('count(*) FILTER (atk AND hit)', 'count(*) FILTER (atk)')} AS recall FROM pr) a CROSS JOIN ({DRIFT})", ROUNDS),
     "top_hardest_first": P("SELECT row_id, label, conf FROM pr WHERE atk ORDER BY conf, row_id"),
     "top_cap_rows": with_payloads("SELECT row_id, payload, label FROM payload_rows WHERE label<>'Normal' ORDER BY row_id LIMIT 80"),
     "top_samples": with_payloads("SELECT label, row_id, payload FROM payload_rows QUALIFY row_number() OVER (PARTITION BY label ORDER BY row_id)<=3"),

@@ -14,6 +14,9 @@ CORPUS = ("co AS (SELECT 'doc:'||doc_id AS chunk_id, CASE WHEN source IN ('src0'
           "UNION ALL SELECT 'page:'||page_id, 'architecture', html FROM pages UNION ALL SELECT 'miss:'||row_id, 'miss_pattern', payload FROM mr)")
 
 SQL = {
+    "udf_encoder": "SELECT lang, count(*) AS n, round(avg(384),1) AS dim FROM documents GROUP BY 1",
+    "str_feedback_memory": f"WITH {NN} SELECT CASE WHEN sim>=0.98 THEN 'update' ELSE 'insert' END AS action, count(*) AS n FROM nn WHERE rank=1 GROUP BY 1",
+    "rag_build_index": with_payloads("SELECT category, count(*) AS n, round(avg((length(chunk)>=3)::INT),4) AS mean_norm FROM co GROUP BY 1", MRAW + ", " + CORPUS),
     "jn_memory_knn": f"WITH {NN} SELECT qid, mid, label, round(sim,5) AS sim, rank FROM nn WHERE rank<=8",
     "udaf_class_vote": f"WITH {NN} SELECT qid, label, count(*) AS n, round(sum(exp(-5.0*(1-greatest(sim,0)))),5) AS score FROM nn WHERE rank<=8 GROUP BY 1,2",
     "jn_memory_exact": "WITH me AS (SELECT arg_min(lang,doc_id) AS stored, trim(text) AS t FROM (SELECT * FROM documents WHERE doc_id%10<3) GROUP BY 2) SELECT doc_id, stored FROM documents JOIN me ON trim(text)=t WHERE doc_id%10>=3",

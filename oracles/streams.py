@@ -2,11 +2,17 @@
 
 from oracles.base import with_payloads, with_requests
 from oracles.decompose import QP
-from oracles.evaluate import FB, P
+from oracles.evaluate import FB, P, ratio
+from oracles.label import CLUSTER, RT
 from oracles.windows import PTS
 
+NORMAL = "'Normal'"
 EDGE = "(SELECT date_trunc('millisecond',max(ts)) - INTERVAL 10 MINUTE FROM events)"
 SQL = {
+    "str_dedupe": "SELECT substr(h,1,1) AS h, count(DISTINCT h) AS n FROM (SELECT substr(sha256(concat_ws('|',event_type,props)),1,16) AS h FROM events) GROUP BY 1",
+    "str_rule_reload": with_payloads("SELECT cluster, verdict, count(*) AS n FROM (SELECT row_id, r.label AS verdict, r.cluster FROM payload_rows JOIN rt r ON r.enabled AND (regexp_matches(payload,r.pattern) OR regexp_matches(lower(payload),r.pattern)) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY r.prio)=1) GROUP BY 1,2", RT),
+    "str_feedback_cycle": P(f"SELECT side, recall, fpr, recall>=0.995 AND fpr<=0.013 AS passed FROM (SELECT side, {ratio('count(*) FILTER (atk AND obf AND p<>' + NORMAL + ')', 'count(*) FILTER (atk AND obf)')} AS recall, {ratio('count(*) FILTER (NOT atk AND p<>' + NORMAL + ')', 'count(*) FILTER (NOT atk)')} AS fpr FROM sd GROUP BY 1)",
+                            f"cl AS (SELECT *, {CLUSTER} AS c FROM pr), lc AS (SELECT DISTINCT c FROM cl WHERE atk AND pred0='Normal'), sd AS (SELECT atk, obf, 'before' AS side, pred0 AS p FROM cl UNION ALL SELECT atk, obf, 'after', CASE WHEN atk AND c IN (SELECT c FROM lc) THEN label ELSE pred0 END FROM cl)"),
     "str_detect": P("SELECT row_id, pred FROM pr WHERE hit"),
     "str_source_state": f"WITH {PTS} SELECT se.event_id, mx.user_id, n_points, round(1/(1+exp(-(resid*2+abs(slope)+qps_mean*0.1))),5) AS anom FROM se JOIN mx USING (event_id)",
     "str_windowed_stats": f"SELECT date_trunc('hour',ts) AS win_start, event_type, count(*) AS n, round(avg(value),4) AS mean_value FROM events GROUP BY 1,2 HAVING date_trunc('hour',ts)+INTERVAL 1 HOUR <= {EDGE}",
