@@ -3,8 +3,7 @@
 Texts are matched as lower-cased words with single blanks between and around them, so ``2.0`` reads ``2 0``.  A family
 is written by hand as (label, word that every mention holds, pattern of its name); the forms below turn each name into
 rules of rising priority: a bare name, a grant under that name, a declaration of the license.  Each label also is a
-machine-readable tag.  Notices have no name and stand
-alone.  A rule runs only where its keyword and its second word both occur in the document.
+machine-readable tag.  Notices have no name and stand alone.  A rule runs only where its keyword and its second word both occur in the document.
 """
 
 from __future__ import annotations

@@ -195,3 +195,22 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.scan(docs, "doc_id").select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         s.labels(base).alias("base_labels"), s.labels(F.col("found")).alias("labels"), F.coalesce(F.array_max(F.transform("found", lambda x: x["confidence"])), F.lit(0.0)).alias("score"))
+
+
+ORACLES["op3_quality_rules"] = r"""
+WITH t AS (SELECT doc_id, source, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT doc_id, source, cast(len(w) AS bigint) AS n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS bigint) AS word_chars,
+  cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN covered c USING (r) LEFT JOIN lines l USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
+sums AS (SELECT sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS k, sum(f / n * f) AS q, sum(n * n) AS n2 FROM hosts),
+spread AS (SELECT m, CASE WHEN n - n2 / n > 0 THEN greatest(0, (q - n * m * m - (k - 1) * m * (1 - m)) / (n - n2 / n)) ELSE 0 END AS tau FROM sums),
+prior AS (SELECT m, CASE WHEN tau > 0 THEN least(1000, greatest(2, m * (1 - m) / tau - 1)) ELSE 1000 END AS s FROM spread),
+rates AS (SELECT source, (f + greatest(1e-6, m * s)) / (n + greatest(1e-6, m * s) + greatest(1e-6, (1 - m) * s)) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate, 0) < 0.8 AS kept FROM judged LEFT JOIN rates USING (source)
+"""
