@@ -6,8 +6,6 @@ only bounded per-chunk summaries meet.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ def lowest_per_group(df: DataFrame, group: list[str], rank: Column, take: Column
     """Exactly the ``take`` rows with the lowest (rank, tie) of every group, plus the cut as flag ``picked``.
 
     rank is a 32-bit hash.  Counts per (group, rank bucket) locate the bucket in which the cut falls;
-    only that bucket (1/``buckets`` of a group) is ranked by a window.  ``take`` may use ``group_n``.
+    rows are ranked by a window inside their bucket (1/``buckets`` of a group).  ``take`` may use ``group_n``.
     """
     width = limit32 // buckets
     df = df.withColumns({"rank_": rank}).withColumn("bucket_", F.floor(F.col("rank_") / width))
@@ -29,14 +27,11 @@ def lowest_per_group(df: DataFrame, group: list[str], rank: Column, take: Column
     w = Window.partitionBy(*group)
     cuts = counts.withColumns({"before_": F.sum("n_").over(w.orderBy("bucket_")) - F.col("n_"), "group_n": F.sum("n_").over(w)}) \
         .withColumn("take_", take.cast("bigint")).withColumn("left_", F.col("take_") - F.col("before_"))
-    j = df.join(cuts.select(*group, "bucket_", "left_", "n_"), [*group, "bucket_"])
-    whole = j.filter(F.col("left_") >= F.col("n_")).withColumn("picked", F.lit(True))
-    none = j.filter(F.col("left_") <= 0).withColumn("picked", F.lit(False))
-    part = j.filter((F.col("left_") > 0) & (F.col("left_") < F.col("n_")))
+    # Whole buckets before the cut have left_ >= their size, those behind it left_ <= 0, so one comparison
+    # serves all; the window works inside buckets and reuses the join's partitioning.
+    j = df.join(cuts.select(*group, "bucket_", "left_"), [*group, "bucket_"])
     order = Window.partitionBy(*group, "bucket_").orderBy("rank_", tie)
-    part = part.withColumn("rn_", F.row_number().over(order)).withColumn("picked", F.col("rn_") <= F.col("left_")).drop("rn_")
-    out = reduce(DataFrame.unionByName, [whole, none, part])
-    return out.drop("rank_", "bucket_", "left_", "n_")
+    return j.withColumn("picked", F.row_number().over(order) <= F.col("left_")).drop("rank_", "bucket_", "left_")
 
 
 def with_previous(df: DataFrame, key: list[str], order: list[str], chunk: Column, k: int) -> DataFrame:

@@ -12,7 +12,7 @@ from paysieve.operators.metrics import binary, ratio
 from paysieve.operators.scale import md5_number
 from paysieve.plans.normalise import normalised
 from paysieve.plans.registry import query
-from paysieve.session import evaluated_once
+from paysieve.session import cut_lineage, evaluated_once
 
 
 
@@ -279,14 +279,19 @@ def _mm(spark, sf):
 
 @query("agg_latency")
 def _lat(spark, sf):
-    """Exact percentiles; index-based p99 and the trimmed p99 come from counts per value, not from one sorted task."""
-    e = table(spark, sf, "events").select(F.col("value").alias("v"))
-    stat = e.agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.percentile("v", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("v", F.lit(0.95)), 4).alias("p95"), F.max("v").alias("top"))
-    hist = e.groupBy("v").agg(F.count("*").alias("c"))
-    ranked = cumulative(hist)
-    idx = stat.select((F.floor(F.col("n") * 0.99)).alias("i99"), F.floor(F.floor(F.col("n") * 0.99) * 0.99).alias("i99t"))
-    at = ranked.crossJoin(F.broadcast(idx)).agg(F.min(F.when(F.col("upto") > F.least("i99", F.col("all_") - 1), F.col("v"))).alias("p99"), F.min(F.when(F.col("upto") > F.col("i99t"), F.col("v"))).alias("p99_trimmed"))
-    return stat.crossJoin(F.broadcast(at))
+    """Every figure comes from one histogram of values: no percentile state or sorted task holds them all."""
+    hist = cut_lineage(table(spark, sf, "events").select(F.col("value").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("c")))
+
+    def at(index):
+        return F.min(F.when(F.col("upto") > index, F.col("v")))
+
+    def between(p):
+        place = (F.col("all_") - 1) * p
+        return at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+    i99 = F.floor(F.col("all_") * 0.99)
+    (lo50, hi50, w50), (lo95, hi95, w95) = between(0.5), between(0.95)
+    return cumulative(hist).agg(F.sum("c").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 4).alias("mean"), F.round(lo50 + (hi50 - lo50) * w50, 4).alias("p50"), F.round(lo95 + (hi95 - lo95) * w95, 4).alias("p95"),
+                                F.max("v").alias("top"), at(F.least(i99, F.col("all_") - 1)).alias("p99"), at(F.floor(i99 * 0.99)).alias("p99_trimmed"))
 
 
 def cumulative(hist):
@@ -454,7 +459,5 @@ def position_cut(df, n):
     per = b.groupBy("blk").agg(F.count("*").alias("c"))
     per = per.withColumn("before_", F.sum("c").over(Window.orderBy("blk")) - F.col("c")).crossJoin(F.broadcast(n))
     j = b.join(F.broadcast(per), "blk").filter(F.col("before_") < F.col("k"))
-    whole = j.filter(F.col("before_") + F.col("c") <= F.col("k")).select("row_id")
     rn = F.row_number().over(Window.partitionBy("blk").orderBy("row_id"))
-    part = j.filter(F.col("before_") + F.col("c") > F.col("k")).withColumn("rn", rn).filter(F.col("before_") + F.col("rn") <= F.col("k")).select("row_id")
-    return whole.unionByName(part)
+    return j.withColumn("rn", rn).filter(F.col("before_") + F.col("rn") <= F.col("k")).select("row_id")
