@@ -80,8 +80,9 @@ def decide_parts(df: DataFrame, *wanted: str, memory=no_memory, model=model_colu
 def reduce_requests(parts: DataFrame, *keys: str) -> DataFrame:
     """Best part per request: malicious first, then confidence, then the earlier part.
 
-    ``max_by`` combines map-side, so a request (or a hot key) with many parts is reduced before the shuffle.
+    ``max_by`` combines map-side, so a request (or a hot key) with many parts is reduced before the shuffle;
+    texts stay behind, only verdicts travel.
     """
     order = F.struct(F.col("mal"), F.col("conf"), (-F.col("pos")).alias("p"))
-    best = F.max_by(F.struct("pred", "conf", "mal", "location", "field", "raw", "norm"), order)
-    return parts.groupBy("req_id", *keys).agg(best.alias("b")).select("req_id", *keys, "b.pred", "b.conf", "b.mal", "b.location", "b.field", "b.raw", "b.norm")
+    best = F.max_by(F.struct("pred", "conf", "mal", "location"), order)
+    return parts.groupBy("req_id", *keys).agg(best.alias("b")).select("req_id", *keys, "b.pred", "b.conf", "b.mal", "b.location")
