@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose score reaches their language's threshold."""
     labels = table(spark, sf_dir, "labels")
     net = toxicity.train(docs, labels)
-    marked = docs.join(labels.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
+    marked = docs.join(decontaminate.bounded(saved(labels.where("doc_id IS NOT NULL").select("doc_id").distinct())), "doc_id", "left_semi")
     scored = toxicity.score(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), net, "doc_id", "lang")
     cut = toxicity.threshold_column(toxicity.language_thresholds(scored, labels), F.col("lang"))
     return toxicity.score(docs, net, *COLUMNS).where(F.col("score") < cut).select(COLUMNS)

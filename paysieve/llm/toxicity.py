@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MAX_TRAIN = 6000
 WIDTHS, FILTERS, DIM, BUCKETS = (1, 2, 3), 6, 12, 1 << 16
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6)
 EPOCHS, UPDATES, BATCH, RATE = 6, 600, 32, 0.02  # small samples get more rounds, up to UPDATES batches
 TRAIN_WORDS = 400_000  # words held at once while training and scoring, whatever the texts' lengths
 CUT = 0.7
@@ -41,9 +41,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_rows(word: str) -> list[int]:
-    """Hashed rows of a word: the word itself and its prefixes."""
-    parts = [f"{word}$", *(word[:n] for n in PREFIXES if len(word) >= n)]
-    return [crc32(p.encode()) % BUCKETS for p in parts]
+    """Hashed rows of a word: the word itself and its prefixes; a prefix it does not have is the empty row BUCKETS."""
+    return [crc32(f"{word}$".encode()) % BUCKETS, *(crc32(word[:n].encode()) % BUCKETS if len(word) >= n else BUCKETS for n in PREFIXES)]
 
 
 class TextCnn:
@@ -51,19 +50,18 @@ class TextCnn:
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.table = r.normal(0, 0.1, (BUCKETS, DIM)).astype("f4")
+        self.table = r.normal(0, 0.1, (BUCKETS + 1, DIM)).astype("f4")
+        self.table[BUCKETS] = 0
         self.filters = [r.normal(0, 0.5, (w, DIM, FILTERS)).astype("f4") for w in WIDTHS]
         self.bias = np.zeros((len(WIDTHS), FILTERS), "f4")
         self.out = r.normal(0, 0.5, len(WIDTHS) * FILTERS).astype("f4")
         self.base = np.float32(-1.0)
         self.fitted = False
 
-    def vectors(self, rows: list[list[int]]) -> np.ndarray:
-        n = np.array([len(r) for r in rows])
-        flat = self.table[np.concatenate([np.asarray(r, dtype="i4") for r in rows])]
-        return np.add.reduceat(flat, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None].astype("f4")
+    def vectors(self, rows: np.ndarray) -> np.ndarray:
+        return self.table[rows].sum(axis=1) / (rows < BUCKETS).sum(axis=1, keepdims=True).astype("f4")
 
-    def project(self, rows: list[list[int]]) -> np.ndarray:
+    def project(self, rows: np.ndarray) -> np.ndarray:
         """Per word: its share in every filter at every offset, flat."""
         v = self.vectors(rows)
         return np.concatenate([v @ f[o] for f in self.filters for o in range(len(f))], axis=1)
@@ -113,13 +111,9 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> TextCnn:
     if len(set(toxic)) < 2:
         return net
     net.training = True
-    rows: dict[str, list[int]] = {}
-    docs = []
-    for words in _split(texts):
-        for w in words:
-            if w not in rows:
-                rows[w] = word_rows(w)
-        docs.append(words)
+    index: dict[str, int] = {}
+    docs = [np.array([index.setdefault(w, len(index)) for w in words], dtype="i8") for words in _split(texts)]
+    rows = np.array([word_rows(w) for w in index], dtype="i4").reshape(-1, len(PREFIXES) + 1)
     r = np.random.default_rng(seed)
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     grown = [np.full_like(p, 1e-6) for p in (net.table, *net.filters, net.bias, net.out)]
@@ -129,15 +123,11 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> TextCnn:
         order = r.permutation(len(docs))
         for i in range(0, len(order), BATCH):
             batch = order[i:i + BATCH]
-            words = [docs[j] for j in batch]
-            starts, lengths = _layout(words)
-            flat = [w for ws in words for w in ws]
-            if not flat:
+            starts, lengths = _layout([docs[j] for j in batch])
+            if not lengths.sum():
                 continue
-            names = list(dict.fromkeys(flat))
-            index = {w: k for k, w in enumerate(names)}
-            ids = np.array([index[w] for w in flat])
-            own = [rows[w] for w in names]
+            words, ids = np.unique(np.concatenate([docs[j] for j in batch]), return_inverse=True)
+            own = rows[words]
             vec = net.vectors(own)
             shares = np.concatenate([vec @ f[o] for f in net.filters for o in range(len(f))], axis=1)[ids]
             best, at = net.maxima(shares, starts, lengths)
@@ -157,12 +147,12 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> TextCnn:
                     np.add.at(g_filters[k], (o, slice(None), f[inside]), slope[inside, None] * vec[word])
                     np.add.at(g_vec, word, slope[inside, None] * net.filters[k][o][:, f[inside]].T)
             hit = np.flatnonzero(np.abs(g_vec).sum(axis=1))
-            touched = np.concatenate([own[k] for k in hit]) if len(hit) else np.zeros(0, "i8")
-            if len(touched):
-                step = np.concatenate([np.repeat(g_vec[k][None] / len(own[k]), len(own[k]), axis=0) for k in hit])
-                uniq, back = np.unique(touched, return_inverse=True)
+            if len(hit):
+                real = own[hit] < BUCKETS
+                step = np.repeat((g_vec[hit] / real.sum(axis=1, keepdims=True))[:, None], own.shape[1], axis=1)[real]
+                uniq, back = np.unique(own[hit][real], return_inverse=True)
                 g_rows = np.zeros((len(uniq), DIM), "f4")
-                np.add.at(g_rows, back, step)
+                np.add.at(g_rows, back, step.astype("f4"))
                 grown[0][uniq] += g_rows ** 2
                 net.table[uniq] -= 5 * rate * g_rows / np.sqrt(grown[0][uniq])
             for p_, g_, s_ in zip((*net.filters, net.bias, net.out), (*g_filters, g_best.sum(axis=0), g_out), grown[1:], strict=True):
@@ -171,6 +161,10 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> TextCnn:
             grown_base += g.sum() ** 2
             net.base -= np.float32(rate * g.sum() / np.sqrt(grown_base))
     net.training, net.fitted = False, True
+    # The base moves so that the fixed cut lies midway between the edges of the two classes.
+    z = Scorer(net).logits(texts)
+    middle = (np.quantile(z[y == 1], 0.01) + np.quantile(z[y == 0], 0.995)) / 2
+    net.base += np.float32(np.log(CUT / (1 - CUT)) - middle)
     return net
 
 
@@ -188,7 +182,7 @@ class Scorer:
         if new:
             n, names = len(self.index), sorted(new)
             self.index.update({w: n + k for k, w in enumerate(names)})
-            self.shares.append(self.net.project([word_rows(w) for w in names]))
+            self.shares.append(self.net.project(np.array([word_rows(w) for w in names], dtype="i4")))
             if len(self.shares) > 16:
                 self.shares = [np.concatenate(self.shares)]
         starts, lengths = _layout(docs)
@@ -200,9 +194,7 @@ class Scorer:
         ids = np.fromiter((get(w) for d in docs for w in d), dtype="i8", count=int(lengths.sum()))
         return self.net.logits(self.net.maxima(self.shares[0][ids], starts, lengths)[0])
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        if not self.net.fitted:
-            return np.zeros(len(texts))
+    def logits(self, texts: list[str | None]) -> np.ndarray:
         out, group, held = [], [], 0
         for words in _split(texts):
             if group and held + len(words) > TRAIN_WORDS:
@@ -212,8 +204,10 @@ class Scorer:
             held += len(words)
         if group:
             out.append(self._group(group))
-        z = np.concatenate(out) if out else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(z.astype("f8"), -40, 40)))
+        return np.concatenate(out).astype("f8") if out else np.zeros(0)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -40, 40))) if self.net.fitted else np.zeros(len(texts))
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> TextCnn:
