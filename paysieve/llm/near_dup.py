@@ -7,10 +7,11 @@ estimate how many samples differ.  Documents with equal sets form a class, repre
 Candidates never become all pairs of a bucket:
 1. every class is compared with hubs only: a bucket's hubs are its smallest and its largest member, and a class takes
    the ``HUBS`` it shares most buckets with;
-2. in buckets that then still hold several components, the classes outside the bucket's main component are compared
-   with the members of other components wherever their sketches allow a link, so that no link between components is lost.
+2. in buckets that then still hold several components, the sketches of classes outside the bucket's main component are
+   compared with those of members of other components, and every pair that may be a link is confirmed, so that no link
+   between components is lost.  A pair that shares several such buckets comes out of the smallest one only.
 Comparing sketches inside a bucket is a join with a condition on the sketches' words, salted by bucket size: it streams,
-and only pairs that pass come out.  Each of them is confirmed on both full sets.
+and only pairs that pass come out.  Links are confirmed on both full sets.
 
 Links become components by alternating large-star and small-star steps, checkpointed in the shared folder.
 
@@ -133,7 +134,7 @@ def _confirm_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.  Only the texts of nodes in pairs are read again."""
     pairs = saved(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     sets = saved(rows.join(nodes, rows["doc_id"] == nodes["node"], "left_semi").mapInPandas(_set_batches, "node long, found binary"))
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("found_a")), "a")
@@ -172,17 +173,20 @@ def _differing(a: str, b: str) -> Column:
 
 
 def _near(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b: members of one bucket but of different components, one of them outside its main one, whose sketches allow a link."""
+    """a, b: nodes of one bucket but of different components, one of them outside its main one, whose sketches allow a link."""
     known = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     sizes = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
     buckets = buckets.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
-    rows = saved(known.join(buckets, "key").join(sketches, "node"))
+    rows = known.join(buckets, "key")
+    mixed = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most the bands of a class
+    rows = saved(rows.join(mixed, "node").join(sketches, "node"))
     all_rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("y")
     outside = rows.where("comp <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
     same_place = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt"))
-    pairs = outside.join(all_rows, same_place & (F.col("x.comp") != F.col("y.comp")) & (_differing("x", "y") <= MAX_DIFFERING))
-    return pairs.select(*_pair("x.node", "y.node"))
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    pairs = outside.join(all_rows, same_place & (F.col("x.comp") != F.col("y.comp")) & (_differing("x", "y") <= MAX_DIFFERING) & first)
+    return pairs.select(*_pair("x.node", "y.node")).distinct()
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -208,7 +212,7 @@ def groups(docs: DataFrame) -> DataFrame:
     labels = components(confirm(docs, rated.select("a", "b")))
 
     # 2. what is still apart
-    links = confirm(docs, _near(members, labels, sketches).distinct())
+    links = confirm(docs, _near(members, labels, sketches))
     labels = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
     named = classes.select("same", "node").join(labels, "node", "left").select("same", F.coalesce("comp", "node").alias("comp"))
