@@ -141,14 +141,21 @@ GRID_TYPE = T.StructType([T.StructField("vec", T.ArrayType(T.DoubleType())), T.S
 @F.pandas_udf(GRID_TYPE)
 def byte_grid(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """32x64 byte grid: moments and 4x4 block means cut to 64 values with unit length, plus
-    edge energy and high-byte share by name."""
+    edge energy and high-byte share by name.
+
+    The whole text is laid over the grid in tiles of 2,048 bytes; a cell is the mean over the tiles that reach it."""
     rows, cols = GRID
     for s in texts:
         n = len(s)
         grid = np.zeros((n, rows * cols))
         for i, t in enumerate(s):
-            b = np.frombuffer((t or "").encode("utf-8")[: rows * cols], dtype=np.uint8)
-            grid[i, : b.size] = b / 255.0
+            b = np.frombuffer((t or "").encode("utf-8"), dtype=np.uint8)
+            full, rest = divmod(b.size, rows * cols)
+            total = b[: full * rows * cols].reshape(full, rows * cols).sum(0, dtype=np.float64)
+            total[:rest] += b[full * rows * cols:]
+            tiles = np.full(rows * cols, max(full, 1))
+            tiles[:rest] = full + 1
+            grid[i] = total / tiles / 255.0
         g = grid.reshape(n, rows, cols)
         blocks = g.reshape(n, rows // 4, 4, cols // 4, 4).mean(axis=(2, 4)).reshape(n, -1)
         head = np.column_stack([grid.mean(1), grid.std(1), (grid > 0.6).mean(1), (grid < 0.05).mean(1)])
