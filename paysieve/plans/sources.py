@@ -94,7 +94,7 @@ def _bp(spark, sf):
 @query("src_blankline_blocks")
 def _bl(spark, sf):
     path = S.scratch(spark, "anomalous")
-    requests(spark, sf).filter("body=''").select(F.concat(F.col("method"), F.lit(" "), F.col("url"), F.lit(" HTTP/1.1\nCookie: "), F.col("cookie"), F.lit("\n")).alias("value")).write.text(path)
+    S.write_blank_line_blocks(requests(spark, sf), path)
     b = S.read_blank_line_blocks(spark, path)
     rows = b.select("raw_label", F.explode(G.block_payloads(F.col("block"))).alias("payload"))
     return rows.groupBy(infer_label(F.col("payload"), F.col("raw_label")).alias("label")).agg(F.count("*").alias("n"))

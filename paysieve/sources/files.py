@@ -42,7 +42,22 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return df.select("seq", F.coalesce("payload", F.lit("")).alias("payload"), F.coalesce("true_label", "label").alias("label"), F.coalesce("predicted", "pred").alias("pred"), "source")
 
 
+# A body line holds no line break: % and the breaks are escaped, so no body ends its block.
+BODY_LINE = "\nX-Escaped-Body: "
+
+
+def write_blank_line_blocks(requests: DataFrame, path: str) -> None:
+    """Every request as one HTTP text block and a blank line; the body is one escaped header line."""
+    body = F.replace(F.replace(F.replace("body", F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")), F.lit("\r"), F.lit("%0D"))
+    head = F.concat(F.col("method"), F.lit(" "), F.col("url"), F.lit(" HTTP/1.1\nCookie: "), F.col("cookie"))
+    requests.select(F.concat(head, F.when(F.col("body") != "", F.concat(F.lit(BODY_LINE), body)).otherwise(""), F.lit("\n")).alias("value")).write.text(path)
+
+
 def read_blank_line_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """HTTP text blocks separated by blank lines; the file name tells attack from normal."""
+    """HTTP text blocks separated by blank lines, an escaped body put back behind its blank line; the file name tells attack from normal."""
     df = spark.read.option("lineSep", "\n\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    return df.filter(F.trim("value") != "").select(F.col("value").alias("block"), F.when(F.col("file").rlike("(?i)anom"), "anom").otherwise("norm").alias("raw_label"))
+    at = F.instr("value", BODY_LINE)
+    body = F.substr("value", at + len(BODY_LINE))
+    body = F.replace(F.replace(F.replace(body, F.lit("%0A"), F.lit("\n")), F.lit("%0D"), F.lit("\r")), F.lit("%25"), F.lit("%"))
+    block = F.when(at > 0, F.concat(F.substr("value", F.lit(1), at - 1), F.lit("\n\n"), body)).otherwise(F.col("value"))
+    return df.filter(F.trim("value") != "").select(block.alias("block"), F.when(F.col("file").rlike("(?i)anom"), "anom").otherwise("norm").alias("raw_label"))

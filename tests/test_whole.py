@@ -1,9 +1,14 @@
 """Jobs cover whole texts and whole tables."""
 
 import numpy as np
+from check import table
+from conftest import SF
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from paysieve.fixtures import requests
 from paysieve.functions import features as X
+from paysieve.sources import files as S
 
 
 def plain_grid(text):
@@ -26,3 +31,26 @@ def test_byte_grid_covers_the_whole_text(spark):
         vec = np.concatenate([[g.mean(), g.std(), (g > 0.6).mean(), (g < 0.05).mean()], blocks])[:64]
         n = np.linalg.norm(vec)
         assert np.allclose(r.g.vec, vec / n if n > 1e-8 else vec), r.id
+
+
+def test_blank_line_blocks_hold_every_request_and_body(spark, duck):
+    path = S.scratch(spark, "anomalous")
+    S.write_blank_line_blocks(requests(spark, SF), path)
+    b = S.read_blank_line_blocks(spark, path)
+    want = requests(spark, SF).select(F.concat("method", F.lit(" "), "url", F.lit(" HTTP/1.1\nCookie: "), "cookie", F.when(F.col("body") != "", F.concat(F.lit("\n\n"), "body")).otherwise("")).alias("b"))
+    strip = lambda c: F.regexp_replace(c, "\n$", "")
+    assert sorted(r[0] for r in b.select(strip("block")).collect()) == sorted(r[0] for r in want.select(strip("b")).collect())
+    # the oracle's text without its filter
+    sql = entry.oracle_sql()["src_blankline_blocks"].replace(" WHERE body=''", "")
+    df = entry.queries()["src_blankline_blocks"](spark, SF)
+    cur = duck.execute(sql)
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == table([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_body_escapes_are_undone(spark):
+    bodies = ["a=1\n\nb=2", "x\r\n\r\ny", "%0A%25%0D", "%250A", "\n\n", "{\"k\": \"v\"}", ""]
+    df = spark.createDataFrame([("POST", f"/{i}", "c=1", b) for i, b in enumerate(bodies)], "method string, url string, cookie string, body string")
+    path = S.scratch(spark, "normal")
+    S.write_blank_line_blocks(df, path)
+    got = {r.block.split(" ")[1]: r.block.partition("\n\n")[2] for r in S.read_blank_line_blocks(spark, path).collect()}
+    assert {k: v.removesuffix("\n") if bodies[int(k[1:])] == "" else v for k, v in got.items()} == {f"/{i}": b for i, b in enumerate(bodies)}
