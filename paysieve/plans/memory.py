@@ -96,9 +96,10 @@ def _fuse(spark, sf):
 
 # --- retrieval ---------------------------------------------------------------------------------
 def search_sides(spark, sf):
+    """Every row whose id is divisible by 50 is a query; all rows are searched."""
     e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("qid"), "embedding")
-    c = e.filter("vec_id >= 5").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("c"), F.pmod("label", F.lit(4)).cast("string")).alias("category"), "embedding")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    c = e.select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("c"), F.pmod("label", F.lit(4)).cast("string")).alias("category"), "embedding")
     return q, c
 
 

@@ -1,6 +1,7 @@
 """Jobs cover whole texts and whole tables."""
 
 import numpy as np
+import pytest
 from check import table
 from conftest import SF
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from paysieve.fixtures import requests
 from paysieve.functions import features as X
+from paysieve.operators import retrieval as RT
+from paysieve.plans.memory import search_sides
 from paysieve.sources import files as S
 
 
@@ -54,3 +57,19 @@ def test_body_escapes_are_undone(spark):
     S.write_blank_line_blocks(df, path)
     got = {r.block.split(" ")[1]: r.block.partition("\n\n")[2] for r in S.read_blank_line_blocks(spark, path).collect()}
     assert {k: v.removesuffix("\n") if bodies[int(k[1:])] == "" else v for k, v in got.items()} == {f"/{i}": b for i, b in enumerate(bodies)}
+
+
+@pytest.mark.parametrize("key", ["jn_retrieve", "rag_context"])
+def test_searches_take_every_fiftieth_row_against_all(spark, duck, key):
+    # the oracle's text with whole query and chunk sides
+    sql = entry.oracle_sql()[key].replace("q.vec_id<5 AND c.vec_id>=5", "q.vec_id%50=0")
+    df = entry.queries()[key](spark, SF)
+    cur = duck.execute(sql)
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == table([c[0] for c in cur.description], cur.fetchall())
+
+
+@pytest.mark.parametrize("per_category", [False, True])
+def test_search_is_the_same_in_one_and_in_many_blocks(spark, per_category):
+    q, c = search_sides(spark, SF)
+    a, b = (sorted(tuple(r) for r in RT.search(q, c, "embedding", 3, per_category, *sizes).select("qid", "chunk_id", "category", "rank").collect()) for sizes in ((), (3, 20)))
+    assert a == b and len(a) >= 3 * q.count()
