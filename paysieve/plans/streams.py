@@ -30,7 +30,7 @@ def _detect(spark, sf):
 
 @query("str_source_state")
 def _state(spark, sf):
-    return J.run_to_table(J.source_series(J.event_stream(spark, sf)), "series").select("event_id", "user_id", F.col("n_points").cast("bigint").alias("n_points"), F.round("anom", 5).alias("anom"))
+    return J.source_series(J.event_stream(spark, sf)).select("event_id", "user_id", "n_points", F.round("anom", 5).alias("anom"))
 
 
 @query("str_windowed_stats")
@@ -76,7 +76,7 @@ def _adapt(spark, sf):
     f = feedback(spark, sf).filter("tier='canary'")
     f.select("seq", F.when(F.col("reward") < 0, F.col("true_label")).otherwise(F.col("predicted")).alias("label"), "reward").write.parquet(path)
     s = spark.readStream.schema("seq BIGINT, label STRING, reward DOUBLE").parquet(path)
-    return J.run_to_table(J.adaptive_thresholds(s), "policy").groupBy("label").agg(F.count("*").alias("episodes"), F.round(F.max_by("threshold", "seq"), 6).alias("threshold"))
+    return J.adaptive_thresholds(s).groupBy("label").agg(F.max("episodes").alias("episodes"), F.round(F.max_by("threshold", "epoch"), 6).alias("threshold"))
 
 
 @query("str_feedback_memory")

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paysieve.functions.labels import infer_label
+from paysieve.operators import windows as W
+from paysieve.operators.scale import clamp_fold
 from paysieve.plans.normalise import normalised
 from paysieve.session import evaluated_once
 from paysieve.sources.files import scratch
 
-SERIES = 16
-
 
 def event_stream(spark: SparkSession, sf: str, files_per_trigger: int | None = None) -> DataFrame:
     """Events as a file stream with event time."""
@@ -63,55 +58,68 @@ def deduplicated(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return events.withColumn("payload_hash", h).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["payload_hash"]).select("event_id", "ts", "payload_hash")
 
 
-RING_OUT = "event_id bigint, user_id bigint, n_points int, anom double"
-RING_STATE = "last_us bigint, rates array<double>, primary_ array<double>"
+def stateful_batches(df: DataFrame, name: str, step) -> DataFrame:
+    """Runs ``step(batch, epoch, state) -> (rows, next state)`` over all micro-batches; the first state is None.
+
+    Rows and state are tables with one folder per epoch; an epoch that is run again replaces its own.
+    """
+    out, kept = scratch(df.sparkSession, name), scratch(df.sparkSession, f"{name}-state")
 
+    def handle(batch: DataFrame, epoch: int) -> None:
+        state = batch.sparkSession.read.parquet(f"{kept}/{epoch - 1}") if epoch else None
+        rows, after = step(batch, epoch, state)
+        rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        after.write.mode("overwrite").parquet(f"{kept}/{epoch}")
+    run_batches(df, name, handle)
+    return df.sparkSession.read.parquet(out)
 
-def _ring(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Ring of sixteen points per source: rate and entropy series -> anomaly score per event."""
-    last, rates, prim = state.get if state.exists else (None, [], [])
-    rates, prim = list(rates), list(prim)
-    # A key's rows of one micro-batch may arrive in several Arrow batches: order holds over all of them.
-    for pdf in [pd.concat(list(batches)).sort_values(["us", "event_id"])]:
-        n_points, anom = [], []
-        for us, ent in zip(pdf["us"].to_numpy(), pdf["entropy"].to_numpy()):
-            rates = (rates + [1.0 if last is None else float(1.0 / max((int(us) - last) / 1e6, 1e-6))])[-SERIES:]
-            prim, last = (prim + [float(ent)])[-SERIES:], int(us)
-            x, r = np.zeros(SERIES), np.zeros(SERIES)
-            x[SERIES - len(prim):], r[SERIES - len(rates):] = prim, rates
-            pad = np.concatenate([[0.0, 0.0], x, [0.0]])
-            trend = (pad[:-3] + pad[1:-2] + pad[2:-1] + pad[3:]) / 4
-            z = 2 * np.abs(x - trend).mean() + abs(trend[-1] - trend[0]) + 0.1 * r.mean()
-            n_points.append(len(prim))
-            anom.append(1.0 / (1.0 + np.exp(-z)))
-        yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": key[0], "n_points": np.array(n_points, dtype=np.int32), "anom": anom})
-    state.update((last, rates, prim))
+
+def series_step(batch: DataFrame, epoch: int, state: DataFrame | None, rows: int = W.CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rate and entropy series of the last sixteen points per source -> anomaly score per event.
+
+    A source's points of one batch are split into time chunks with a halo; its last sixteen points are the
+    state and stand before the whole next batch, so no source is gathered in one task.
+    """
+    cols = ["user_id", "epoch_", "ts", "event_id", "entropy"]
+    now = W.time_chunks(batch.withColumn("epoch_", F.lit(epoch).cast("bigint")).select(*cols), "ts", rows)
+    if state is not None:
+        now = state.select(*cols, F.lit(-1).cast("bigint").alias("tc_")).unionByName(now)
+    order = ["epoch_", "ts", "event_id"]
+    scored = W.series_encoding(W.source_matrix(now, "user_id", order, ["entropy"])).filter(F.col("epoch_") == epoch)
+    last = now
+    for key in (["user_id", "tc_"], ["user_id"]):
+        w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
+        last = last.withColumn("rn_", F.row_number().over(w)).filter(F.col("rn_") <= W.SERIES)
+    return scored.select("event_id", "user_id", "n_points", "anom"), last.select(*cols)
 
 
 def source_series(events: DataFrame) -> DataFrame:
     from paysieve.functions.features import entropy
-    e = events.select("event_id", "user_id", F.unix_micros("ts").alias("us"), entropy(F.concat_ws("|", "event_type", "props")).alias("entropy"))
-    return e.groupBy("user_id").applyInPandasWithState(_ring, RING_OUT, RING_STATE, "append", GroupStateTimeout.NoTimeout)
+    e = events.select("event_id", "user_id", "ts", entropy(F.concat_ws("|", "event_type", "props")).alias("entropy"))
+    return stateful_batches(e, "series", series_step)
 
 
-POLICY_OUT = "label string, seq bigint, threshold double, event string"
-POLICY_STATE = "threshold double, episodes bigint"
 BASE, DRIFT, LR = 0.38, 0.08, 0.05
 
 
-def _policy(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Canary learning per class: step on each reward, at most DRIFT away from the stable threshold."""
-    thr, episodes = state.get if state.exists else (BASE, 0)
-    for pdf in [pd.concat(list(batches)).sort_values("seq")]:
-        step = np.where(pdf["reward"].to_numpy() < 0, -LR * 0.5, LR * 0.1)
-        path = np.empty(len(step))
-        for i, d in enumerate(step):
-            thr = min(max(min(max(thr + d, 0.2), 0.95), BASE - DRIFT), BASE + DRIFT)
-            path[i] = thr
-        episodes += len(step)
-        yield pd.DataFrame({"label": key[0], "seq": pdf["seq"], "threshold": path, "event": "learn"})
-    state.update((float(thr), int(episodes)))
+def policy_step(batch: DataFrame, epoch: int, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Canary learning per class: step on each reward, at most DRIFT away from the stable threshold.
+
+    Rows hold the threshold of a class after the batch and its episodes so far.  The steps compose, so they are
+    folded in chunks; the threshold so far is the first step of its class.
+    """
+    step = F.when(F.col("reward") < 0, -LR * 0.5).otherwise(LR * 0.1)
+    steps = batch.select("label", "seq", step.alias("d"))
+    n = batch.groupBy("label").agg(F.count("*").alias("n_"))
+    if state is not None:
+        first = batch.agg((F.min("seq") - 1).alias("seq"))
+        steps = state.crossJoin(F.broadcast(first)).select("label", "seq", (F.col("threshold") - BASE).alias("d")).unionByName(steps)
+        n = state.select("label", F.col("episodes").alias("n_")).unionByName(n).groupBy("label").agg(F.sum("n_").alias("n_"))
+    fold = clamp_fold(steps, "label", "seq", F.col("d"), BASE - DRIFT, BASE + DRIFT, F.lit(BASE))
+    after = fold.join(n, "label").select("label", F.col("value").alias("threshold"), F.col("n_").alias("episodes"))
+    return after, after
 
 
 def adaptive_thresholds(feedback: DataFrame) -> DataFrame:
-    return feedback.groupBy("label").applyInPandasWithState(_policy, POLICY_OUT, POLICY_STATE, "append", GroupStateTimeout.NoTimeout)
+    """Threshold and episodes per class after each batch (column ``epoch``)."""
+    return stateful_batches(feedback, "policy", policy_step)

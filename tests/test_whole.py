@@ -12,6 +12,7 @@ from paysieve.functions import features as X
 from paysieve.operators import retrieval as RT
 from paysieve.plans.memory import search_sides
 from paysieve.sources import files as S
+from paysieve.streaming import jobs as J
 
 
 def plain_grid(text):
@@ -73,3 +74,60 @@ def test_search_is_the_same_in_one_and_in_many_blocks(spark, per_category):
     q, c = search_sides(spark, SF)
     a, b = (sorted(tuple(r) for r in RT.search(q, c, "embedding", 3, per_category, *sizes).select("qid", "chunk_id", "category", "rank").collect()) for sizes in ((), (3, 20)))
     assert a == b and len(a) >= 3 * q.count()
+
+
+def test_hot_source_is_scored_in_chunks_and_over_batches(spark):
+    n = 900
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id") % 40).cast("bigint").alias("user_id"),
+                               F.timestamp_seconds(F.floor(F.col("id") * 7 / 2)).alias("ts"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 20).alias("entropy"))
+    want, seen = {}, {}
+    for r in df.orderBy("ts", "event_id").collect():  # one ring after the other
+        last, rates, x = seen.get(r.user_id, (None, [], []))
+        us = r.ts.timestamp()
+        rates, x = (rates + [1.0 if last is None else 1.0 / max(us - last, 1e-6)])[-16:], (x + [r.entropy])[-16:]
+        seen[r.user_id] = us, rates, x
+        full = np.array([0.0] * (16 - len(x)) + x)
+        pad = np.concatenate([[0, 0], full, [0]])
+        trend = (pad[:-3] + pad[1:-2] + pad[2:-1] + pad[3:]) / 4
+        want[r.event_id] = len(x), 1 / (1 + np.exp(-(2 * np.abs(full - trend).mean() + abs(trend[-1] - trend[0]) + 0.1 * sum(rates) / 16)))
+    whole, _ = J.series_step(df, 0, None, 50)
+    a, state = J.series_step(df.filter("event_id < 300"), 0, None, 50)
+    b, state = J.series_step(df.filter("event_id >= 300"), 1, state, 50)
+    assert max(r.n for r in state.groupBy("user_id").agg(F.count("*").alias("n")).collect()) == 16
+    for got in (whole, a.unionByName(b)):
+        rows = got.collect()
+        assert len(rows) == n
+        assert all(r.n_points == want[r.event_id][0] and np.isclose(r.anom, want[r.event_id][1]) for r in rows)
+
+
+def test_policy_of_a_hot_label_is_folded_over_batches(spark):
+    df = spark.range(5000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 4)).alias("label"),
+                                  F.when(F.pmod(F.xxhash64("id"), F.lit(6)) == 0, -1.0).otherwise(1.0).alias("reward"))
+    want = {}
+    for r in df.orderBy("seq").collect():
+        t, n = want.get(r.label, (0.38, 0))
+        want[r.label] = min(max(t + (-0.025 if r.reward < 0 else 0.005), 0.30), 0.46), n + 1
+    state = None
+    for epoch, rows in enumerate((df.filter("seq < 1700"), df.filter("seq >= 1700 and label = 'hot'"), df.filter("seq >= 1700 and label <> 'hot'"))):
+        out, state = J.policy_step(rows, epoch, state)
+    got = {r.label: (round(r.threshold, 9), r.episodes) for r in out.collect()}
+    assert got == {k: (round(t, 9), n) for k, (t, n) in want.items()}
+
+
+@pytest.mark.parametrize("key", ["str_source_state", "str_adaptive_feedback"])
+def test_no_task_gathers_a_key_in_pandas(spark, key):
+    plans = []
+    run = J.stateful_batches
+
+    def spy(df, name, step):
+        def watched(batch, epoch, state):
+            rows, after = step(batch, epoch, state)
+            plans.extend(d._jdf.queryExecution().toString() for d in (rows, after))
+            return rows, after
+        return run(df, name, watched)
+    J.stateful_batches = spy
+    try:
+        entry.queries()[key](spark, SF)
+    finally:
+        J.stateful_batches = run
+    assert plans and not any("InPandas" in p for p in plans)
