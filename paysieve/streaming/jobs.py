@@ -31,8 +31,8 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-def run_batches(df: DataFrame, name: str, handle) -> None:
-    ckpt = scratch(df.sparkSession, f"{name}-ckpt")
+def run_batches(df: DataFrame, name: str, handle, ckpt: str | None = None) -> None:
+    ckpt = ckpt or scratch(df.sparkSession, f"{name}-ckpt")
     df.writeStream.foreachBatch(handle).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -58,22 +58,36 @@ def deduplicated(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return events.withColumn("payload_hash", h).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["payload_hash"]).select("event_id", "ts", "payload_hash")
 
 
-def stateful_batches(df: DataFrame, name: str, step) -> DataFrame:
+def stateful_batches(df: DataFrame, name: str, step, folder: str | None = None) -> DataFrame:
     """Runs ``step(batch, epoch, state) -> (rows, next state)`` over all micro-batches; the first state is None.
 
-    Rows and state are tables with one folder per epoch; an epoch that is run again replaces its own.
+    Rows and state are tables with one folder per epoch; an epoch that is run again replaces its own.  A stream
+    that is started again with the same ``folder`` goes on where it ended.
     """
-    out, kept = scratch(df.sparkSession, name), scratch(df.sparkSession, f"{name}-state")
+    folder = folder or scratch(df.sparkSession, name)
+    out, kept = f"{folder}/rows", f"{folder}/state"
 
     def handle(batch: DataFrame, epoch: int) -> None:
         state = batch.sparkSession.read.parquet(f"{kept}/{epoch - 1}") if epoch else None
         rows, after = step(batch, epoch, state)
         rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         after.write.mode("overwrite").parquet(f"{kept}/{epoch}")
-    run_batches(df, name, handle)
+    run_batches(df, name, handle, f"{folder}/ckpt")
     return df.sparkSession.read.parquet(out)
 
 
+def late_step(batch: DataFrame, epoch: int, state: DataFrame | None, delay_ms: int = 600_000, width: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """Input rows of a batch behind the watermark (latest time of all earlier batches less the delay, in milliseconds),
+    and those among them whose window has closed, which ``windowed_counts`` drops."""
+    newest = batch.agg(F.max("ts").alias("newest"))
+    if state is None:
+        return batch.agg(F.lit(0).cast("bigint").alias("late_rows"), F.lit(0).cast("bigint").alias("dropped_rows")), newest
+    mark = F.timestamp_millis(F.unix_millis("newest") - delay_ms)
+    rows = batch.select("ts", F.window("ts", width)["end"].alias("end_ts")).crossJoin(F.broadcast(state.select(mark.alias("mark"))))
+    counts = rows.agg(F.count_if(F.col("ts") < F.col("mark")).alias("late_rows"), F.count_if(F.col("end_ts") <= F.col("mark")).alias("dropped_rows"))
+    return counts, state.unionByName(newest).agg(F.max("newest").alias("newest"))
+
+
 def series_step(batch: DataFrame, epoch: int, state: DataFrame | None, rows: int = W.CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Rate and entropy series of the last sixteen points per source -> anomaly score per event.
 

@@ -1,5 +1,7 @@
 """Jobs cover whole texts and whole tables."""
 
+import inspect
+
 import numpy as np
 import pytest
 from check import table
@@ -131,3 +133,12 @@ def test_no_task_gathers_a_key_in_pandas(spark, key):
     finally:
         J.stateful_batches = run
     assert plans and not any("InPandas" in p for p in plans)
+
+
+def test_late_rows_are_counted_as_input_rows(spark, duck):
+    df = entry.queries()["str_late_data"](spark, SF)
+    want = duck.execute("""WITH s AS (SELECT min(ts)+(max(ts)-min(ts))/2 AS mid, date_trunc('millisecond',max(ts)) - INTERVAL 10 MINUTE AS mark FROM events),
+      e AS (SELECT ts, date_trunc('hour',ts) + INTERVAL 1 HOUR AS end_ts, ts>=mid AS early, mark FROM events, s)
+      SELECT count(*) FILTER (early AND end_ts<=mark), count(*) FILTER (NOT early AND ts<mark), count(*) FILTER (NOT early AND end_ts<=mark) FROM e""").fetchone()
+    assert tuple(df.select("kept", "late_rows", "dropped_rows").first()) == want and want[1] > 0
+    assert "coalesce(1)" not in inspect.getsource(entry.queries()["str_late_data"])
