@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from paysieve.fixtures import requests
 from paysieve.functions import features as X
 from paysieve.operators import retrieval as RT
+from paysieve.plans import learn
 from paysieve.plans.memory import search_sides
 from paysieve.sources import files as S
 from paysieve.streaming import jobs as J
@@ -142,3 +143,18 @@ def test_late_rows_are_counted_as_input_rows(spark, duck):
       SELECT count(*) FILTER (early AND end_ts<=mark), count(*) FILTER (NOT early AND ts<mark), count(*) FILTER (NOT early AND end_ts<=mark) FROM e""").fetchone()
     assert tuple(df.select("kept", "late_rows", "dropped_rows").first()) == want and want[1] > 0
     assert "coalesce(1)" not in inspect.getsource(entry.queries()["str_late_data"])
+
+
+@pytest.mark.parametrize("key", ["ml_rf_train", "ml_rf_score", "ml_incremental_retrain"])
+def test_forests_have_full_size_and_are_measured_on_other_rows(spark, monkeypatch, key):
+    calls, fit = [], learn.fit
+
+    def small(rows, names, trees=learn.TREES, depth=learn.DEPTH):
+        calls.append((trees, depth, rows.filter("row_id % 10 >= 8").count()))
+        return fit(rows, names, 2, 3)
+    monkeypatch.setattr(learn, "fit", small)
+    monkeypatch.setattr(learn, "MIN_SAMPLES", 1)
+    out = entry.queries()[key](spark, SF).collect()
+    assert calls == [(128, 14, 0)]
+    if key == "ml_incremental_retrain":
+        assert out[0].status == "trained" and out[0].held_out > 0 and 0 <= out[0].fit <= 1
