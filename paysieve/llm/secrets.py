@@ -30,7 +30,7 @@ MIN_VALUE, MIN_ACCESS = 12, 18
 # Candidates of the models: runs with letters and digits mixed; ordinary ones may be letters only.
 CANDIDATE = r"[A-Za-z0-9_+/=-]{16,}"
 CODES, ORDINARY, RANDOM = 128, "ordinary", "random"
-MEAN_RATIO, RUN_RATIO, MIN_SAMPLES = 0.5, 12.0, 50
+MEAN_RATIO, RUN_RATIO = 0.5, 12.0
 SPAN = "struct<kind:int,start:int,end:int,value:string>"
 
 
@@ -66,8 +66,9 @@ def _outside(spans: Column, s: Column) -> Column:
 
 
 def candidates(text: Column, spans: Column) -> Column:
-    """Long runs that touch no pattern span."""
-    return F.filter(_matches(text, CANDIDATE, 3, lambda m: F.lit(True), CANDIDATE), lambda s: _outside(spans, s))
+    """Long runs that do not lie fully inside a pattern span."""
+    inside = lambda s: F.exists(spans, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    return F.filter(_matches(text, CANDIDATE, 3, lambda m: F.lit(True), CANDIDATE), lambda s: ~inside(s))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -80,7 +81,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
 def pair_counts(scanned: DataFrame) -> DataFrame:
     """label, pair (first code * 128 + second code) and its count over all samples of all documents."""
     random = F.transform(F.col("_base"), lambda s: F.struct(F.lit(RANDOM).alias("label"), s["value"].alias("value")))
-    plain = F.transform(F.col("_runs"), lambda s: F.struct(F.lit(ORDINARY).alias("label"), s["value"].alias("value")))
+    # A run that touches a span is no ordinary sample.
+    plain = F.transform(F.filter(F.col("_runs"), lambda s: _outside(F.col("_base"), s)), lambda s: F.struct(F.lit(ORDINARY).alias("label"), s["value"].alias("value")))
     # Runs that mix digits into letters are what the models have to judge; they are no labelled samples.
     plain = F.filter(plain, lambda s: ~(s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")))
     samples = scanned.select(F.inline(F.concat(random, plain)))
@@ -95,7 +97,7 @@ def fit(docs: DataFrame) -> list[float] | None:
     counts = {ORDINARY: [0] * (CODES * CODES), RANDOM: [0] * (CODES * CODES)}
     for r in rows:
         counts[r.label][r.pair] += r["count"]
-    if min(map(sum, counts.values())) < MIN_SAMPLES:
+    if not all(map(any, counts.values())):
         return None
     alphabet = 64
     out = []
