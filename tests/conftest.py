@@ -2,11 +2,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from paths import SF
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tools"))
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF
+from paths import SF
 from paysieve.operators import memory as M
 from paysieve.operators import windows as W
 from paysieve.operators.scale import clamp_fold, lowest_per_group, md5_number

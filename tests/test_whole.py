@@ -5,7 +5,7 @@ import inspect
 import numpy as np
 import pytest
 from check import table
-from conftest import SF
+from paths import SF
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
