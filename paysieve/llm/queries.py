@@ -214,3 +214,43 @@ prior AS (SELECT m, CASE WHEN tau > 0 THEN least(1000, greatest(2, m * (1 - m) /
 rates AS (SELECT source, (f + greatest(1e-6, m * s)) / (n + greatest(1e-6, m * s) + greatest(1e-6, (1 - m) * s)) AS rate FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate, 0) < 0.8 AS kept FROM judged LEFT JOIN rates USING (source)
 """
+
+
+@register
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the leading components of the covariance of all, scaled to unit variance."""
+    from paysieve.llm.whitening import whiten
+    out = whiten(table(spark, sf_dir, "embeddings"))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return out.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", parts).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+@register
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, from ball trees over all documents."""
+    from paysieve.llm.ball_tree import ranked
+    items = table(spark, sf_dir, "benchmark")
+    kind = dict(items.dtypes)["item_id"]
+    return ranked(table(spark, sf_dir, "documents"), items).select(F.col("item_id").cast(kind).alias("item_id"), "rank", "doc_id", "score")
+
+
+ORACLES["op12_ranked_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, cast(sum(len(w)) AS bigint) AS n_terms FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+weight AS (SELECT term, cast(floor(1000 * ln(((2 * n_docs + 2)::DOUBLE) / (2 * count(*) + 1))) AS bigint) AS w FROM tf, total GROUP BY term, n_docs),
+impact AS (SELECT tf.r, d.doc_id, tf.term, weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(d.w) * n_docs) // n_terms))) AS part FROM tf JOIN d ON tf.r = d.r JOIN weight ON weight.term = tf.term, total WHERE d.doc_id IS NOT NULL),
+scores AS (SELECT item_id, r, doc_id, cast(sum(part) AS bigint) AS score FROM i JOIN impact USING (term) GROUP BY item_id, r, doc_id)
+SELECT item_id, cast(rank AS integer) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@register
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest rows of every twentieth row, by inner product, from vantage-point trees over all rows."""
+    from paysieve.llm import vantage as v
+    return v.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % v.EVERY == 0)
