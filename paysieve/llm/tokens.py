@@ -2,14 +2,16 @@
 
 ``IdEncoder`` encodes with the tokenizers library.  The tokenizer cuts a text into pieces before it merges bytes, and a
 single blank or line break before a visible character always starts a new piece; so a chunk of such a text always has
-the same ids, and a task keeps the ids of the chunks it has met.  New chunks are encoded together, one per line.  Texts
-with any other white space go to the tokenizer whole.
+the same ids.  A group of texts is cut into chunks and made distinct in Arrow, the chunks that the task has not met are
+encoded together, one per line, and the ids of all texts are gathered by chunk number in numpy.  Texts with any other
+white space go to the tokenizer whole.  What a task keeps is bounded (``KEPT_BYTES``) and freed when it ends.
 
-Files of ``write_ids``: documents are sorted by doc_id across range partitions.  Every partition writes a flat file of
-unsigned ids (the narrowest type that holds the vocabulary), a file of 64-bit offsets (one more than documents, in ids
-from the partition's start) and a file of 64-bit doc_ids.  A partition's base, the number of ids in all before it, is a
-prefix sum over one row per partition.  ``read_ids`` maps the files into memory, task by task.  A task writes under an
-attempt's own name and renames, so a repeated task leaves the same files.
+Files of ``write_ids``: documents are sorted by doc_id (rows of one id by length and hash of their texts) across range
+partitions.  Every partition writes a flat file of unsigned ids (the narrowest type that holds the vocabulary), a file of
+64-bit offsets (one more than documents, in ids from the partition's start) and a file of 64-bit doc_ids.  A partition's
+base, the number of ids in all before it, is a prefix sum over one row per partition.  ``read_ids`` maps the files into
+memory, task by task (off a local file system they are read).  A task writes under an attempt's own name and renames, so
+a repeated task leaves the same files.
 
 Defined cases: null text is empty and has only the end id; a null doc_id sorts first and is read back as null; repeated
 doc_ids keep all their rows, ordered by text; an empty table gives no files and no rows; other columns are ignored.
@@ -18,7 +20,6 @@ doc_ids keep all their rows, ordered by text; an empty table gives no files and
 from __future__ import annotations
 
 import functools
-import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -26,15 +27,22 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paysieve.llm.common import saved, shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
-CHUNKS = 1_000_000  # chunks whose ids a task keeps before it starts anew
-GROUP_CHARS = 4 << 20  # characters encoded at once, besides a longer single text
-SPECIAL = "<|endoftext|>"
+KEPT_BYTES = 48 << 20  # size of the chunks of one generation, counted with CHUNK_COST each; two generations are kept
+CHUNK_COST = 150
+GROUP_BYTES = 4 << 20  # text encoded at once, besides a longer single text
+# What sends a text to the tokenizer whole: its special token, NUL, white space other than single blanks and line breaks.
+UNEVEN = (r"<\|endoftext\|>|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+          r"|[ \n][ \n]|^[ \n]|[ \n]$")
+# A letter or digit and a sign that is no apostrophe never share a piece; a cut there makes far fewer chunks differ.
+SIGN = r"([A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~])"
 NO_ID = -(1 << 63)
 
 
@@ -44,7 +52,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class IdEncoder:
-    """Texts to ids as little-endian unsigned bytes of ``dtype``."""
+    """Texts to ids of ``dtype``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,53 +61,77 @@ class IdEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline = self._ids("\n")
         # The short way needs the cut at blanks and line breaks that byte-level tokenizers make.
-        cut = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a b\nc")] if self.tokenizer.pre_tokenizer else []
-        self.short = self.tokenizer.normalizer is None and len(cut) == 4 and len(self.newline) == self.dtype.itemsize
-        self.known: dict[str, bytes] = {}
+        cut = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a b\nc.d1\u00e9%")] if self.tokenizer.pre_tokenizer else []
+        self.short = self.tokenizer.normalizer is None and len(cut) == 9 and len(self.newline) == 1
+        self.forget()
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.kept = 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks as bytes.  What is met again moves from the old generation to the young one."""
+        if self.kept > KEPT_BYTES:
+            self.known, self.old, self.kept = {}, self.known, 0
+        known, old = self.known, self.old
+        unknown = []
+        for c in chunks:
+            if c not in known:
+                if c in old:
+                    known[c] = old[c]
+                    self.kept += len(c) + CHUNK_COST
+                elif c:
+                    unknown.append(c)
+        if unknown:
+            self._learn(unknown)
+        return [known[c] if c else b"" for c in chunks]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Ids of chunks; a chunk that ends in a line break keeps it, the rest hold none."""
-        line = np.frombuffer(self.newline, self.dtype)[0]
+        """Ids of new chunks; a chunk that ends in a line break keeps it, the rest hold none."""
         joined = "\n".join([c.rstrip("\n") for c in chunks])
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        size, flat = self.dtype.itemsize, ids.tobytes()
-        ends = np.flatnonzero(ids == line)
+        size, flat, line = self.dtype.itemsize, ids.tobytes(), self.newline.tobytes()
+        ends = np.flatnonzero(ids == self.newline[0])
         for c, i, j in zip(chunks, [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(flat)], strict=True):
-            self.known[c] = flat[i:j] + self.newline if c[-1] == "\n" else flat[i:j]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for t in texts:
-            plain = self.short and t and SPECIAL not in t and " ".join(t.split()) == t.replace("\n", " ")
-            split.append(t.replace("\n", "\n\0").replace(" ", "\0 ").split("\0") if plain and "\0" not in t else None)
-        new: set[str] = set()
-        for chunks in split:
-            if chunks:
-                new.update(chunks)
-        unknown = [c for c in new if c not in self.known]
-        if len(self.known) + len(unknown) > CHUNKS:
-            self.known, unknown = {}, list(new)
-        if unknown:
-            self._learn(unknown)
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) if chunks else self._ids(t) if t else b"" for t, chunks in zip(texts, split, strict=True)]
-
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids per text, in groups of bounded size."""
-        gc.disable()  # the kept chunks hold no cycles; walking them costs more than all else
-        group, held = [], 0
-        for t in texts:
-            t = t or ""
-            if group and held + len(t) > GROUP_CHARS:
-                yield from self.encode(group)
-                group, held = [], 0
-            group.append(t)
-            held += len(t)
-        yield from self.encode(group)
-        gc.enable()
+            self.known[c] = flat[i:j] + line if c[-1] == "\n" else flat[i:j]
+        self.kept += sum(map(len, chunks)) + CHUNK_COST * len(chunks)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with the end id, and the offsets of the texts in them."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False) if self.short else np.ones(len(texts), bool)
+        even = pc.if_else(pa.array(whole), "", texts)
+        marked = pc.replace_substring(pc.replace_substring(even, "\n", "\n\0"), " ", "\0 ")
+        marked = pc.replace_substring_regex(marked, SIGN, "\\1\0\\2")
+        lists = pc.split_pattern(pc.binary_join_element_wise(marked, "", "\0"), "\0")  # an empty chunk ends every text
+        starts = lists.offsets.to_numpy().astype("i8") - lists.offsets[0].as_py()
+        chunks = lists.flatten().dictionary_encode()
+        names, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy().copy()
+
+        end = self.dtype.type(end_id).tobytes()
+        store = [ids if c else end for c, ids in zip(names, self._ids_of(names), strict=True)]
+        # A text without a cut, or without a word, is one chunk of its own before its end.
+        alone = np.flatnonzero(whole | (np.diff(starts) == 2) & (pc.binary_length(even).to_numpy(zero_copy_only=False) == 0))
+        at[starts[alone]] = len(store) + np.arange(len(alone))
+        store += [self._ids(texts[int(i)].as_py()).tobytes() if whole[i] else b"" for i in alone]
+        taken = pa.array(store, pa.binary()).take(pa.array(at))
+        ends = np.frombuffer(taken.buffers()[1], "i4")[:len(at) + 1].astype("i8") // self.dtype.itemsize
+        return np.frombuffer(taken.buffers()[2], self.dtype)[:ends[-1]], ends[starts]
+
+    def groups(self, batch: pa.RecordBatch, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Parts of a batch with the ids and offsets of their texts, in groups of bounded size."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype("i8"))
+        first = 0
+        while first < len(ends):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + GROUP_BYTES, side="right")))
+            part = batch.slice(first, last - first)
+            yield part, *self.encode(part.column("text"), end_id)
+            first = last
 
 
 def _local(uri: str) -> str | None:
@@ -109,7 +141,7 @@ def _local(uri: str) -> str | None:
 
 @functools.cache
 def encoder_for(path: str) -> IdEncoder:
-    """One encoder per Python worker; later tasks of the worker go on with the chunks it knows."""
+    """One encoder per Python worker: the tokenizer is read once, kept chunks are freed by every task."""
     return IdEncoder(path)
 
 
@@ -149,34 +181,34 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts:
     """
     spark = docs.sparkSession
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         encoder = encoder_for(tokenizer)
-        end = np.array([end_id], dtype=encoder.dtype).tobytes()
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}"
         flat, lengths, names = None, [], []
         for b in batches:
-            flat = flat or _SharedFile(folder, f"{name}.bin")
-            for i, ids in zip(b["doc_id"], encoder.encode_all(b["text"].tolist()), strict=True):
-                flat.write(ids + end)
-                lengths.append(len(ids) // encoder.dtype.itemsize + 1)
-                names.append(NO_ID if pd.isna(i) else int(i))
-        if not lengths:
+            for rows, ids, offsets in encoder.groups(b, end_id):
+                flat = flat or _SharedFile(folder, f"{name}.bin")
+                flat.write(ids.tobytes())
+                lengths.append(np.diff(offsets))
+                names.append(pc.fill_null(rows.column("doc_id"), NO_ID).to_numpy())
+        encoder.forget()
+        if not flat:
             return
         flat.commit()
-        offsets = np.zeros(len(lengths) + 1, "<u8")
-        np.cumsum(lengths, out=offsets[1:])
-        for end_of_name, data in (("idx", offsets), ("doc", np.array(names, "<i8"))):
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<u8")
+        for end_of_name, data in (("idx", offsets), ("doc", np.concatenate(names).astype("<i8"))):
             file = _SharedFile(folder, f"{name}.{end_of_name}")
             file.write(data.tobytes())
             file.commit()
-        yield pd.DataFrame([(part, name, len(lengths), int(offsets[-1]), encoder.dtype.str)], columns=["part", "name", "n_docs", "n_ids", "type"])
+        row = {"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [len(offsets) - 1], "n_ids": [int(offsets[-1])], "type": [encoder.dtype.str]}
+        yield pa.RecordBatch.from_pydict(row)
 
+    order = [F.col("doc_id"), F.length("text"), F.xxhash64("text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = ["doc_id", F.length("text"), F.xxhash64("text")]
-    rows = (rows.repartitionByRange(parts, "doc_id") if parts else rows.repartitionByRange("doc_id")).sortWithinPartitions(*order)
-    written = saved(rows.mapInPandas(run, "part int, name string, n_docs long, n_ids long, type string"))
+    rows = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    written = saved(rows.mapInArrow(run, "part int, name string, n_docs long, n_ids long, type string"))
     base, out = 0, []
     for p in sorted(written.collect()):
         out.append((*p, base))
@@ -199,7 +231,7 @@ def read_ids(parts: DataFrame, folder: str) -> DataFrame:
                     yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
     n = max(1, parts.count())
-    return parts.repartition(n, "part").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    return parts.repartitionByRange(n, "part").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digested(read: DataFrame) -> DataFrame:
@@ -220,6 +252,21 @@ def pieces_of(length: int, limit: int) -> list[int]:
     return [limit] * whole + [1 << k for k in range(limit.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+def all_pieces(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the document, start and length of every piece, in order; the pieces of each are those of ``pieces_of``."""
+    numbers, whole = np.arange(len(lengths)), lengths // limit
+    nth = np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
+    doc, start, length = [np.repeat(numbers, whole)], [nth * limit], [np.full(len(nth), limit, "i8")]
+    for k in range(limit.bit_length() - 2, -1, -1):
+        own = numbers[lengths >> k & 1 == 1]
+        doc.append(own)
+        start.append(lengths[own] >> k + 1 << k + 1)
+        length.append(np.full(len(own), 1 << k, "i8"))
+    doc, start, length = np.concatenate(doc), np.concatenate(start), np.concatenate(length)
+    order = np.lexsort((start, doc))
+    return doc[order], start[order], length[order]
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, limit: int = 1024, ids: bool = True) -> DataFrame:
     """Cut every document into pieces of power-of-two lengths and number the sequences bucket by bucket.
 
@@ -232,27 +279,33 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, limit: int = 1024, ids: b
     if limit & (limit - 1):
         raise ValueError("limit must be a power of two")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
         from pyspark import TaskContext
         encoder, part, seen = encoder_for(tokenizer), TaskContext.get().partitionId(), {}
-        names = ["part", "bucket", "place", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
         for b in batches:
-            rows = []
-            for i, found in zip(b["doc_id"], encoder.encode_all(b["text"].tolist()), strict=True):
-                narrow = np.append(np.frombuffer(found, encoder.dtype), encoder.dtype.type(end_id))
-                own, start = narrow.astype("<u4"), 0
-                for n in pieces_of(len(own), limit):
-                    bucket = n.bit_length() - 1
-                    seen[bucket] = seen.get(bucket, -1) + 1
-                    rows.append((part, bucket, seen[bucket], i, start, n, crc32(own[start:start + n]), len(own), narrow[start:start + n].tobytes() if ids else None))
-                    start += n
-            frame = pd.DataFrame(rows, columns=names)
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            for rows, found, offsets in encoder.groups(b, end_id):
+                doc, start, length = all_pieces(np.diff(offsets), limit)
+                bucket, place = np.log2(length).astype("i4"), np.zeros(len(length), "i8")
+                for k in np.unique(bucket).tolist():
+                    own = bucket == k
+                    place[own] = seen.get(k, 0) + np.arange(own.sum())
+                    seen[k] = seen.get(k, 0) + int(own.sum())
+                wide, ends = memoryview(found.astype("<u4")).cast("B"), 4 * np.cumsum(length)
+                sums = [crc32(wide[i:j]) for i, j in zip((ends - 4 * length).tolist(), ends.tolist(), strict=True)]
+                if ids:
+                    cuts = (np.concatenate([[0], np.cumsum(length)]) * encoder.dtype.itemsize).astype("i8")
+                    own_ids = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(cuts), pa.py_buffer(found.tobytes())]).cast(pa.binary())
+                else:
+                    own_ids = pa.nulls(len(length), pa.binary())
+                cols = {"part": np.full(len(length), part, "i4"), "bucket": bucket, "place": place, "doc_id": rows.column("doc_id").take(pa.array(doc)), "start": start,
+                        "length": length, "ids_crc32": pa.array(sums, pa.int64()), "doc_tokens": np.diff(offsets)[doc], "ids": own_ids}
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], names=list(cols))
+        encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = saved(rows.mapInPandas(run, "part int, bucket int, place long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"))
+    cut = saved(rows.mapInArrow(run, "part int, bucket int, place long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"))
     counts = cut.groupBy("bucket", "part").agg(F.count("*").alias("n")).collect()  # tasks x buckets
     base, bases = 0, []
     for r in sorted(counts):

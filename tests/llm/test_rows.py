@@ -5,12 +5,15 @@ import random
 import re
 import string
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paysieve.llm import host_rules, license_rules, licenses, secrets, tokens, url_trust, warc
+from paysieve.llm.queries import QUERIES
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -124,8 +127,25 @@ def test_cached_ids_equal_the_tokenizer():
     r = random.Random(2)
     bits = ["word", " ", " ", "\n", "Ünder", ",", ".", "'s", "12", "  ", "\t", "\x85", " ", "漢字", "\U0001f600", "<|endoftext|>", "\x00", "-", "a"]
     texts = ["", "a b", "\n", " x", "x\n", *("".join(r.choice(bits) for _ in range(r.randrange(1, 30))) for _ in range(1500))]
-    for t, ids in zip(texts, encoder.encode_all(texts), strict=True):
-        assert np.frombuffer(ids, encoder.dtype).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    for at in range(0, len(texts), 300):
+        group = [*texts[at:at + 300], None]
+        ids, offsets = encoder.encode(pa.array(group), 7)
+        assert offsets[-1] == len(ids) and ids.dtype == encoder.dtype
+        for t, i, j in zip(group, offsets, offsets[1:], strict=False):
+            assert ids[i:j].tolist() == [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 7], repr(t)
+    assert encoder.kept
+    ids, offsets = encoder.encode(pa.array([None, "x"]).slice(1), 7)
+    assert ids.tolist() == [*encoder.tokenizer.encode("x", add_special_tokens=False).ids, 7] and offsets.tolist() == [0, 2]
+
+
+def test_kept_chunks_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 1000)
+    encoder = tokens.IdEncoder(tokens.tokenizer_path())
+    for n in range(50):
+        texts = [f"some word{n * 7 + k} other{k}" for k in range(7)]
+        ids, offsets = encoder.encode(pa.array(texts), 7)
+        assert [ids[i:j].tolist() for i, j in zip(offsets, offsets[1:])] == [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+        assert encoder.kept < 1000 + 20 * (tokens.CHUNK_COST + 20)
 
 
 def test_token_files_round_trip(spark, docs_frame, edge_rows):
@@ -145,6 +165,34 @@ def test_token_files_round_trip(spark, docs_frame, edge_rows):
     assert tokens.read_ids(tokens.write_ids(docs_frame([]), empty, tokens.tokenizer_path(), 2), empty).collect() == []
 
 
+def test_token_queries_return_what_the_tokenizer_says(spark, docs_frame, edge_rows, tmp_path):
+    """Every column of the queries, repeated and missing ids included."""
+    docs_frame(edge_rows).write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = tokens.IdEncoder(tokens.tokenizer_path()).tokenizer
+    crc = lambda ids: crc32(np.array(ids, "<u4").tobytes())
+    truth = [(i, tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in edge_rows]
+    files = sorted(QUERIES["op5_token_files"](spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert [r.start for r in files] == [0, *np.cumsum([r.n_tokens for r in files]).tolist()][:-1]
+    assert [r.doc_id for r in files] == sorted((i for i, _ in truth), key=lambda v: (v is not None, v))
+    assert sorted(key(r[:1] + r[2:]) for r in files) == sorted(key((i, len(ids) + 1, crc([*ids, 2]))) for i, ids in truth)
+    pieces = QUERIES["op9_packing"](spark, str(tmp_path)).collect()
+    expected = []
+    for i, ids in truth:
+        ids, at = [*ids, 0], 0
+        for n in tokens.pieces_of(len(ids), 1024):
+            expected.append(key((i, at, n, crc(ids[at:at + n]), len(ids), 0)))
+            at += n
+    assert sorted(key((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.offset)) for r in pieces) == sorted(expected)
+    assert sorted(r.sequence_id for r in pieces) == list(range(len(pieces)))
+
+
+def test_pieces_of_many_lengths():
+    lengths = np.arange(0, 300)
+    doc, start, length = tokens.all_pieces(lengths, 64)
+    assert [(d, n) for d, n in zip(doc.tolist(), length.tolist())] == [(int(d), n) for d in lengths for n in tokens.pieces_of(int(d), 64)]
+    assert all(s == 0 or s == p + n for s, p, n in zip(start[1:].tolist(), start.tolist(), length.tolist()))
+
+
 def test_pieces_rebuild_documents(docs_frame, edge_rows):
     encoder = tokens.IdEncoder(tokens.tokenizer_path())
     out = tokens.pack(docs_frame(edge_rows), tokens.tokenizer_path(), 0, limit=64).collect()
