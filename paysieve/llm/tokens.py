@@ -4,7 +4,7 @@
 single blank or line break before a visible character always starts a new piece; so a chunk of such a text always has
 the same ids.  A group of texts is cut into chunks and made distinct in Arrow, the chunks that the task has not met are
 encoded together, one per line, and the ids of all texts are gathered by chunk number in numpy.  Texts with any other
-white space go to the tokenizer whole.  What a task keeps is bounded (``KEPT_BYTES``) and freed when it ends.
+white space go to the tokenizer whole.  What is kept is bounded (``KEPT_BYTES``), and chunks met once are freed with their task.
 
 Files of ``write_ids``: documents are sorted by doc_id (rows of one id by length and hash of their texts) across range
 partitions.  Every partition writes a flat file of unsigned ids (the narrowest type that holds the vocabulary), a file of
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from paysieve.llm.common import saved, shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
-KEPT_BYTES = 48 << 20  # size of the chunks of one generation, counted with CHUNK_COST each; two generations are kept
+KEPT_BYTES = 40 << 20  # most bytes of kept chunks, counted with CHUNK_COST each: once for new ones, once for steady ones
 CHUNK_COST = 150
 GROUP_BYTES = 4 << 20  # text encoded at once, besides a longer single text
 # What sends a text to the tokenizer whole: its special token, NUL, white space other than single blanks and line breaks.
@@ -63,32 +62,35 @@ class IdEncoder:
         # The short way needs the cut at blanks and line breaks that byte-level tokenizers make.
         cut = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a b\nc.d1\u00e9%")] if self.tokenizer.pre_tokenizer else []
         self.short = self.tokenizer.normalizer is None and len(cut) == 9 and len(self.newline) == 1
+        self.steady: dict[str, bytes] = {}
+        self.steady_bytes = 0
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.kept = 0
+        """Drop the chunks that were met in one group only; those met again stay for the worker's next task."""
+        self.fresh: dict[str, bytes] = {}
+        self.fresh_bytes = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
     def _ids_of(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks as bytes.  What is met again moves from the old generation to the young one."""
-        if self.kept > KEPT_BYTES:
-            self.known, self.old, self.kept = {}, self.known, 0
-        known, old = self.known, self.old
-        unknown = []
+        """Ids of distinct chunks as bytes.  A chunk that a second group holds becomes a steady one."""
+        if self.fresh_bytes > KEPT_BYTES:
+            self.forget()
+        if self.steady_bytes > KEPT_BYTES:
+            self.steady, self.steady_bytes = {}, 0
+        steady, fresh, unknown = self.steady, self.fresh, []
         for c in chunks:
-            if c not in known:
-                if c in old:
-                    known[c] = old[c]
-                    self.kept += len(c) + CHUNK_COST
+            if c not in steady:
+                if c in fresh:
+                    steady[c] = fresh.pop(c)
+                    self.steady_bytes += len(c) + CHUNK_COST
                 elif c:
                     unknown.append(c)
         if unknown:
             self._learn(unknown)
-        return [known[c] if c else b"" for c in chunks]
+        return [steady.get(c) or fresh[c] if c else b"" for c in chunks]
 
     def _learn(self, chunks: list[str]) -> None:
         """Ids of new chunks; a chunk that ends in a line break keeps it, the rest hold none."""
@@ -97,8 +99,8 @@ class IdEncoder:
         size, flat, line = self.dtype.itemsize, ids.tobytes(), self.newline.tobytes()
         ends = np.flatnonzero(ids == self.newline[0])
         for c, i, j in zip(chunks, [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(flat)], strict=True):
-            self.known[c] = flat[i:j] + line if c[-1] == "\n" else flat[i:j]
-        self.kept += sum(map(len, chunks)) + CHUNK_COST * len(chunks)
+            self.fresh[c] = flat[i:j] + line if c[-1] == "\n" else flat[i:j]
+        self.fresh_bytes += sum(map(len, chunks)) + CHUNK_COST * len(chunks)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id, and the offsets of the texts in them."""
@@ -141,7 +143,7 @@ def _local(uri: str) -> str | None:
 
 @functools.cache
 def encoder_for(path: str) -> IdEncoder:
-    """One encoder per Python worker: the tokenizer is read once, kept chunks are freed by every task."""
+    """One encoder per Python worker: the tokenizer is read once, steady chunks serve its later tasks."""
     return IdEncoder(path)
 
 
@@ -219,19 +221,20 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts:
 def read_ids(parts: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (bytes of little-endian unsigned 32-bit ids) per document, from the mapped files."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in b.itertuples():
-                ids = _mapped(folder, f"{p.name}.bin", np.dtype(p.type))
-                offsets, names = _mapped(folder, f"{p.name}.idx", "<u8").astype("i8"), _mapped(folder, f"{p.name}.doc", "<i8")
+            for p in b.to_pylist():
+                ids = _mapped(folder, f"{p['name']}.bin", np.dtype(p["type"]))
+                offsets, names = _mapped(folder, f"{p['name']}.idx", "<u8").astype("i8"), _mapped(folder, f"{p['name']}.doc", "<i8")
                 for i in range(0, len(names), 500):
-                    rows = [(None if names[k] == NO_ID else int(names[k]), int(p.base + offsets[k]), int(offsets[k + 1] - offsets[k]),
-                             ids[offsets[k]:offsets[k + 1]].astype("<u4").tobytes()) for k in range(i, min(i + 500, len(names)))]
-                    frame = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"])
-                    yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+                    j = min(i + 500, len(names))
+                    cuts, wide = 4 * (offsets[i:j + 1] - offsets[i]), ids[offsets[i]:offsets[j]].astype("<u4")
+                    own = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(cuts), pa.py_buffer(wide)]).cast(pa.binary())
+                    cols = {"doc_id": pa.array(names[i:j], mask=names[i:j] == NO_ID), "start": p["base"] + offsets[i:j], "n_tokens": np.diff(offsets[i:j + 1]), "ids": own}
+                    yield pa.RecordBatch.from_pydict(cols)
 
     n = max(1, parts.count())
-    return parts.repartitionByRange(n, "part").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    return parts.repartitionByRange(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digested(read: DataFrame) -> DataFrame:

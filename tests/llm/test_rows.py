@@ -133,7 +133,9 @@ def test_cached_ids_equal_the_tokenizer():
         assert offsets[-1] == len(ids) and ids.dtype == encoder.dtype
         for t, i, j in zip(group, offsets, offsets[1:], strict=False):
             assert ids[i:j].tolist() == [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 7], repr(t)
-    assert encoder.kept
+    assert encoder.fresh_bytes and encoder.steady_bytes
+    encoder.forget()
+    assert not encoder.fresh and encoder.steady
     ids, offsets = encoder.encode(pa.array([None, "x"]).slice(1), 7)
     assert ids.tolist() == [*encoder.tokenizer.encode("x", add_special_tokens=False).ids, 7] and offsets.tolist() == [0, 2]
 
@@ -142,10 +144,10 @@ def test_kept_chunks_are_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_BYTES", 1000)
     encoder = tokens.IdEncoder(tokens.tokenizer_path())
     for n in range(50):
-        texts = [f"some word{n * 7 + k} other{k}" for k in range(7)]
+        texts = [f"some word{n * 7 + k} other{k}" + "!" * (n % 11) + f" w{n % 9}" for k in range(7)]
         ids, offsets = encoder.encode(pa.array(texts), 7)
         assert [ids[i:j].tolist() for i, j in zip(offsets, offsets[1:])] == [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
-        assert encoder.kept < 1000 + 20 * (tokens.CHUNK_COST + 20)
+        assert max(encoder.fresh_bytes, encoder.steady_bytes) < 1000 + 20 * (tokens.CHUNK_COST + 20)
 
 
 def test_token_files_round_trip(spark, docs_frame, edge_rows):
