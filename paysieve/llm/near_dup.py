@@ -11,7 +11,8 @@ Candidates never become all pairs of a bucket:
    compared with those of members of other components, and every pair that may be a link is confirmed, so that no link
    between components is lost.  A pair that shares several such buckets comes out of the smallest one only.
 Comparing sketches inside a bucket is a join with a condition on the sketches' words, salted by bucket size: it streams,
-and only pairs that pass come out.  Links are confirmed on both full sets.
+and only pairs that pass come out.  Links are confirmed on both full sets (``confirm``): a task holds the sets of a block
+of hubs while the sets of their members pass.
 
 Links become components by alternating large-star and small-star steps, checkpointed in the shared folder.
 
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,9 @@ SHINGLE, SIMILAR_PERCENT = 5, 75
 SAMPLES, BANDED, BAND_ROWS, SKETCH_BITS = 512, 128, 4, 1024
 MIN_ESTIMATE = 0.67  # the standard error of the estimate is about 0.023 at 0.75
 HUBS = 2
-BLOCK = 4000  # members of a bucket per salt
+BLOCK = 4000  # members of a bucket, or of a block of hubs, per salt
+HUB_BLOCK = 512  # hubs whose sets a task holds while members pass
+BROADCAST_BYTES = 32 << 20
 WORDS64 = SKETCH_BITS // 64
 SKETCH = [f"s{i}" for i in range(WORDS64)]
 
@@ -116,30 +120,69 @@ def digests(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(_digest_batches, "doc_id long, n_shingles long, same binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
-def _set_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _placed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with the node's set for every place it has to go to."""
     for b in batches:
-        yield pd.DataFrame({"node": b["doc_id"], "found": [shingles(t).tobytes() for t in b["text"]]})
+        for row in b.to_pylist():
+            found, places = shingles(row["text"]).tobytes(), row["places"]
+            cols = {k: [p[k] for p in places] for k in ("block", "salt", "side", "hubs")}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols["block"], pa.int32()), pa.array(cols["salt"], pa.int32()), pa.array(cols["side"], pa.int32()), pa.array([row["node"]] * len(places), pa.int64()),
+                 pa.array(cols["hubs"], pa.list_(pa.int64())), pa.array([found] * len(places), pa.binary())], names=["block", "salt", "side", "node", "hubs", "found"])
 
 
-def _confirm_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets of distinct hashes reach the limit."""
+    if 100 * min(len(x), len(y)) < SIMILAR_PERCENT * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= SIMILAR_PERCENT * (len(x) + len(y) - both)
+
+
+def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by (block, salt, side): the sets of a block's hubs (side 0) are held while its members (side 1) pass."""
+    place, held = None, {}
     for b in batches:
-        keep = []
-        for x, y in zip(b["found_a"], b["found_b"], strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= SIMILAR_PERCENT * (len(x) + len(y) - both))
-        yield b.loc[keep, ["a", "b"]]
+        links = []
+        for row in b.to_pylist():
+            if (row["block"], row["salt"]) != place:
+                place, held = (row["block"], row["salt"]), {}
+            own = np.frombuffer(row["found"], np.uint64)
+            if row["side"] == 0:
+                held.setdefault(row["node"], []).append(own)
+            else:
+                links += [(row["node"], h) for h in row["hubs"] if any(similar(own, x) for x in held.get(h, ()))]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["x", "y"])
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.  Only the texts of nodes in pairs are read again."""
+    """The pairs (a, b) among pairs (node, hub) whose full sets are similar enough.
+
+    Hubs are dealt to blocks of about ``HUB_BLOCK``.  A node's set goes once to every block that holds hubs of its, and a
+    hub's set once to every salt of its block, so that no set is written once per pair and no block with many members is
+    one task.  Only the texts of nodes in pairs are cut into shingles again; the list of those nodes is broadcast while its
+    size, counted in bytes, stays below ``BROADCAST_BYTES``.
+    """
     pairs = saved(pairs)
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    hubs = pairs.select("hub").distinct()
+    blocks = max(1, -(-hubs.count() // HUB_BLOCK))
+    block = F.pmod(F.xxhash64("hub"), F.lit(blocks)).cast("int").alias("block")
+    asked = saved(pairs.groupBy(block, "node").agg(F.collect_set("hub").alias("hubs")))  # at most the hubs of a block
+    salts = asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
+    if blocks <= BROADCAST_BYTES // 64:
+        salts = F.broadcast(salts)
+    members = asked.join(salts, "block").select("node", F.struct("block", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"), "hubs").alias("place"))
+    holders = hubs.select("hub", block).join(salts, "block").select("block", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    holders = holders.select("node", F.struct("block", "salt", F.lit(0).alias("side"), F.lit(None).cast("array<long>").alias("hubs")).alias("place"))
+    places = saved(members.unionByName(holders).groupBy("node").agg(F.collect_list("place").alias("places")))
+    n_places, size = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0)), F.coalesce(F.sum(64 + 40 * F.size("places") + 8 * F.aggregate("places", F.lit(0), lambda s, p: s + F.coalesce(F.size(p["hubs"]), F.lit(0)))), F.lit(0))).first()
+    if size <= BROADCAST_BYTES:
+        places = F.broadcast(places)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    sets = saved(rows.join(nodes, rows["doc_id"] == nodes["node"], "left_semi").mapInPandas(_set_batches, "node long, found binary"))
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("found_a")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("found").alias("found_b")), "b")
-    return saved(both.select("a", "b", "found_a", "found_b").mapInPandas(_confirm_batches, "a long, b long").distinct())
+    sets = rows.join(places, rows["doc_id"] == places["node"]).select("node", "text", "places").mapInArrow(_placed_sets, "block int, salt int, side int, node long, hubs array<long>, found binary")
+    parts = max(1, min(n_places, -(-n_places // HUB_BLOCK) + blocks))
+    met = sets.repartition(parts, "block", "salt").sortWithinPartitions("block", "salt", "side")
+    return saved(met.mapInArrow(_confirm_batches, "x long, y long").select(*_pair("x", "y")).distinct())
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -173,7 +216,7 @@ def _differing(a: str, b: str) -> Column:
 
 
 def _near(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b: nodes of one bucket but of different components, one of them outside its main one, whose sketches allow a link."""
+    """node, hub: nodes of one bucket but of different components, one of them outside its main one, whose sketches allow a link."""
     known = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     sizes = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
@@ -186,7 +229,7 @@ def _near(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFra
     same_place = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt"))
     first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
     pairs = outside.join(all_rows, same_place & (F.col("x.comp") != F.col("y.comp")) & (_differing("x", "y") <= MAX_DIFFERING) & first)
-    return pairs.select(*_pair("x.node", "y.node")).distinct()
+    return pairs.select(F.col("x.node").alias("node"), F.col("y.node").alias("hub")).distinct()
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -206,10 +249,10 @@ def groups(docs: DataFrame) -> DataFrame:
     # 1. hubs
     votes = members.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub")).where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     ranked = votes.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))).where(F.col("rank") <= HUBS)
-    pairs = ranked.select(*_pair("node", "hub")).distinct()
+    pairs = ranked.select(F.col("node").alias("own"), "hub")
     x, y = sketches.alias("x"), sketches.alias("y")
-    rated = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_differing("x", "y") <= MAX_DIFFERING)
-    labels = components(confirm(docs, rated.select("a", "b")))
+    rated = pairs.join(x, F.col("own") == F.col("x.node")).join(y, F.col("hub") == F.col("y.node")).where(_differing("x", "y") <= MAX_DIFFERING)
+    labels = components(confirm(docs, rated.select(F.col("own").alias("node"), "hub")))
 
     # 2. what is still apart
     links = confirm(docs, _near(members, labels, sketches))
