@@ -3,7 +3,8 @@
 A stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame.  Filters find the rows to drop
 and remove them with an anti join on their keys, which is broadcast only while small; texts are not shuffled then.
 
-Defined cases: rows with null text or doc_id pass the filters; where rows repeat a doc_id, near_dedup keeps one of them;
+Defined cases: rows with null text or doc_id pass the filters; where rows repeat a doc_id, near_dedup keeps the one with
+the least text;
 columns other than those of documents are dropped; an empty table gives an empty table.
 """
 
@@ -38,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = saved(groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
-    one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return kept.join(repeated, "doc_id", "left_anti").unionByName(one).select(COLUMNS)
 
 

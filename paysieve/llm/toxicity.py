@@ -7,17 +7,19 @@ word; the projections are kept by word, and scoring a text is gathering, adding
 
 Labels come from rows with crc32(doc_id) mod 3 other than 1, at most ``MAX_TRAIN`` of them (the lowest hashes of
 their ids in each class, a documented bound of the fit only); scores, thresholds and verdicts cover every row.
-``language_thresholds`` counts scored labelled rows by language and score bin and sets each language's threshold.
+``language_thresholds`` counts scored labelled rows by language and score bin; a language's error rates are shrunk
+toward those of all languages by ``PRIOR`` rows, so the fewer labels it has the closer its threshold is to the common one.
 
-Defined cases: null or empty text is scored as a text without words; a null language, or one with too few labels,
-uses the threshold of all languages; without labelled rows of both classes every score is 0 (nothing is known to be
-toxic); repeated rows are scored one by one; other columns are ignored.
+Defined cases: null or empty text is scored as a text without words; a null language, or one without labels, uses the
+threshold of all languages; without labelled rows of both classes every score is 0 (nothing is known to be toxic); an id
+with several labels counts as toxic if one of them is, and with several texts the least of them trains; repeated rows
+are scored one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -28,12 +30,13 @@ from pyspark.sql import functions as F
 MAX_TRAIN = 6000
 WIDTHS, FILTERS, DIM, BUCKETS = (1, 2, 3), 6, 12, 1 << 16
 PREFIXES = (3, 4, 5, 6)
-EPOCHS, UPDATES, BATCH, RATE = 6, 600, 32, 0.02  # small samples get more rounds, up to UPDATES batches
+UPDATES, BATCH, RATE = 1125, 32, 0.02  # batches, whatever the sample's size; MAX_TRAIN rows pass six times
+WARM = 188  # first batches, at twice the rate
 TRAIN_WORDS = 400_000  # words held at once while training and scoring, whatever the texts' lengths
 CUT = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 VOCABULARY = 300_000  # projected words that a task keeps before it starts anew
-BINS, MIN_LABELS, MAX_FALSE_RATE = 1000, 200, 0.01
+BINS, PRIOR, MAX_FALSE_RATE = 1000, 200.0, 0.01
 
 
 def held_out(doc_id: Column) -> Column:
@@ -96,8 +99,10 @@ class TextCnn:
         return best.reshape(len(best), -1) @ self.out + self.base
 
 
-def _split(texts: list[str | None]) -> list[list[str]]:
-    return [WORD.findall(t.lower()) if t else [] for t in texts]
+def _split(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Words text by text, so that a caller holds no more of them than it wants to."""
+    for t in texts:
+        yield WORD.findall(t.lower()) if t else []
 
 
 def _layout(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,54 +117,55 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> TextCnn:
         return net
     net.training = True
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words], dtype="i8") for words in _split(texts)]
+    docs = [np.array([index.setdefault(w, len(index)) for w in words], dtype="i4") for words in _split(texts)]
     rows = np.array([word_rows(w) for w in index], dtype="i4").reshape(-1, len(PREFIXES) + 1)
     r = np.random.default_rng(seed)
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     grown = [np.full_like(p, 1e-6) for p in (net.table, *net.filters, net.bias, net.out)]
     grown_base = 1e-6
-    for epoch in range(max(EPOCHS, UPDATES * BATCH // len(docs))):
-        rate = RATE * (2 if epoch == 0 else 1)
-        order = r.permutation(len(docs))
-        for i in range(0, len(order), BATCH):
-            batch = order[i:i + BATCH]
-            starts, lengths = _layout([docs[j] for j in batch])
-            if not lengths.sum():
-                continue
-            words, ids = np.unique(np.concatenate([docs[j] for j in batch]), return_inverse=True)
-            own = rows[words]
-            vec = net.vectors(own)
-            shares = np.concatenate([vec @ f[o] for f in net.filters for o in range(len(f))], axis=1)[ids]
-            best, at = net.maxima(shares, starts, lengths)
-            flat_best = best.reshape(len(best), -1)
-            p = 1 / (1 + np.exp(-net.logits(best)))
-            g = ((p - y[batch]) * weight[batch] / len(batch)).astype("f4")
-            g_out = flat_best.T @ g + 1e-5 * net.out
-            g_best = (g[:, None] * net.out).reshape(best.shape) * (best > 0)
-            g_filters = [np.zeros_like(f) for f in net.filters]
-            g_vec = np.zeros_like(vec)
-            for k, w in enumerate(WIDTHS):
-                t, f = np.nonzero((at[:, k] >= 0) & (g_best[:, k] != 0))
-                place, slope = at[t, k, f], g_best[t, k, f]
-                for o in range(w):
-                    inside = place + o < starts[t] + lengths[t]
-                    word = ids[place[inside] + o]
-                    np.add.at(g_filters[k], (o, slice(None), f[inside]), slope[inside, None] * vec[word])
-                    np.add.at(g_vec, word, slope[inside, None] * net.filters[k][o][:, f[inside]].T)
-            hit = np.flatnonzero(np.abs(g_vec).sum(axis=1))
-            if len(hit):
-                real = own[hit] < BUCKETS
-                step = np.repeat((g_vec[hit] / real.sum(axis=1, keepdims=True))[:, None], own.shape[1], axis=1)[real]
-                uniq, back = np.unique(own[hit][real], return_inverse=True)
-                g_rows = np.zeros((len(uniq), DIM), "f4")
-                np.add.at(g_rows, back, step.astype("f4"))
-                grown[0][uniq] += g_rows ** 2
-                net.table[uniq] -= 5 * rate * g_rows / np.sqrt(grown[0][uniq])
-            for p_, g_, s_ in zip((*net.filters, net.bias, net.out), (*g_filters, g_best.sum(axis=0), g_out), grown[1:], strict=True):
-                s_ += g_ ** 2
-                p_ -= rate * g_ / np.sqrt(s_)
-            grown_base += g.sum() ** 2
-            net.base -= np.float32(rate * g.sum() / np.sqrt(grown_base))
+    order = np.zeros(0, "i8")
+    for update in range(UPDATES):
+        rate = RATE * (2 if update < WARM else 1)
+        if not len(order):
+            order = r.permutation(len(docs))
+        batch, order = order[:BATCH], order[BATCH:]
+        starts, lengths = _layout([docs[j] for j in batch])
+        if not lengths.sum():
+            continue
+        words, ids = np.unique(np.concatenate([docs[j] for j in batch]), return_inverse=True)
+        own = rows[words]
+        vec = net.vectors(own)
+        shares = np.concatenate([vec @ f[o] for f in net.filters for o in range(len(f))], axis=1)[ids]
+        best, at = net.maxima(shares, starts, lengths)
+        flat_best = best.reshape(len(best), -1)
+        p = 1 / (1 + np.exp(-net.logits(best)))
+        g = ((p - y[batch]) * weight[batch] / len(batch)).astype("f4")
+        g_out = flat_best.T @ g + 1e-5 * net.out
+        g_best = (g[:, None] * net.out).reshape(best.shape) * (best > 0)
+        g_filters = [np.zeros_like(f) for f in net.filters]
+        g_vec = np.zeros_like(vec)
+        for k, w in enumerate(WIDTHS):
+            t, f = np.nonzero((at[:, k] >= 0) & (g_best[:, k] != 0))
+            place, slope = at[t, k, f], g_best[t, k, f]
+            for o in range(w):
+                inside = place + o < starts[t] + lengths[t]
+                word = ids[place[inside] + o]
+                np.add.at(g_filters[k], (o, slice(None), f[inside]), slope[inside, None] * vec[word])
+                np.add.at(g_vec, word, slope[inside, None] * net.filters[k][o][:, f[inside]].T)
+        hit = np.flatnonzero(np.abs(g_vec).sum(axis=1))
+        if len(hit):
+            real = own[hit] < BUCKETS
+            step = np.repeat((g_vec[hit] / real.sum(axis=1, keepdims=True))[:, None], own.shape[1], axis=1)[real]
+            uniq, back = np.unique(own[hit][real], return_inverse=True)
+            g_rows = np.zeros((len(uniq), DIM), "f4")
+            np.add.at(g_rows, back, step.astype("f4"))
+            grown[0][uniq] += g_rows ** 2
+            net.table[uniq] -= 5 * rate * g_rows / np.sqrt(grown[0][uniq])
+        for p_, g_, s_ in zip((*net.filters, net.bias, net.out), (*g_filters, g_best.sum(axis=0), g_out), grown[1:], strict=True):
+            s_ += g_ ** 2
+            p_ -= rate * g_ / np.sqrt(s_)
+        grown_base += g.sum() ** 2
+        net.base -= np.float32(rate * g.sum() / np.sqrt(grown_base))
     net.training, net.fitted = False, True
     # The base moves so that the fixed cut lies midway between the edges of the two classes.
     z = Scorer(net).logits(texts)
@@ -194,7 +200,7 @@ class Scorer:
         ids = np.fromiter((get(w) for d in docs for w in d), dtype="i8", count=int(lengths.sum()))
         return self.net.logits(self.net.maxima(self.shares[0][ids], starts, lengths)[0])
 
-    def logits(self, texts: list[str | None]) -> np.ndarray:
+    def logits(self, texts: Iterable[str | None]) -> np.ndarray:
         out, group, held = [], [], 0
         for words in _split(texts):
             if group and held + len(words) > TRAIN_WORDS:
@@ -210,17 +216,22 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -40, 40))) if self.net.fitted else np.zeros(len(texts))
 
 
+def _own_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic (0 or 1) of the ids that are not held out."""
+    own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("toxic"))
+    return own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> TextCnn:
     """Fit on at most ``limit`` labelled rows that are not held out, half of them toxic where there are enough."""
-    own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    own = own.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    own = _own_labels(labels)
     chosen = None
     for kind in (0, 1):
         part = own.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # at most ``limit`` ids
-    sample = sorted((r.doc_id, r.text, r.toxic) for r in rows.dropDuplicates(["doc_id"]).toLocalIterator())
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # at most ``limit`` ids
+    sample = sorted((r.doc_id, r.text, r.toxic) for r in rows.toLocalIterator())
     return fit([t for _, t, _ in sample], [y for _, _, y in sample])
 
 
@@ -244,25 +255,24 @@ def language_thresholds(scored: DataFrame, labels: DataFrame) -> dict[str | None
     ``scored`` has doc_id, lang and score.  Counts are made by (language, bin, label), so what reaches the driver
     is bounded by languages x BINS; the entry None is the threshold over all languages.
     """
-    own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    own = own.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     bins = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
-    counts = scored.join(own, "doc_id").groupBy("lang", bins.alias("bin"), (F.col("toxic") == 1).alias("toxic")).count().collect()
+    counts = scored.join(_own_labels(labels), "doc_id").groupBy("lang", bins.alias("bin"), "toxic").count().collect()
+    tables: dict[str | None, np.ndarray] = {None: np.zeros((2, BINS))}
+    for c in counts:
+        tables.setdefault(c.lang, np.zeros((2, BINS)))
+        for table in {id(t): t for t in (tables[None], tables[c.lang])}.values():
+            table[c.toxic, c.bin] += c["count"]
     out: dict[str | None, float] = {}
-    for lang in {None} | {c.lang for c in counts}:
-        clean, bad = np.zeros(BINS), np.zeros(BINS)
-        for c in counts:
-            if lang is None or c.lang == lang:
-                (bad if c.toxic else clean)[c.bin] += c["count"]
-        if lang is not None and clean.sum() + bad.sum() < MIN_LABELS:
-            continue
-        if not clean.sum() or not bad.sum():
-            out[lang] = CUT
-            continue
-        # From the top: rejected clean share and kept toxic share for a cut at each bin.
-        false = np.cumsum(clean[::-1])[::-1] / clean.sum()
-        missed = 1 - np.cumsum(bad[::-1])[::-1] / bad.sum()
-        loss = np.where(false <= MAX_FALSE_RATE, false + missed, np.inf)
+    every = tables[None].sum(axis=1)
+    if not every.all():
+        return {None: CUT}
+    # From the top: share of the clean rows and of the toxic ones at or above each bin.
+    above = {lang: np.cumsum(t[:, ::-1], axis=1)[:, ::-1] for lang, t in tables.items()}
+    common = above[None] / every[:, None]
+    for lang, seen in above.items():
+        n = tables[lang].sum(axis=1)[:, None]
+        false, caught = common if lang is None else (seen + PRIOR * common) / (n + PRIOR)
+        loss = np.where(false <= MAX_FALSE_RATE, false + 1 - caught, np.inf)
         best = np.flatnonzero(loss == loss.min())
         out[lang] = float((best[0] + best[-1] + 1) / 2 / BINS)  # the middle of the bins that do equally well
     return out

@@ -162,6 +162,40 @@ def test_classifier_learns_from_its_own_rows_only(spark, docs_frame, edge_rows):
     assert {r.score for r in toxicity.score(docs_frame(rows[:5]), blank, "doc_id").collect()} == {0.0}
 
 
+def test_scores_equal_plain_loops(monkeypatch):
+    """Hashed rows, filters at every place, maxima and the logistic layer, word by word; groups of any size."""
+    net, r = toxicity.TextCnn(3), np.random.default_rng(3)
+    net.fitted, net.bias = True, r.normal(0, 0.3, net.bias.shape).astype("f4")
+    texts = ["", None, "one", "Two words", "äö ü ßé a1b2 c", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i % 7)}" for i in range(200)), "a b c d"]
+
+    def plain(text):
+        words = [w for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        vectors = [np.mean([net.table[x].astype("f8") for x in toxicity.word_rows(w) if x < toxicity.BUCKETS], axis=0) for w in words]
+        z = float(net.base)
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                places = [sum(float(vectors[i + o] @ net.filters[k][o, :, f]) for o in range(width) if i + o < len(words)) + float(net.bias[k, f]) for i in range(len(words))]
+                z += float(net.out[k * toxicity.FILTERS + f]) * max([0.0, *places])
+        return 1 / (1 + np.exp(-z))
+    want = [plain(t) for t in texts]
+    for most in (3, 400_000):
+        monkeypatch.setattr(toxicity, "TRAIN_WORDS", most)
+        assert np.allclose(toxicity.Scorer(net).scores(texts), want, atol=1e-5)
+
+
+def test_thresholds_shrink_toward_all_languages(spark):
+    """Many labels set a language's own threshold, few hardly move it from the common one."""
+    r = random.Random(6)
+    rows = [(i, "big" if i % 2 else "other", min(0.999, max(0.0, r.gauss(0.75 if i % 10 == 0 else 0.2, 0.05)))) for i in range(6000)]
+    rows += [(i, "shifted", min(0.999, max(0.0, r.gauss(0.95 if i % 10 == 0 else 0.6, 0.03)))) for i in range(6000, 9000)]
+    rows += [(9000 + i, "few", 0.1 * i) for i in range(5)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0 and i < 9000)) for i, _, _ in rows], "doc_id long, toxic int")
+    cuts = toxicity.language_thresholds(spark.createDataFrame(rows, "doc_id long, lang string, score double"), labels)
+    assert set(cuts) == {None, "big", "other", "shifted", "few"}
+    assert cuts["shifted"] > 0.65 and cuts["big"] < cuts["shifted"] and abs(cuts["few"] - cuts[None]) < 0.05
+    assert toxicity.language_thresholds(spark.createDataFrame(rows, "doc_id long, lang string, score double"), labels.where("toxic = 0")) == {None: toxicity.CUT}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
