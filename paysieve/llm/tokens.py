@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from paysieve.llm.common import saved, shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
-KEPT_BYTES = 40 << 20  # most bytes of kept chunks, counted with CHUNK_COST each: once for new ones, once for steady ones
+KEPT_BYTES = 24 << 20  # most bytes of kept chunks, counted with CHUNK_COST each: once for new ones, once for steady ones
 CHUNK_COST = 150
-GROUP_BYTES = 4 << 20  # text encoded at once, besides a longer single text
+GROUP_BYTES = 2 << 20  # text encoded at once, besides a longer single text
 # What sends a text to the tokenizer whole: its special token, NUL, white space other than single blanks and line breaks.
 UNEVEN = (r"<\|endoftext\|>|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
           r"|[ \n][ \n]|^[ \n]|[ \n]$")
@@ -70,6 +70,7 @@ class IdEncoder:
         """Drop the chunks that were met in one group only; those met again stay for the worker's next task."""
         self.fresh: dict[str, bytes] = {}
         self.fresh_bytes = 0
+        pa.default_memory_pool().release_unused()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)

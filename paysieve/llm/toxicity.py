@@ -35,7 +35,7 @@ WARM = 188  # first batches, at twice the rate
 TRAIN_WORDS = 400_000  # words held at once while training and scoring, whatever the texts' lengths
 CUT = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-VOCABULARY = 300_000  # projected words that a task keeps before it starts anew
+VOCABULARY = 200_000  # projected words that a task keeps before it starts anew
 BINS, PRIOR, MAX_FALSE_RATE = 1000, 200.0, 0.01
 
 
