@@ -63,14 +63,17 @@ FEATS = {**statistical("norm"), "location_weight": "1.0", "decode_depth": "len(c
 FROWS = ("WITH RECURSIVE " + PAYLOADS + ", " + normal_ctes("(SELECT payload AS txt FROM payload_rows)")
          + ", fr AS MATERIALIZED (SELECT p.row_id, p.label, " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e in FEATS.items()) + " FROM payload_rows p JOIN nm ON txt=payload) ")
 
-GRID = """gb AS (SELECT origin, row_id, list_transform(range(2048), lambda i: CASE WHEN 2*i+2<=length(h) THEN ('0x'||substr(h,(2*i+1)::BIGINT,2))::INT/255.0::DOUBLE ELSE 0.0::DOUBLE END) AS b
-  FROM (SELECT *, substr(hex(encode(t)),1,4096) AS h FROM tx)),
-g0 AS (SELECT origin, row_id, b, list_sum(b)/2048 AS mean, list_sum(list_transform(b, lambda x: x*x))/2048 AS m2,
-  len(list_filter(b, lambda x: x>0.6))/2048 AS hi, len(list_filter(b, lambda x: x<0.05))/2048 AS lo, len(list_filter(b, lambda x: x>0.8))/2048 AS high,
-  list_sum(list_transform(range(2048), lambda i: CASE WHEN i%64=0 THEN 0.0 ELSE abs(b[(i+1)::INT]-b[i::INT]) END))/2048 AS edge,
-  list_transform(range(60), lambda k: list_sum(list_transform(range(16), lambda j: b[((k//16*4 + j//4)*64 + (k%16)*4 + j%4 + 1)::INT]))/16) AS bl FROM gb),
-g1 AS (SELECT *, list_concat([mean, sqrt(greatest(m2-mean*mean,0)), hi::DOUBLE, lo::DOUBLE], bl) AS v FROM g0),
-gv AS (SELECT origin, row_id, edge, high, list_transform(v, lambda x: x/sqrt(list_sum(list_transform(v, lambda y: y*y)))) AS v FROM g1)"""
+# The cells that a text reaches are the first ones, so the sums below need no row for a cell of zeros.
+GRID = """gb AS MATERIALIZED (SELECT origin, row_id, i % 2048 AS c, sum(x) / count(*) / 255.0::DOUBLE AS v FROM (
+    SELECT origin, row_id, unnest(range(len(l))) AS i, ('0x' || unnest(l))::INT::DOUBLE AS x FROM (SELECT origin, row_id, regexp_extract_all(hex(encode(t)), '..') AS l FROM tx)) GROUP BY 1, 2, 3),
+gp AS (SELECT *, lag(v) OVER (PARTITION BY origin, row_id ORDER BY c) AS before FROM gb),
+g0 AS (SELECT origin, row_id, count(*) AS n, sum(v) / 2048 AS mean, sum(v * v) / 2048 AS m2, count(*) FILTER (v > 0.6) / 2048 AS hi, (count(*) FILTER (v < 0.05) + 2048 - count(*)) / 2048 AS lo,
+  count(*) FILTER (v > 0.8) / 2048 AS high, (sum(CASE WHEN c % 64 = 0 THEN 0.0 ELSE abs(v - before) END) + CASE WHEN count(*) < 2048 AND count(*) % 64 <> 0 THEN arg_max(v, c) ELSE 0.0 END) / 2048 AS edge FROM gp GROUP BY 1, 2),
+gk AS (SELECT origin, row_id, map_from_entries(list((k, b))) AS m FROM (SELECT origin, row_id, c // 256 * 16 + c % 64 // 4 AS k, sum(v) / 16 AS b FROM gb GROUP BY 1, 2, 3) GROUP BY 1, 2),
+g1 AS (SELECT tx.origin, tx.row_id, coalesce(edge, 0.0) AS edge, coalesce(high, 0.0) AS high,
+  list_concat([coalesce(mean, 0.0), sqrt(greatest(coalesce(m2 - mean * mean, 0.0), 0)), coalesce(hi, 0.0)::DOUBLE, coalesce(lo, 1.0)::DOUBLE], list_transform(range(60), lambda k: coalesce(m[k], 0.0))) AS v
+  FROM tx LEFT JOIN g0 ON g0.origin = tx.origin AND g0.row_id = tx.row_id LEFT JOIN gk ON gk.origin = tx.origin AND gk.row_id = tx.row_id),
+gv AS MATERIALIZED (SELECT origin, row_id, edge, high, list_transform(v, lambda x: x/sqrt(list_sum(list_transform(v, lambda y: y*y)))) AS v FROM g1)"""
 
 PROTO = {
     "proto_location": case_map("location", X.PROTOCOL_LOCATION, 0.6), "proto_decode_depth": "least(depth,6)/6.0", "proto_obfuscated": "obf::INT::DOUBLE",

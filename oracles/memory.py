@@ -6,7 +6,7 @@ from oracles.evaluate import MRAW
 
 MEM = "me AS (SELECT vec_id, embedding::DOUBLE[] AS v, label::VARCHAR AS label FROM embeddings WHERE vec_id%10<3)"
 NN = MEM + ", nn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, mid) AS rank FROM (SELECT q.vec_id AS qid, m.vec_id AS mid, m.label, round(list_dot_product(q.embedding::DOUBLE[], m.v),9) AS sim FROM embeddings q CROSS JOIN me m WHERE q.vec_id%10>=3))"
-CH = "sc AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, 'c'||(c.label%4) AS category, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]),9) AS sim FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id<5 AND c.vec_id>=5)"
+CH = "sc AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, 'c'||(c.label%4) AS category, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]),9) AS sim FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id%50=0)"
 MD = "md AS (SELECT doc_id, replace(text,chr(10),chr(10)||'## ') AS text FROM documents)"
 WS = "' '||chr(10)||chr(13)||chr(9)"
 PARTS = MD + ", pt AS (SELECT doc_id, unnest(range(0,len(l))) AS part, unnest(l) AS t0 FROM (SELECT doc_id, list_transform(string_split(text,chr(10)||'## '), lambda x, i: CASE WHEN i>1 THEN '## '||x ELSE x END) AS l FROM md))"

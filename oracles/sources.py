@@ -35,7 +35,7 @@ SQL = {
     "src_protocol_tag": with_requests(f"SELECT req_id, CASE WHEN req_id%3=1 THEN 'WS' ELSE method END AS method, CASE WHEN req_id%3=1 THEN '/websocket' ELSE url END AS url, CASE req_id%3 WHEN 0 THEN 'HTTP/3' WHEN 1 THEN 'WebSocket' ELSE 'HTTP/1.1' END AS protocol, CASE req_id%3 WHEN 0 THEN 'quic' WHEN 1 THEN 'websocket' ELSE 'api' END AS source, CASE WHEN req_id%3=1 THEN length({RAW}) ELSE length(trim(body,{WS})) END AS body_chars FROM requests"),
     "src_csic_csv": with_requests(f"SELECT req_id, fragment, {infer('fragment', 'rl')} AS label FROM (SELECT req_id, rl, l[list_position(list_transform(l, lambda x: length(x)), list_max(list_transform(l, lambda x: length(x))))] AS fragment FROM (SELECT *, {CANDS} AS l FROM (SELECT *, trim(payload,{WS}) AS pl, CASE WHEN label='Normal' THEN 'norm' ELSE 'anom' END AS rl FROM requests))) WHERE length(fragment)>=2"),
     "src_gsi_blocks": with_requests(f"SELECT req_id, payload, {infer('payload', 'rl')} AS label FROM (SELECT req_id, CASE WHEN label='Normal' THEN 'norm' ELSE 'anom' END AS rl, unnest({BPAY_GSI}) AS payload FROM requests)"),
-    "src_blankline_blocks": with_requests(f"SELECT label, count(*) AS n FROM (SELECT {infer('payload', 'rl')} AS label FROM (SELECT 'anom' AS rl, unnest({BPAY}) AS payload FROM requests WHERE body='')) GROUP BY 1"),
+    "src_blankline_blocks": with_requests(f"SELECT label, count(*) AS n FROM (SELECT {infer('payload', 'rl')} AS label FROM (SELECT 'anom' AS rl, unnest({BPAY}) AS payload FROM requests)) GROUP BY 1"),
     "src_block_payloads": with_requests(f"SELECT req_id, unnest(range(0,len(l))) AS pos, unnest(l) AS payload FROM (SELECT req_id, {BPAY} AS l FROM requests)"),
     "src_payload_lines": f"WITH {LINES} SELECT doc_id, pos, line, 'XSS' AS label FROM ln WHERE line<>'' AND NOT regexp_matches(line,'^\\s*#|^//|^(?i:note:)') AND length(line) BETWEEN 3 AND 4096",
     "src_seed_payloads": with_payloads(f"SELECT row_id, CASE WHEN a='Normal' THEN 'SQLi' ELSE a END AS label FROM (SELECT row_id, {infer('line')} AS a FROM (SELECT row_id, trim(payload,{WS}) AS line FROM payload_rows) WHERE length(line) BETWEEN 3 AND 4096)"),
