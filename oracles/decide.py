@@ -4,9 +4,10 @@ import re
 
 from oracles.base import PAYLOADS, REQUESTS, q
 from oracles.decompose import LEAF, PARTS, pairs
-from oracles.featurise import FEATS, GRID, LET
+from oracles.featurise import FEATS, GRID, LET, case_map
 from oracles.normalise import normal_ctes, unescape, vis
 from oracles.scoring import NSRC, b64_tokens, duck_sql, score_ctes
+from paysieve.functions import features as X
 from paysieve.functions import rules as R
 from paysieve.functions.fusion_rules import FUSION_STAGES
 from paysieve.functions.labels import LABEL_PATTERNS
@@ -24,8 +25,8 @@ def infer(text, raw="''"):
 FEAT15 = list(FEATS.items())[:15]
 
 
-def series_ctes(src, out):
-    arr = "[" + ", ".join(f"({e})::DOUBLE" for _, e in FEAT15) + ", 0.0]"
+def series_ctes(src, out, weight="1.0"):
+    arr = "[" + ", ".join(f"({weight if n == 'location_weight' else e})::DOUBLE" for n, e in FEAT15) + ", 0.0]"
     win = "list_transform(range(1,17), lambda i: list_sum(list_slice(series, greatest(i-2,1)::BIGINT, least(i+1,16)::BIGINT))/4)"
     return (f"{out}_1 AS MATERIALIZED (SELECT *, {arr} AS series FROM {src}), {out}_2 AS MATERIALIZED (SELECT *, {win} AS trend FROM {out}_1), "
             f"{out}_3 AS (SELECT *, list_sum(list_transform(range(1,17), lambda i: abs(series[i]-trend[i])))/16 AS resid, trend[16]-trend[1] AS slope, series[4] AS third FROM {out}_2), "
@@ -60,13 +61,13 @@ TEXTURE = ("tx AS (SELECT 'p' AS origin, rid AS row_id, raw AS t FROM np1), " +
 NOMEM = ", ".join(f"0.0::DOUBLE AS mem_{k}" for k in R.LABELS) + ", 0.0::DOUBLE AS mem_hit, NULL::VARCHAR AS mem_exact"
 
 
-def decided(body, *wanted, mem=NOMEM, memctes="", source=None):
-    """Full decision chain over payload rows as ``dc``; mem: memory columns (aliases m.*) if given with ctes."""
+def decided(body, *wanted, mem=NOMEM, memctes="", source=PAYLOADS, weight="1.0"):
+    """Full decision chain over payload rows as ``dc``; mem: memory columns (aliases m.*) if given with ctes; source: ctes with payload_rows."""
     stages = R.needed(list(wanted), FUSION_STAGES)
     used = set(re.findall(r"\w+", " ".join(e for st in stages for _, e in st))) | set(wanted)
     base = [n for st in STAGES for n, _ in st if n in used] + [f"kw_{k}" for k in R.LABELS] + (["dup_raw_low"] if "dup_raw_low" in used else [])
-    sql = (f"WITH RECURSIVE {PAYLOADS}, {normal_ctes('(SELECT payload AS txt FROM payload_rows)')}, {NSRC}, np1 AS MATERIALIZED (SELECT *, row_id AS rid FROM np0), {TEXTURE}, "
-           f"{series_ctes('tex', 'se')}, {views_ctes('se', 'vw')}, {memctes + ', ' if memctes else ''}me AS (SELECT vw.*, {mem} FROM vw{' LEFT JOIN mm_ ON mm_.mid=rid' if memctes else ''}), {score_ctes('me', 'sc', *base)}, "
+    sql = (f"WITH RECURSIVE {source}, {normal_ctes('(SELECT payload AS txt FROM payload_rows)')}, {NSRC}, np1 AS MATERIALIZED (SELECT *, row_id AS rid FROM np0), {TEXTURE}, "
+           f"{series_ctes('tex', 'se', weight)}, {views_ctes('se', 'vw')}, {memctes + ', ' if memctes else ''}me AS (SELECT vw.*, {mem} FROM vw{' LEFT JOIN mm_ ON mm_.mid=rid' if memctes else ''}), {score_ctes('me', 'sc', *base)}, "
            f"f0 AS (SELECT *, {', '.join(f'kw_{k} AS ml_{k}' for k in R.LABELS)} FROM sc)")
     prev = "f0"
     for i, st in enumerate(stages):
@@ -88,11 +89,13 @@ def light(ctes, body):
     return f"WITH RECURSIVE {PAYLOADS}, {normal_ctes('(SELECT payload AS txt FROM payload_rows)')}, {NSRC}, np1 AS MATERIALIZED (SELECT *, row_id AS rid FROM np0), {ctes} {body}"
 
 
-# request verdicts
-VERDICTS = (REQUESTS + ", " + PARTS + ", vp0 AS MATERIALIZED (SELECT p.* FROM parts p), "
-            + normal_ctes("(SELECT raw AS txt FROM vp0)") + ", vp1 AS (SELECT p.*, norm, len(chain)::INT AS depth FROM vp0 p JOIN nm ON txt=raw), "
-            + score_ctes("vp1", "sc", "kw_peak", "kw_Normal")
-            + f", pv AS (SELECT *, pred<>'Normal' AS mal, round((CASE WHEN pred='Normal' THEN kw_Normal ELSE greatest(kw_peak,0.55) END)::DOUBLE,6) AS conf FROM (SELECT *, {infer('norm')} AS pred FROM sc)), "
+# request verdicts: a part's verdict depends on its text and location only, so each pair is decided once
+PART_TEXTS = REQUESTS + ", " + PARTS + ", vp0 AS MATERIALIZED (SELECT p.* FROM parts p), part_texts AS MATERIALIZED (SELECT row_number() OVER () AS row_id, raw AS payload, location FROM (SELECT DISTINCT raw, location FROM vp0))"
+FAST = ("(NOT obf AND NOT strong AND NOT hexw AND depth<2 AND ((length(raw)<=16 AND NOT regexp_matches(raw,'[^\\x00-\\x7F]') AND (length(raw)-length(replace(raw,'%','')))<2) OR (round(rp_peak,6)<0.22 AND length(raw)<120)))")
+VERDICTS = (decided("", "fin_label", "fin_conf", "fin_mal", "obf", "strong", "hexw", "rp_peak", "kw_Normal", source="@SOURCE@", weight=case_map("location", X.LOCATION_WEIGHT, 0.5))
+            .replace("payload_rows", "part_texts").replace("@SOURCE@", PART_TEXTS).removeprefix("WITH RECURSIVE ").rstrip()
+            + f", pt AS MATERIALIZED (SELECT raw, location, norm, CASE WHEN gate THEN 'Normal' ELSE fin_label END AS pred, NOT gate AND fin_mal AS mal, round((CASE WHEN gate THEN kw_Normal ELSE fin_conf END)::DOUBLE,6) AS conf FROM (SELECT *, {FAST} AS gate FROM dc)), "
+            "pv AS (SELECT v.*, pt.norm, pred, mal, conf FROM vp0 v JOIN pt ON pt.raw=v.raw AND pt.location=v.location), "
             "rv AS MATERIALIZED (SELECT req_id, pred, conf, mal, location, field, raw, norm FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY mal DESC, conf DESC, "
             "CASE location WHEN 'query' THEN 0 WHEN 'header' THEN 1 WHEN 'cookie' THEN 2 WHEN 'multipart' THEN 3 WHEN 'body' THEN 3 WHEN 'json' THEN 4 ELSE 5 END, ord) AS rn FROM (SELECT *, 0 AS ord FROM pv)) WHERE rn=1), "
             "rq AS (SELECT v.*, r.ts, r.src, r.label, r.kind FROM rv v JOIN requests r USING (req_id))")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paysieve.fixtures import payload_rows, requests
+from paysieve.functions import features as X
 from paysieve.functions import rules as R
-from paysieve.functions.labels import infer_label
 from paysieve.functions.scoring import VIEW_NAMES, add_scores, add_view_scores, score_views
 from paysieve.operators import decompose as D
 from paysieve.operators.decide import add_series, decide_parts, reduce_requests
 from paysieve.plans.normalise import normalised
 from paysieve.plans.registry import query
+from paysieve.session import cut_lineage, evaluated_once
 
 
 def base_rows(spark, sf):
@@ -89,17 +91,32 @@ def _pseudo(spark, sf):
 
 
 # --- request verdicts ---------------------------------------------------------------------------
-def part_verdicts(spark, sf):
-    """Parts of all requests with label, keyword confidence and malicious flag."""
-    parts = D.request_parts(requests(spark, sf), "ts", "src", "label", "kind")
-    df = add_scores(normalised(parts, "raw"), "kw_peak", "kw_Normal")
-    pred = infer_label(F.col("norm"))
-    return df.withColumns({"pred": pred, "mal": pred != "Normal",
-                           "conf": F.round(F.when(pred == "Normal", F.col("kw_Normal")).otherwise(F.greatest(F.col("kw_peak"), F.lit(0.55))).cast("double"), 6)})
+def benign_fast_path() -> Column:
+    """Entry gate: plain short texts, and longer ones without any prior of an attack, need no cascade."""
+    simple = (F.length("raw") <= 16) & ~F.col("raw").rlike(r"[^\x00-\x7F]") & (X.count_char(F.col("raw"), "%") < 2)
+    return ~F.col("obf") & ~F.col("strong") & ~F.col("hexw") & (F.col("depth") < 2) & (simple | ((F.round("rp_peak", 6) < 0.22) & (F.length("raw") < 120)))
+
+
+def part_verdicts(spark, sf, *keys):
+    """Parts of all requests with the fused label, confidence and malicious flag of the whole cascade.
+
+    The gate splits the parts once: it is evaluated in one pass whose result keeps the texts of the parts that need the
+    cascade and only the verdict of the others (Normal, with its keyword score).  The cascade then reads the former alone.
+    """
+    parts = D.request_parts(requests(spark, sf), *keys)
+    df = add_scores(normalised(parts, "raw"), "obf", "strong", "hexw", "rp_peak", "kw_Normal")
+    df = evaluated_once(df, "req_id", "pos", "location", "raw", "norm", "depth", *keys, gate=benign_fast_path(), plain=F.round(F.col("kw_Normal").cast("double"), 6))
+    text = lambda c: F.when(~F.col("gate"), F.col(c)).alias(c)
+    split = cut_lineage(df.select("req_id", "pos", "location", *keys, "depth", "gate", "plain", text("raw"), text("norm")))
+    found = decide_parts(split.filter("NOT gate").drop("gate", "plain"), "fin_label", "fin_conf", "fin_mal", location=F.col("location"))
+    same = ["req_id", "pos", "location", *keys]
+    costly = found.select(*same, F.col("fin_label").alias("pred"), F.col("fin_mal").alias("mal"), F.round(F.col("fin_conf").cast("double"), 6).alias("conf"))
+    cheap = split.filter("gate").select(*same, F.lit("Normal").alias("pred"), F.lit(False).alias("mal"), F.col("plain").alias("conf"))
+    return costly.unionByName(cheap)
 
 
 def request_verdicts(spark, sf):
-    return reduce_requests(part_verdicts(spark, sf), "ts", "src", "label", "kind")
+    return reduce_requests(part_verdicts(spark, sf, "ts", "src", "label", "kind"), "ts", "src", "label", "kind")
 
 
 @query("flagship")
