@@ -1,7 +1,7 @@
 """Signature rules of the license scan.
 
 Texts are matched as lower-cased words with single blanks between and around them, so ``2.0`` reads ``2 0``.  A family
-is written by hand as (label, word that every mention holds, pattern of its name); the forms below turn each name into
+is written by hand as (label, words one of which every mention holds, pattern of its name); the forms below turn each name into
 rules of rising priority: a bare name, a grant under that name, a declaration of the license.  Each label also is a
 machine-readable tag.  Notices have no name and stand alone.  A rule runs only where its keyword and its second word both occur in the document.
 """
@@ -23,7 +23,7 @@ FAMILIES = [
     ("expat", "expat", rf"expat {L}"),
     ("isc", "isc", rf"isc {L}"),
     ("bsd-1-clause", "bsd", rf"bsd (?:1|one) clause(?: {L})?"),
-    ("bsd-2-clause", "bsd", rf"(?:bsd (?:2|two) clause|simplified bsd|freebsd)(?: {L})?"),
+    ("bsd-2-clause", "bsd|freebsd", rf"(?:bsd (?:2|two) clause|simplified bsd|freebsd)(?: {L})?"),
     ("bsd-3-clause", "bsd", rf"(?:bsd (?:3|three) clause|(?:new|modified|revised) bsd)(?: {L})?"),
     ("bsd-4-clause", "bsd", rf"(?:bsd (?:4|four) clause|original bsd)(?: {L})?"),
     ("bsd", "bsd", rf"bsd(?: style)? {L}"),
@@ -33,16 +33,16 @@ FAMILIES = [
     ("gpl-2.0-or-later", "general", rf"(?:gnu )?general public {L} (?:either )?version 2 (?:of the {L} )?or (?:at your option )?any later version"),
     ("gpl-3.0", "general", rf"(?:gnu )?general public {L}{V} v?3(?: 0)?"),
     ("gpl-3.0-or-later", "general", rf"(?:gnu )?general public {L} (?:either )?version 3 (?:of the {L} )?or (?:at your option )?any later version"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"),
+    ("gpl-2.0", "gpl|gpl2", r"(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"),
+    ("gpl-3.0", "gpl|gpl3", r"(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"),
     ("lgpl-2.0", "general", rf"(?:gnu )?library general public {L}(?:{V} v?2(?: 0)?)?"),
     ("lgpl-2.1", "general", rf"(?:gnu )?lesser general public {L}{V} v?2 1"),
     ("lgpl-3.0", "general", rf"(?:gnu )?lesser general public {L}{V} v?3(?: 0)?"),
     ("lgpl", "general", rf"(?:gnu )?(?:lesser|library) general public {L}"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: version| v)?(?: ?[23](?: [01])?)?"),
+    ("lgpl", "lgpl|lgpl2|lgpl3", r"(?:gnu )?lgpl(?: version| v)?(?: ?[23](?: [01])?)?"),
     ("agpl-3.0", "general", rf"(?:gnu )?affero general public {L}(?:{V} v?3(?: 0)?)?"),
     ("agpl-1.0", "general", rf"affero general public {L}{V} v?1(?: 0)?"),
-    ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: version| v)?(?: ?3(?: 0)?)?"),
+    ("agpl-3.0", "agpl|agpl3", r"(?:gnu )?agpl(?: version| v)?(?: ?3(?: 0)?)?"),
     ("gfdl", "documentation", rf"(?:gnu )?free documentation {L}(?:{V} v?1 [123])?"),
     ("mpl-1.0", "mozilla", rf"mozilla public {L}{V} v?1 0"),
     ("mpl-1.1", "mozilla", rf"mozilla public {L}{V} v?1 1"),
@@ -93,7 +93,7 @@ FAMILIES = [
     ("pddl-1.0", "domain", rf"(?:open data commons )?public domain dedication and {L}"),
     ("ogl-uk", "government", rf"open government {L}(?:{V} v?[123] 0)?"),
     ("llama", "llama", rf"llama (?:[23] )?(?:\d )?community {L}(?: agreement)?"),
-    ("rail", "responsible", rf"(?:open ?)?rail(?: m)? (?:responsible ai )?{L}|responsible ai {L}"),
+    ("rail", "responsible|rail|openrail", rf"(?:open ?)?rail(?: m)? (?:responsible ai )?{L}|responsible ai {L}"),
     ("sspl-1.0", "server", rf"server side public {L}(?:{V} v?1)?"),
     ("bsl-1.1", "business", rf"business source {L}(?:{V} v?1 1)?"),
     ("elastic-2.0", "elastic", rf"elastic {L}(?:{V} v?2(?: 0)?)?"),
@@ -130,15 +130,15 @@ NOTICES = [
     ("isc", "permission", "fee", 4, 0.99, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", "binary", 3, 0.95, "redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?"),
     ("bsd-3-clause", "permission", "endorse", 4, 0.97, "may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-4-clause", "acknowledgment", "advertising", 4, 0.97, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
-    ("gpl", "redistribute", "software", 3, 0.95, f"you can redistribute it and or modify it under the terms of the gnu general public {L}"),
+    ("bsd-4-clause", "acknowledgment|acknowledgement", "advertising", 4, 0.97, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("gpl", "redistribute", "redistribute", 3, 0.95, f"you can redistribute it and or modify it under the terms of the gnu general public {L}"),
     ("gpl", "copyleft", "copyleft", 1, 0.5, "copyleft"),
-    ("apache-2.0", "license", "apache", 3, 0.95, f"you may not use this file except in compliance with the {L}"),
+    ("apache-2.0", "license|licence", "compliance", 3, 0.95, f"you may not use this file except in compliance with the {L}"),
     ("zlib", "warranty", "express", 3, 0.9, "this software is provided as is without any express or implied warranty in no event"),
     ("warranty-disclaimer", "warranty", "warranty", 1, 0.4, "without (?:any )?warranty of any kind"),
     ("warranty-disclaimer", "warranty", "warranty", 1, 0.4, "without even the implied warranty of merchantability"),
     ("warranty-disclaimer", "merchantability", "fitness", 1, 0.4, "merchantability (?:and|or) fitness for a particular purpose"),
-    ("liability-disclaimer", "liable", "damages", 1, 0.4, "in no event shall .{0,80}be liable for any (?:claim |direct )?(?:indirect )?.{0,40}damages"),
+    ("liability-disclaimer", "liable", "liable", 1, 0.4, "in no event shall .{0,80}be liable for any (?:claim |direct )?(?:indirect )?.{0,40}damages"),
     ("public-domain", "domain", "public", 1, 0.6, "(?:in|into|to) the public domain"),
     ("public-domain", "domain", "dedicated", 2, 0.9, "dedicated to the public domain"),
     ("public-domain", "domain", "released", 2, 0.9, "released (?:in)?to the public domain"),
@@ -149,24 +149,24 @@ NOTICES = [
     ("proprietary", "reproduced", "permission", 2, 0.85, "(?:no part of .{0,60})?may (?:not )?be reproduced .{0,80}without (?:the )?(?:prior )?(?:written )?permission"),
     ("proprietary", "consent", "written", 1, 0.6, "without (?:the )?(?:express |prior )?written consent"),
     ("eula", "eula", "eula", 1, 0.6, "eula"),
-    ("eula", "license", "user", 2, 0.85, f"end user {L} agreement"),
+    ("eula", "license|licence", "user", 2, 0.85, f"end user {L} agreement"),
     ("terms", "terms", "service", 1, 0.3, "terms of service"),
     ("terms", "terms", "use", 1, 0.3, "terms of use"),
     ("copyright", "copyright", "copyright", 1, 0.5, r"copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)?"),
     ("copyright", "copyright", "copyright", 1, 0.4, r"copyright(?: c)? (?:by )?the (?:authors|contributors)"),
     ("copyright", "copyrighted", "copyrighted", 1, 0.4, "copyrighted (?:material|work)"),
-    ("copyright", "copyright", "holder", 1, 0.5, "copyright (?:holders?|owners?)"),
-    ("non-commercial", "commercial", "non", 1, 0.5, "(?:for )?non ?commercial (?:use|purposes)(?: only)?"),
+    ("copyright", "copyright", "holder|owner", 1, 0.5, "copyright (?:holders?|owners?)"),
+    ("non-commercial", "commercial|noncommercial", "non", 1, 0.5, "(?:for )?non ?commercial (?:use|purposes)(?: only)?"),
     ("personal-use", "personal", "use", 1, 0.4, "for personal use only"),
     ("educational-use", "educational", "purposes", 1, 0.4, "for educational purposes only"),
     ("royalty-free", "royalty", "free", 1, 0.5, "royalty free"),
-    ("patent-grant", "patent", "perpetual", 3, 0.9, f"perpetual worldwide non ?exclusive no ?charge royalty ?free irrevocable (?:patent|copyright) {L}"),
-    ("trademark", "trademark", "registered", 1, 0.4, "registered trademarks? of"),
+    ("patent-grant", "perpetual", "perpetual", 3, 0.9, f"perpetual worldwide non ?exclusive no ?charge royalty ?free irrevocable (?:patent|copyright) {L}"),
+    ("trademark", "trademark|trademarks", "registered", 1, 0.4, "registered trademarks? of"),
     ("trademark", "trademarks", "registered", 1, 0.4, "registered trademarks of"),
     ("some-rights-reserved", "reserved", "some", 2, 0.8, "some rights reserved"),
     ("no-rights-reserved", "reserved", "no", 2, 0.8, "no rights reserved"),
-    ("license-file", "license", "see", 1, 0.4, f"see (?:the )?(?:file )?{L}(?: file)?(?: txt| md)? for (?:more )?(?:details|information)"),
-    ("license-file", "license", "copy", 1, 0.5, f"you should have received a copy of the .{{0,60}}{L}"),
+    ("license-file", "license|licence", "see", 1, 0.4, f"see (?:the )?(?:file )?{L}(?: file)?(?: txt| md)? for (?:more )?(?:details|information)"),
+    ("license-file", "received", "received", 1, 0.5, f"you should have received a copy of the .{{0,60}}{L}"),
     ("dual-license", "dual", "dual", 1, 0.6, "dual licensed"),
     ("shareware", "shareware", "shareware", 1, 0.5, "shareware"),
     ("freeware", "freeware", "freeware", 1, 0.5, "freeware"),
@@ -181,7 +181,8 @@ NAMES = {"apache", "clause", "bsd", "0bsd", "gpl", "lgpl", "agpl", "mozilla", "e
 
 
 def rules() -> list[dict]:
-    """All rules in order; ``keyword`` and ``also`` both stand in every text that a rule can match."""
+    """All rules in order.  A pattern has a row for each spelling of its keyword and second word, and every text that it
+    matches passes the gate of one of these rows."""
     out = []
 
     def add(label, keyword, also, priority, confidence, pattern, base=False):
@@ -189,13 +190,16 @@ def rules() -> list[dict]:
 
     for label, keyword, phrase in BASE:
         add(label, keyword, phrase.split()[0], BASE_PRIORITY, BASE_CONFIDENCE, phrase, True)
-    for label, keyword, also, priority, confidence, pattern in NOTICES:
-        add(label, keyword, also, priority, confidence, pattern)
+    for label, keywords, others, priority, confidence, pattern in NOTICES:
+        for keyword in keywords.split("|"):
+            for also in others.split("|"):
+                add(label, keyword, also, priority, confidence, pattern)
     for label in dict.fromkeys(f[0] for f in FAMILIES):
         words = label.replace("-", " ").replace(".", " ")
         add(label, "license", words.split()[0], TOP, 0.99, f"(?:spdx )?license identifier {words}(?: only)?")
     for label, word, name in FAMILIES:
         for priority, confidence, form in FORMS:
-            for keyword in [word] if word in NAMES else ["license", "licence"]:
-                add(label, keyword, word, priority, confidence, form.format(f"(?:{name})"))
+            for own in word.split("|"):
+                for keyword in [own] if word.split("|")[0] in NAMES else ["license", "licence"]:
+                    add(label, keyword, own, priority, confidence, form.format(f"(?:{name})"))
     return out

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import re._parser as parser
 import string
 from collections import Counter
 from zlib import crc32
@@ -122,6 +123,45 @@ def test_license_scan_equals_brute_force(docs_frame, edge_rows):
         assert sorted((x["start"], -x["minus_end"], x["no"]) for x in row.found) == sorted(kept)
 
 
+def samples(tree, limit=300):
+    """Texts that a parsed pattern matches: every branch, optional parts left out and put in."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            found = [chr(arg)]
+        elif name == "IN":
+            found = [chr(a) if str(o) == "LITERAL" else chr(a[0]) if str(o) == "RANGE" else "7" for o, a in arg if str(o) != "NEGATE"]
+        elif name in ("NOT_LITERAL", "ANY"):
+            found = ["x"]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            found = [""] * (arg[0] == 0) + [t * max(arg[0], 1) for t in samples(arg[2], limit)]
+        elif name == "SUBPATTERN":
+            found = samples(arg[3], limit)
+        elif name == "BRANCH":
+            found = [t for b in arg[1] for t in samples(b, limit)]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT", "AT"), name
+            found = [""]
+        out = [a + b for a in out for b in found]
+        out = [out[i * len(out) // limit] for i in range(limit)] if len(out) > limit else out
+    return out
+
+
+def test_every_text_of_a_signature_passes_a_gate():
+    table, seen = license_rules.rules(), 0
+    same = {}
+    for r in table:
+        same.setdefault((r["label"], r["pattern"]), []).append(r)
+    for (label, pattern), rows in same.items():
+        for text in samples(parser.parse(pattern)):
+            text = f" {' '.join(text.split())} "
+            if re.search(pattern, text):
+                seen += 1
+                assert any(r["keyword"] in text.split() and r["also"] in text for r in rows), (label, text)
+    assert seen > 10 * len(table)
+
+
 def test_cached_ids_equal_the_tokenizer():
     encoder = tokens.IdEncoder(tokens.tokenizer_path())
     r = random.Random(2)
