@@ -78,6 +78,13 @@ def with_spans(docs: DataFrame) -> DataFrame:
     return based.select("*", F.inline(F.array(F.struct(candidates(text, F.col("_base")).alias("_runs")))))
 
 
+def code_pairs(value: Column) -> Column:
+    """first code * CODES + second code for all neighbours of a value, in time linear in its length."""
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
+    return F.get(F.transform(F.array(codes), lambda a: F.zip_with(
+        F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: x * CODES + y)), F.lit(0))
+
+
 def pair_counts(scanned: DataFrame) -> DataFrame:
     """label, pair (first code * 128 + second code) and its count over all samples of all documents."""
     random = F.transform(F.col("_base"), lambda s: F.struct(F.lit(RANDOM).alias("label"), s["value"].alias("value")))
@@ -86,9 +93,7 @@ def pair_counts(scanned: DataFrame) -> DataFrame:
     # Runs that mix digits into letters are what the models have to judge; they are no labelled samples.
     plain = F.filter(plain, lambda s: ~(s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")))
     samples = scanned.select(F.inline(F.concat(random, plain)))
-    pairs = F.transform(F.sequence(F.lit(1), F.length("value") - 1),
-                        lambda i: F.ascii(F.substring("value", i, F.lit(1))) * CODES + F.ascii(F.substring("value", i + 1, F.lit(1))))
-    return samples.where(F.length("value") > 1).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").count()
+    return samples.where(F.length("value") > 1).select("label", F.explode(code_pairs(F.col("value"))).alias("pair")).groupBy("label", "pair").count()
 
 
 def fit(docs: DataFrame) -> list[float] | None:
@@ -116,8 +121,7 @@ def markov_spans(runs: Column, ratios: list[float] | None) -> Column:
     table = F.from_json(F.lit(str(ratios)), "array<double>")  # folded to one constant
 
     def ratio(v: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.length(v) - 1), F.lit(0.0), lambda acc, i: acc + F.get(
-            table, F.ascii(F.substring(v, i, F.lit(1))) * CODES + F.ascii(F.substring(v, i + 1, F.lit(1)))))
+        return F.aggregate(code_pairs(v), F.lit(0.0), lambda acc, pair: acc + F.get(table, pair))
 
     mixed = F.filter(runs, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     rated = F.transform(mixed, lambda s: F.struct(s.alias("span"), ratio(s["value"]).alias("ratio")))
