@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paysieve.fixtures import local_table, payload_rows, table
 from paysieve.functions import text as T
 from paysieve.functions.labels import first_match, infer_label
+from paysieve.operators.rule_index import bounded_rules, matching
 from paysieve.plans.registry import query
 from paysieve.plans.score import scored
 from paysieve.session import evaluated_once, spread
@@ -140,19 +143,21 @@ def rule_table(spark):
     return local_table(spark, RULES, [("prio", pa.int64()), ("pattern", pa.string()), ("label", pa.string()), ("confidence", pa.float64()), ("cluster", pa.string()), ("enabled", pa.bool_())])
 
 
-MAX_RULES = 5000
+RULE = "array<struct<prio:bigint,pattern:string,label:string,confidence:double,cluster:string>>"
 
 
 def match_rules(texts, rules):
-    """First matching enabled rule per row.
+    """First matching enabled rule per row, by priority.
 
-    The rule table (at most MAX_RULES rows, checked) becomes one broadcast array per row; the first hit
-    by priority is chosen inside the row, so no row x rule pairs are produced.
+    Only rules whose required literal may occur in a text are run on it (``rule_index``); the first hit is chosen inside
+    the row, so no row x rule pairs are produced.
     """
-    arr = rules.filter("enabled").agg(F.array_sort(F.collect_list(F.struct("prio", "pattern", "label", "confidence", "cluster"))).alias("rules_"))
-    low = F.lower("raw")
-    hit = F.filter("rules_", lambda r: (F.regexp_like(low, r["pattern"]) | F.regexp_like(F.col("low"), r["pattern"])) & ~(F.col("form") & (F.length("raw") > 35) & r["cluster"].endswith(":other")))
-    return texts.crossJoin(F.broadcast(arr)).withColumn("rule_", F.try_element_at(hit, F.lit(1))).drop("rules_")
+    rows = sorted((r for r in bounded_rules(rules) if r.enabled), key=lambda r: r.prio)
+    fields = ("prio", "pattern", "label", "confidence", "cluster")
+    table_ = F.from_json(F.lit(json.dumps([{f: r[f] for f in fields} for r in rows])), RULE)
+    hits = matching([r.pattern for r in rows], "raw_low_", "low")
+    found = F.filter(F.transform(hits, lambda n: F.get(table_, n)), lambda r: ~(F.col("form") & (F.length("raw") > 35) & r["cluster"].endswith(":other")))
+    return texts.withColumn("raw_low_", F.lower("raw")).withColumn("rule_", F.try_element_at(found, F.lit(1))).drop("raw_low_")
 
 
 @query("lab_dynamic_rules")
@@ -167,11 +172,15 @@ def _jr(spark, sf):
     return match_rules(t, rule_table(spark)).filter("rule_ is not null").select("row_id", F.col("rule_.prio").alias("prio"), F.col("rule_.label").alias("verdict"))
 
 
-def rule_rates(texts, rules):
-    """Hit rate of every rule over the benign texts: hit flags are summed per task, one row per rule is shuffled."""
-    arr = rules.agg(F.collect_list(F.struct("prio", "pattern")).alias("rules_"))
-    pairs = texts.crossJoin(F.broadcast(arr)).select(F.inline(F.transform("rules_", lambda r: F.struct(r["prio"].alias("prio"), F.regexp_like(F.col("low"), r["pattern"]).cast("int").alias("hit")))))
-    return pairs.groupBy("prio").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 6).alias("rate"))
+def rule_rates(texts, rules, key="prio"):
+    """Hits of every rule over the texts and their share: rule numbers are counted per task, one row per rule is shuffled."""
+    rows = bounded_rules(rules)
+    # Number -1 counts the texts.
+    counts = texts.select(F.explode(F.concat(F.array(F.lit(-1)), matching([r.pattern for r in rows], "low"))).alias("no")).groupBy("no").agg(F.count("*").alias("c"))
+    per_rule = counts.agg(F.map_from_entries(F.collect_list(F.struct("no", "c"))).alias("counts"))
+    numbered = rules.sparkSession.createDataFrame([(i, r[key]) for i, r in enumerate(rows)], f"no int, {key} {dict(rules.dtypes)[key]}")
+    n, hits = F.coalesce(F.try_element_at("counts", F.lit(-1)), F.lit(0)), F.coalesce(F.try_element_at("counts", F.col("no")), F.lit(0))
+    return numbered.crossJoin(per_rule).select(key, n.alias("n"), hits.alias("hits"), F.round(hits / n, 6).alias("rate")).filter("n > 0")
 
 
 @query("jn_fp_replay")
@@ -198,6 +207,7 @@ def insert_rules(spark, sf):
     new = misses_raw(spark, sf).groupBy(cluster_key(F.col("payload"), F.col("label")).alias("cluster"), "label").agg(F.min(F.lower("payload")).alias("lo"), F.max(F.lower("payload")).alias("hi"), F.count("*").alias("n"))
     new = new.select("label", "cluster", common_prefix(F.col("lo"), F.col("hi")).alias("pattern")).filter(F.length("pattern") >= 8)
     old = rule_table(spark).select("pattern", "label", "confidence", "cluster", "enabled")
+    bounded_rules(old)  # the stored table is within its bounds, so it can be broadcast
     fresh = new.join(F.broadcast(old.select("pattern")), "pattern", "left_anti").select("pattern", "label", F.lit(0.60).alias("confidence"), "cluster", F.lit(True).alias("enabled"))
     return old.unionByName(fresh)
 
@@ -227,9 +237,9 @@ def _mc(spark, sf):
     """Clusters of misses, derived pattern, benign replay rate, register / reject report."""
     from paysieve.plans.evaluate import misses_raw
     c = misses_raw(spark, sf).groupBy(cluster_key(F.col("payload"), F.col("label")).alias("cluster")).agg(F.count("*").alias("n"), F.min(F.lower("payload")).alias("lo"), F.max(F.lower("payload")).alias("hi"))
-    c = c.withColumn("pattern", common_prefix(F.col("lo"), F.col("hi"))).withColumn("prio", F.hash("cluster").cast("bigint"))
-    quoted = c.filter(F.length("pattern") >= 8).select("prio", F.concat(F.lit("\\Q"), "pattern", F.lit("\\E")).alias("pattern"))
+    c = c.withColumn("pattern", common_prefix(F.col("lo"), F.col("hi")))
+    quoted = c.filter(F.length("pattern") >= 8).select("cluster", F.concat(F.lit("\\Q"), "pattern", F.lit("\\E")).alias("pattern"))
     benign = payload_rows(spark, sf).filter("label='Normal'").select(F.lower("payload").alias("low"))
-    r = c.join(rule_rates(benign, quoted).select("prio", "rate"), "prio", "left")
+    r = c.join(rule_rates(benign, quoted, "cluster").select("cluster", "rate"), "cluster", "left")
     status = F.when(F.length("pattern") < 8, "no_pattern").when(F.col("rate") > 0.02, "rejected").otherwise("registered")
     return r.select("cluster", "n", F.when(F.length("pattern") >= 8, F.col("pattern")).otherwise("").alias("pattern"), F.col("rate"), status.alias("status"))
