@@ -15,7 +15,13 @@ CORPUS = ("co AS (SELECT 'doc:'||doc_id AS chunk_id, CASE WHEN source IN ('src0'
 
 SQL = {
     "udf_encoder": "SELECT lang, count(*) AS n, round(avg(384),1) AS dim FROM documents GROUP BY 1",
-    "str_feedback_memory": f"WITH {NN} SELECT CASE WHEN sim>=0.98 THEN 'update' ELSE 'insert' END AS action, count(*) AS n FROM nn WHERE rank=1 GROUP BY 1",
+    "str_feedback_memory": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+      b AS (SELECT 0 AS batch, vec_id, v FROM e WHERE vec_id%10 BETWEEN 3 AND 6 UNION ALL SELECT 1, vec_id, v FROM e WHERE vec_id%10>=7 UNION ALL SELECT 1, vec_id+1000000, v FROM e WHERE vec_id%10=3),
+      s0 AS (SELECT q.batch, q.vec_id, q.v, m.vec_id AS mid, round(list_dot_product(q.v, m.v),9) AS sim FROM b q JOIN e m ON m.vec_id%10<3 WHERE q.batch=0),
+      p0 AS MATERIALIZED (SELECT * FROM s0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, mid)=1),
+      m1 AS (SELECT vec_id, v FROM e WHERE vec_id%10<3 UNION ALL SELECT vec_id, v FROM p0 WHERE sim<0.98),
+      p1 AS (SELECT q.batch, q.vec_id, q.v, m.vec_id AS mid, round(list_dot_product(q.v, m.v),9) AS sim FROM b q CROSS JOIN m1 m WHERE q.batch=1 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY sim DESC, m.vec_id)=1)
+      SELECT batch::BIGINT AS batch, CASE WHEN sim>=0.98 THEN 'update' ELSE 'insert' END AS action, count(*) AS n, sum(CASE WHEN sim>=0.98 THEN mid END)::BIGINT AS targets FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1) GROUP BY 1,2""",
     "rag_build_index": with_payloads("SELECT category, count(*) AS n, round(avg((length(chunk)>=3)::INT),4) AS mean_norm FROM co GROUP BY 1", MRAW + ", " + CORPUS),
     "jn_memory_knn": f"WITH {NN} SELECT qid, mid, label, round(sim,5) AS sim, rank FROM nn WHERE rank<=8",
     "udaf_class_vote": f"WITH {NN} SELECT qid, label, count(*) AS n, round(sum(exp(-5.0*(1-greatest(sim,0)))),5) AS score FROM nn WHERE rank<=8 GROUP BY 1,2",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paysieve.fixtures import template_table
-from paysieve.operators.memory import DUPLICATE, upsert_plan
+from paysieve.fixtures import table, template_table
+from paysieve.operators.memory import DUPLICATE
 from paysieve.plans.evaluate import feedback, predictions
-from paysieve.plans.label import cluster_key, match_rules, rule_table
+from paysieve.plans.label import cluster_key, rule_table
 from paysieve.plans.memory import vectors
 from paysieve.plans.registry import query
 from paysieve.operators.metrics import ratio
@@ -21,6 +21,12 @@ def payload_stream(spark, sf):
     return J.event_stream(spark, sf).join(tpl, F.pmod("event_id", F.lit(64)) == F.col("pid")).select(F.col("event_id").alias("row_id"), "ts", F.col("user_id").cast("string").alias("src"), text.alias("payload"), "label")
 
 
+def reload_payloads(events):
+    tpl = F.broadcast(template_table(events.sparkSession))
+    text = F.replace(F.replace(F.col("tpl"), F.lit("{n}"), F.col("event_id").cast("string")), F.lit("{u}"), F.col("user_id").cast("string"))
+    return events.join(tpl, F.pmod("event_id", F.lit(64)) == F.col("pid")).select(F.col("event_id").alias("row_id"), "ts", text.alias("payload"))
+
+
 @query("str_detect")
 def _detect(spark, sf):
     return J.run_to_table(J.alerts(payload_stream(spark, sf)), "alerts").select("row_id", "pred")
@@ -73,32 +79,52 @@ def _adapt(spark, sf):
     return J.adaptive_thresholds(s).groupBy("label").agg(F.max("episodes").alias("episodes"), F.round(F.max_by("threshold", "epoch"), 6).alias("threshold"))
 
 
+COPIES_FROM = 1_000_000  # ids of the copies that come back in the second batch
+
+
 @query("str_feedback_memory")
 def _mem(spark, sf):
-    """New vectors arrive as a stream; each micro-batch is split into inserts and updates of the memory."""
-    src, out = scratch(spark, "vectors"), scratch(spark, "memory-log")
+    """New vectors in two batches; what the first inserts is part of the memory that the second is compared with.
+
+    The second batch brings copies of a part of the first, which become updates.
+    """
+    src, folder = scratch(spark, "vectors"), scratch(spark, "memory-versions")
     mem, new = vectors(spark, sf)
-    new.write.parquet(src)
-    s = spark.readStream.schema(new.schema).parquet(src)
+    cols = ["vec_id", "embedding", "label"]
+    first, second = new.filter("vec_id % 10 < 7").select(*cols), new.filter("vec_id % 10 >= 7").select(*cols)
+    copies = new.filter("vec_id % 10 = 3").select((F.col("vec_id") + COPIES_FROM).alias("vec_id"), "embedding", "label")
+    stream = spark.readStream.schema(first.schema).parquet(f"{src}/*")
+    step = J.memory_step(mem.select(*cols), DUPLICATE)
+    for i, part in enumerate((first, second.unionByName(copies))):
+        part.write.parquet(f"{src}/{i}")
+        rows = J.stateful_batches(stream, "memory", step, folder)
+    return rows.groupBy(F.col("epoch").cast("bigint").alias("batch"), "action").agg(F.count("*").alias("n"), F.sum("target").alias("targets"))
+
+
+RELOAD_AT = "2024-01-16 00:00:00"
+# User data: what the second version of the rule table adds; it also switches the first rule but one off.
+ADDED_RULE = (8, r"p=[a-z]+", "SQLi", 0.51, "SQLi:added", True)
+
 
-    def upsert(batch, epoch):
-        upsert_plan(batch, mem, "vec_id", "embedding", "vec_id", "label", DUPLICATE).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
-    J.run_batches(s, "memory", upsert)
-    return spark.read.parquet(out).groupBy("action").agg(F.count("*").alias("n"))
+def rule_versions(spark):
+    """(valid from, rules) of the two versions of the rule table."""
+    base = rule_table(spark)
+    added = spark.createDataFrame([ADDED_RULE], base.schema)
+    return [(None, base), (RELOAD_AT, base.withColumn("enabled", F.col("enabled") & (F.col("prio") != 1)).unionByName(added))]
 
 
 @query("str_rule_reload")
 def _reload(spark, sf):
-    """The rule table is read again for every micro-batch, so new rows apply to the running stream."""
-    rules, out = scratch(spark, "rules"), scratch(spark, "rule-hits")
-    rule_table(spark).write.parquet(rules)
-
-    def match(batch, epoch):
-        now = spark.read.parquet(rules)
-        t = batch.select("row_id", F.col("payload").alias("raw"), F.lower("payload").alias("low"), F.lit(False).alias("form"))
-        match_rules(t, now).filter("rule_ is not null").select("row_id", F.col("rule_.label").alias("verdict"), F.col("rule_.cluster").alias("cluster")).write.mode("append").parquet(out)
-    J.run_batches(payload_stream(spark, sf), "rules", match)
-    return spark.read.parquet(out).groupBy("cluster", "verdict").agg(F.count("*").alias("n"))
+    """A versioned rule log, extended between two batches; every row is matched with the version valid at its own time."""
+    src, folder, log = scratch(spark, "payloads"), scratch(spark, "rule-hits"), scratch(spark, "rule-log")
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id")
+    stream = reload_payloads(spark.readStream.schema(events.schema).parquet(f"{src}/*"))
+    halves = (events.filter(F.col("ts") < F.lit(RELOAD_AT).cast("timestamp")), events.filter(F.col("ts") >= F.lit(RELOAD_AT).cast("timestamp")))
+    for i, (part, (start, rules)) in enumerate(zip(halves, rule_versions(spark), strict=True)):
+        rules.withColumn("valid_from", F.coalesce(F.lit(start).cast("timestamp"), F.timestamp_millis(F.lit(0)))).write.parquet(f"{log}/version={i}")
+        part.write.parquet(f"{src}/{i}")
+        rows = J.stateful_batches(stream, "rules", J.rule_step(log), folder)
+    return rows.groupBy(F.col("version").cast("bigint").alias("version"), "cluster", "verdict").agg(F.count("*").alias("n"))
 
 
 @query("str_feedback_cycle")

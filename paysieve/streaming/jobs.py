@@ -9,7 +9,7 @@ from paysieve.functions.labels import infer_label
 from paysieve.operators import windows as W
 from paysieve.operators.scale import clamp_fold
 from paysieve.plans.normalise import normalised
-from paysieve.session import evaluated_once
+from paysieve.session import cut_lineage, evaluated_once
 from paysieve.sources.files import scratch
 
 
@@ -113,6 +113,44 @@ def source_series(events: DataFrame) -> DataFrame:
     return stateful_batches(e, "series", series_step)
 
 
+def memory_step(initial: DataFrame, threshold: float):
+    """Inserts and updates of a batch against the memory so far; the memory with the batch's inserts is the next state.
+
+    The plan of a batch is written once, so its rows and the next state come from the same comparison.
+    """
+    from paysieve.operators.memory import upsert_plan
+
+    def step(batch: DataFrame, epoch: int, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        memory = initial if state is None else state
+        plan = cut_lineage(upsert_plan(batch, memory, "vec_id", "embedding", "vec_id", "label", threshold))
+        fresh = plan.filter("action = 'insert'").select(F.col("qid").alias("vec_id"))
+        return plan, memory.unionByName(batch.join(fresh, "vec_id", "left_semi").select(*memory.columns))
+    return step
+
+
+def rule_step(log: str):
+    """Hits of a batch by the rule versions in a log (folders ``version=n``, read again for every batch).
+
+    A row is matched with the last version whose ``valid_from`` is not after the row's time, so an epoch that is run again
+    after the log has grown gives the same rows.
+    """
+    from paysieve.plans.label import match_rules
+
+    def step(batch: DataFrame, epoch: int, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rules = batch.sparkSession.read.parquet(log)
+        versions = [(r.version, r.valid_from) for r in rules.groupBy("version").agg(F.min("valid_from").alias("valid_from")).orderBy("valid_from").collect()]  # rows of a log
+        out = None
+        for (version, start), end in zip(versions, [*[v for _, v in versions[1:]], None], strict=True):
+            own = batch.filter(F.col("ts") >= F.lit(start))
+            own = own if end is None else own.filter(F.col("ts") < F.lit(end))
+            t = own.select("row_id", F.col("payload").alias("raw"), F.lower("payload").alias("low"), F.lit(False).alias("form"))
+            hits = match_rules(t, rules.filter(F.col("version") == version).drop("version", "valid_from")).filter("rule_ is not null")
+            hits = hits.select("row_id", F.lit(version).alias("version"), F.col("rule_.label").alias("verdict"), F.col("rule_.cluster").alias("cluster"))
+            out = hits if out is None else out.unionByName(hits)
+        return out, rules.groupBy("version").agg(F.count("*").alias("rules"))
+    return step
+
+
 BASE, DRIFT, LR = 0.38, 0.08, 0.05
 
 
