@@ -12,7 +12,7 @@ SQL = {
     "str_dedupe": "SELECT substr(h,1,1) AS h, count(DISTINCT h) AS n FROM (SELECT substr(sha256(concat_ws('|',event_type,props)),1,16) AS h FROM events) GROUP BY 1",
     "str_rule_reload": with_payloads("SELECT version::BIGINT AS version, cluster, verdict, count(*) AS n FROM (SELECT row_id, v.version, r.label AS verdict, r.cluster FROM (SELECT *, (ts >= TIMESTAMP '2024-01-16 00:00:00')::INT AS version FROM payload_rows) v "
         "JOIN rv r ON r.version=v.version AND r.enabled AND regexp_matches(lower(payload),r.pattern) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY r.prio)=1) GROUP BY 1,2,3",
-        RT + ", rv AS (SELECT 0 AS version, * FROM rt UNION ALL SELECT 1, prio, pattern, label, confidence, cluster, enabled AND prio<>1 FROM rt UNION ALL SELECT 1, 8, 'p=[a-z]+', 'SQLi', 0.51, 'SQLi:added', TRUE)"),
+        RT + ", rv AS (SELECT 0 AS version, * FROM rt UNION ALL SELECT 1, prio, pattern, label, confidence, cluster, enabled AND prio<>1 FROM rt UNION ALL SELECT 1, 8, 'onerror(?:=|%3d)', 'XSS', 0.51, 'XSS:added', TRUE)"),
     "str_feedback_cycle": P(f"SELECT side, recall, fpr, recall>=0.995 AND fpr<=0.013 AS passed FROM (SELECT side, {ratio('count(*) FILTER (atk AND obf AND p<>' + NORMAL + ')', 'count(*) FILTER (atk AND obf)')} AS recall, {ratio('count(*) FILTER (NOT atk AND p<>' + NORMAL + ')', 'count(*) FILTER (NOT atk)')} AS fpr FROM sd GROUP BY 1)",
                             f"cl AS (SELECT *, {CLUSTER} AS c FROM pr), lc AS (SELECT DISTINCT c FROM cl WHERE atk AND pred0='Normal'), sd AS (SELECT atk, obf, 'before' AS side, pred0 AS p FROM cl UNION ALL SELECT atk, obf, 'after', CASE WHEN atk AND c IN (SELECT c FROM lc) THEN label ELSE pred0 END FROM cl)"),
     "str_detect": P("SELECT row_id, pred FROM pr WHERE hit"),

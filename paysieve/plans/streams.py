@@ -103,7 +103,7 @@ def _mem(spark, sf):
 
 RELOAD_AT = "2024-01-16 00:00:00"
 # User data: what the second version of the rule table adds; it also switches the first rule but one off.
-ADDED_RULE = (8, r"p=[a-z]+", "SQLi", 0.51, "SQLi:added", True)
+ADDED_RULE = (8, r"onerror(?:=|%3d)", "XSS", 0.51, "XSS:added", True)
 
 
 def rule_versions(spark):

@@ -43,5 +43,5 @@ def test_rows_keep_the_version_of_their_time(spark, tmp_path):
 
 def test_versions_differ_in_the_query(spark):
     rows = {(r.version, r.cluster): r.n for r in entry.queries()["str_rule_reload"](spark, SF).collect()}
-    assert (1, "SQLi:added") in rows and (0, "SQLi:added") not in rows
+    assert (1, "XSS:added") in rows and (0, "XSS:added") not in rows
     assert (1, "PathTraversal:double") not in rows
