@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -171,16 +172,26 @@ def hash_bucket(token: str) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % EMBED_DIM
 
 
+@lru_cache(maxsize=1 << 17)
+def gram_bucket(packed: int) -> int:
+    """Bucket of three code points of 21 bits each."""
+    return hash_bucket(chr(packed >> 42) + chr(packed >> 21 & 0x1FFFFF) + chr(packed & 0x1FFFFF))
+
+
 def embed_texts(texts: pd.Series) -> np.ndarray:
-    """Hashed character trigrams (weight 1) and words (weight .5), unit length, one row per text."""
+    """Hashed character trigrams (weight 1) and words (weight .5), unit length, one row per text.
+
+    Trigrams are counted in numpy over code points; only distinct ones of a text are hashed.
+    """
     out = np.zeros((len(texts), EMBED_DIM))
     for row, t in zip(out, texts):
         low = (t or "").lower()
-        for i in range(len(low) - 2):
-            row[hash_bucket(low[i:i + 3])] += 1.0
-        for w in low.split():
-            if len(w) >= 3:
-                row[hash_bucket(w)] += 0.5
+        points = np.frombuffer(low.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        grams, counts = np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
+        words = Counter(w for w in low.split() if len(w) >= 3)
+        buckets = [*map(gram_bucket, grams.tolist()), *map(hash_bucket, words)]
+        weights = np.concatenate([counts, 0.5 * np.array(list(words.values()))])
+        row += np.bincount(np.array(buckets, dtype=np.int64), weights, EMBED_DIM)
         n = np.linalg.norm(row)
         if n > 1e-8:
             row /= n
