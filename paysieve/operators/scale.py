@@ -51,14 +51,14 @@ def with_previous(df: DataFrame, key: list[str], order: list[str], chunk: Column
     return df.withColumn("halo_", F.lit(False)).unionByName(halo)
 
 
-def clamp_fold(df: DataFrame, key: str, seq: str, delta: Column, lo: float, hi: float, start: Column, levels=(1000, 1000 ** 2, 1000 ** 3)) -> DataFrame:
-    """Ordered fold x -> clip(x + delta, lo, hi) per key.
+def clamp_fold(df: DataFrame, key: str, seq: str, delta: Column, lo: float | Column, hi: float | Column, start: Column, levels=(1000, 1000 ** 2, 1000 ** 3)) -> DataFrame:
+    """Ordered fold x -> clip(x + delta, lo, hi) per key; the bounds may be columns.
 
     Such steps compose to one step of the same form (shift, low, high), so chunks of at most 1000
     rows are folded on their own and the chunk results are folded level by level.
     """
     step = F.struct(F.col("shift_"), F.col("lo_"), F.col("hi_"))
-    cur = df.select(key, F.col(seq).alias("seq_"), delta.alias("shift_")).withColumns({"lo_": F.lit(lo), "hi_": F.lit(hi)})
+    cur = df.select(key, F.col(seq).alias("seq_"), delta.alias("shift_"), F.lit(lo).alias("lo_"), F.lit(hi).alias("hi_"))
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(-1e9).alias("l"), F.lit(1e9).alias("h"))
 
     def compose(acc: Column, e: Column) -> Column:

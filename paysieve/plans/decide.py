@@ -97,24 +97,28 @@ def benign_fast_path() -> Column:
     return ~F.col("obf") & ~F.col("strong") & ~F.col("hexw") & (F.col("depth") < 2) & (simple | ((F.round("rp_peak", 6) < 0.22) & (F.length("raw") < 120)))
 
 
-def part_verdicts(spark, sf, *keys):
-    """Parts of all requests with the fused label, confidence and malicious flag of the whole cascade.
+def gated_verdicts(rows, *same):
+    """Rows (raw, norm, depth, location and the columns ``same``) with the fused label, confidence and malicious flag of the cascade.
 
-    The gate splits the parts once: it is evaluated in one pass whose result keeps the texts of the parts that need the
+    The gate splits the rows once: it is evaluated in one pass whose result keeps the texts of the rows that need the
     cascade and only the verdict of the others (Normal, with its keyword score).  The cascade then reads the former alone.
     """
-    parts = D.request_parts(requests(spark, sf), *keys)
-    df = add_scores(normalised(parts, "raw"), "obf", "strong", "hexw", "rp_peak", "kw_Normal")
-    df = evaluated_once(df, "req_id", "pos", "location", "raw", "norm", "depth", *keys, gate=benign_fast_path(), plain=F.round(F.col("kw_Normal").cast("double"), 6))
+    df = add_scores(rows, "obf", "strong", "hexw", "rp_peak", "kw_Normal")
+    df = evaluated_once(df, *same, "raw", "norm", "depth", gate=benign_fast_path(), plain=F.round(F.col("kw_Normal").cast("double"), 6))
     text = lambda c: F.when(~F.col("gate"), F.col(c)).alias(c)
-    split = cut_lineage(df.select("req_id", "pos", "location", *keys, "depth", "gate", "plain", text("raw"), text("norm")))
+    split = cut_lineage(df.select(*same, "depth", "gate", "plain", text("raw"), text("norm")))
     found = decide_parts(split.filter("NOT gate").drop("gate", "plain"), "fin_label", "fin_conf", "fin_mal", location=F.col("location"))
-    same = ["req_id", "pos", "location", *keys]
     costly = found.select(*same, F.col("fin_label").alias("pred"), F.col("fin_mal").alias("mal"), F.round(F.col("fin_conf").cast("double"), 6).alias("conf"))
     cheap = split.filter("gate").select(*same, F.lit("Normal").alias("pred"), F.lit(False).alias("mal"), F.col("plain").alias("conf"))
     return costly.unionByName(cheap)
 
 
+def part_verdicts(spark, sf, *keys):
+    """Parts of all requests with their fused verdict."""
+    parts = D.request_parts(requests(spark, sf), *keys)
+    return gated_verdicts(normalised(parts, "raw"), "req_id", "pos", "location", *keys)
+
+
 def request_verdicts(spark, sf):
     return reduce_requests(part_verdicts(spark, sf, "ts", "src", "label", "kind"), "ts", "src", "label", "kind")
 

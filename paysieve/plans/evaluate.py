@@ -29,15 +29,22 @@ def predictions(spark, sf):
 TIER_CUT = (10, 15)
 
 
+def source_bucket(key):
+    return F.pmod(md5_number(key), F.lit(100))
+
+
 def traffic_tier(key, canary: int = TIER_CUT[0]):
-    b = F.pmod(md5_number(key), F.lit(100))
+    b = source_bucket(key)
     return F.when(b < canary, "canary").when(b < min(100, canary + 5), "shadow").otherwise("stable")
 
 
+def reward():
+    return F.when(F.col("pred") == F.col("label"), 1.0).when((F.col("pred") != "Normal") & (F.col("label") != "Normal"), -0.5).otherwise(-1.0)
+
+
 def feedback(spark, sf):
     p = predictions(spark, sf)
-    reward = F.when(F.col("pred") == F.col("label"), 1.0).when((F.col("pred") != "Normal") & (F.col("label") != "Normal"), -0.5).otherwise(-1.0)
-    return p.select(F.col("row_id").alias("seq"), "ts", "src", traffic_tier(F.col("src")).alias("tier"), F.col("pred").alias("predicted"), F.col("label").alias("true_label"), reward.alias("reward"), "payload")
+    return p.select(F.col("row_id").alias("seq"), "ts", "src", traffic_tier(F.col("src")).alias("tier"), F.col("pred").alias("predicted"), F.col("label").alias("true_label"), reward().alias("reward"), "payload")
 
 
 

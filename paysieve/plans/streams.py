@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paysieve.fixtures import table, template_table
+from paysieve.functions import rules as R
 from paysieve.operators.memory import DUPLICATE
-from paysieve.plans.evaluate import feedback, predictions
+from paysieve.plans.evaluate import feedback, predictions, reward
 from paysieve.plans.label import cluster_key, rule_table
 from paysieve.plans.memory import vectors
 from paysieve.plans.registry import query
 from paysieve.operators.metrics import ratio
+from paysieve.session import cut_lineage
 from paysieve.sources.files import scratch
 from paysieve.streaming import jobs as J
 
@@ -29,7 +31,7 @@ def reload_payloads(events):
 
 @query("str_detect")
 def _detect(spark, sf):
-    return J.run_to_table(J.alerts(payload_stream(spark, sf)), "alerts").select("row_id", "pred")
+    return J.alerts(payload_stream(spark, sf)).select("row_id", "pred")
 
 
 @query("str_source_state")
@@ -79,6 +81,32 @@ def _adapt(spark, sf):
     return J.adaptive_thresholds(s).groupBy("label").agg(F.max("episodes").alias("episodes"), F.round(F.max_by("threshold", "epoch"), 6).alias("threshold"))
 
 
+FEEDS, REVIEWED, FROZEN_FROM = 5, 2, 4
+
+
+def policy_feeds(spark, sf):
+    """Feedback in five parts of the ids.  The third comes from a review that only files errors of the undecoded verdict."""
+    p = predictions(spark, sf)
+    p = p.crossJoin(F.broadcast(p.agg((F.max("row_id") + 1).alias("end_")))).withColumn("feed", F.floor(F.col("row_id") * FEEDS / F.col("end_")))
+    review = F.col("feed") == REVIEWED
+    p = p.withColumn("pred", F.when(review, F.col("pred0")).otherwise(F.col("pred"))).filter(~review | (F.col("pred") != F.col("label")))
+    return p.select("feed", F.col("row_id").alias("seq"), "src", F.col("pred").alias("predicted"), F.col("label").alias("true_label"), reward().alias("reward"))
+
+
+@query("str_policy_automaton")
+def _automaton(spark, sf):
+    """Thresholds and control values after each batch: learning, promotion, rollback to the snapshot, freeze."""
+    src, folder = scratch(spark, "policy-feeds"), scratch(spark, "policy-versions")
+    feeds = cut_lineage(policy_feeds(spark, sf))
+    stream = spark.readStream.schema(feeds.drop("feed").schema).parquet(f"{src}/*")
+    step = J.automaton_step(R.LABELS, {0: "canary", FROZEN_FROM: "freeze"})
+    for i in range(FEEDS):
+        feeds.filter(F.col("feed") == i).drop("feed").write.parquet(f"{src}/{i}")
+        rows = J.stateful_batches(stream, "automaton", step, folder)
+    return rows.select(F.col("epoch").cast("bigint").alias("batch"), "label", "event", "share", "episodes", "promotions", "rollbacks",
+                       *[F.round(c, 6).alias(c) for c in ("avg30", "canary", "stable", "snapshot")])
+
+
 COPIES_FROM = 1_000_000  # ids of the copies that come back in the second batch
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paysieve.functions.labels import infer_label
 from paysieve.operators import windows as W
 from paysieve.operators.scale import clamp_fold
 from paysieve.plans.normalise import normalised
@@ -37,9 +36,18 @@ def run_batches(df: DataFrame, name: str, handle, ckpt: str | None = None) -> No
 
 
 def alerts(payloads: DataFrame) -> DataFrame:
-    """Stateless detection: the same normalise and label columns as in batch."""
-    d = evaluated_once(normalised(payloads), "row_id", "ts", "src", pred=infer_label(F.col("norm")))
-    return d.filter("pred <> 'Normal'")
+    """Detection by the fused verdict of the whole cascade, batch by batch; an epoch that is run again replaces its rows."""
+    from paysieve.plans.decide import gated_verdicts
+
+    out = scratch(payloads.sparkSession, "alerts")
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        rows = normalised(batch).withColumns({"raw": F.col("payload"), "location": F.lit("query")})
+        found = gated_verdicts(rows, "row_id", "ts", "src", "location")
+        found = evaluated_once(found, "row_id", "ts", "src", pred=F.col("pred"), conf=F.col("conf"), mal=F.col("mal"))
+        found.filter("mal").drop("mal").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    run_batches(payloads, "alerts", handle)
+    return payloads.sparkSession.read.parquet(out)
 
 
 def windowed_counts(events: DataFrame, watermark: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -175,3 +183,69 @@ def policy_step(batch: DataFrame, epoch: int, state: DataFrame | None) -> tuple[
 def adaptive_thresholds(feedback: DataFrame) -> DataFrame:
     """Threshold and episodes per class after each batch (column ``epoch``)."""
     return stateful_batches(feedback, "policy", policy_step)
+
+
+# Fixed values of the policy: bounds of a threshold, rewards that are kept and averaged, levels, canary share.
+LOWEST, HIGHEST = 0.2, 0.95
+RING, MEAN_OF, LEAST_REWARDS = 40, 30, 15
+ROLLBACK_AT, PROMOTE_AT = -0.25, 0.15
+SHARE, SHARE_STEP, SHARE_MOST = 10, 5, 50
+
+
+def first_policy(spark: SparkSession, labels: list[str]) -> DataFrame:
+    """One row per class: thresholds of the canary, the stable policy and the snapshot, and the control values of all classes."""
+    zero = F.lit(0).cast("bigint")
+    base = {c: F.lit(BASE) for c in ("canary", "stable", "snapshot")}
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, labels))).alias("label")).withColumns(
+        {**base, "share": F.lit(SHARE).cast("bigint"), "episodes": zero, "promotions": zero, "rollbacks": zero, "ring": F.array().cast("array<double>")})
+
+
+def automaton_step(labels: list[str], modes: dict[int, str]):
+    """Policy automaton over batches of (seq, src, predicted, true_label, reward); ``modes``: first batch -> canary or freeze.
+
+    In a batch the sources of the canary share learn, at most DRIFT away from the stable threshold; the next ones (shadow)
+    and all of a frozen batch are only observed.  At its end the mean of the last rewards decides: from PROMOTE_AT on (last
+    30 and last 40) the stable policy becomes the snapshot, the canary the stable policy, and the share grows; down to
+    ROLLBACK_AT both return to the snapshot.  An empty batch changes nothing; rewards of equal ``seq`` are ordered by value;
+    classes outside ``labels`` have no threshold.  The state is a row per class with at most RING rewards, so a batch that
+    is run again from the state before it gives the same transition.
+    """
+    from paysieve.plans.evaluate import source_bucket
+
+    def mean(ring, n: int):
+        part = F.slice(ring, F.greatest(F.size(ring) - (n - 1), F.lit(1)), n)
+        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(part), F.lit(1))
+
+    def step(batch: DataFrame, epoch: int, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        mode = modes[max(k for k in modes if k <= epoch)]
+        state = first_policy(batch.sparkSession, labels) if state is None else state.select(*first_policy(batch.sparkSession, labels).columns)
+        now = state.agg(F.max("share").alias("share_"))
+        rows = batch.crossJoin(F.broadcast(now)).withColumn("bucket_", source_bucket(F.col("src")))
+        canary = F.lit(mode != "freeze") & (F.col("bucket_") < F.col("share_"))
+        observed = F.lit(mode != "freeze") & ~F.col("bucket_").between(F.col("share_"), F.col("share_") + 4)
+        counts = rows.agg(F.count("*").alias("n_"), F.count_if(canary).alias("learned_"), F.count_if(observed).alias("observed_"), F.coalesce(F.min("seq") - 1, F.lit(0)).alias("before_"))
+        last = batch.orderBy(F.desc("seq"), F.desc("reward")).limit(RING).agg(F.array_sort(F.collect_list(F.struct("seq", "reward"))).alias("last_"))
+        known = state.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(last))
+
+        steps = rows.filter(canary).select(F.when(F.col("reward") < 0, F.col("true_label")).otherwise(F.col("predicted")).alias("label"), "seq",
+                                           F.when(F.col("reward") < 0, -LR * 0.5).otherwise(LR * 0.1).alias("d"))
+        start = known.select("label", F.col("before_").alias("seq"), (F.col("canary") - BASE).alias("d"))
+        bounds = state.select("label", F.greatest(F.lit(LOWEST), F.col("stable") - DRIFT).alias("lo"), F.least(F.lit(HIGHEST), F.col("stable") + DRIFT).alias("hi"))
+        fold = clamp_fold(start.unionByName(steps).join(F.broadcast(bounds), "label"), "label", "seq", F.col("d"), F.col("lo"), F.col("hi"), F.lit(BASE))
+
+        rewards = F.concat("ring", F.transform("last_", lambda x: x["reward"]))
+        known = known.join(F.broadcast(fold), "label").withColumn("ring", F.slice(rewards, F.greatest(F.size(rewards) - (RING - 1), F.lit(1)), RING))
+        known = known.withColumn("avg30", mean(F.col("ring"), MEAN_OF))
+        promote = (F.col("learned_") > 0) & (F.size("ring") >= RING) & (F.col("avg30") >= PROMOTE_AT) & (mean(F.col("ring"), RING) >= PROMOTE_AT)
+        rollback = (F.col("observed_") > 0) & (F.size("ring") >= LEAST_REWARDS) & (F.col("avg30") <= ROLLBACK_AT)
+        known = known.withColumn("event", F.when(promote, "promote").when(rollback, "rollback").when(F.col("learned_") > 0, "learn").otherwise("observe"))
+        is_ = F.col("event").eqNullSafe
+        after = cut_lineage(known.select(
+            "label", F.when(is_("rollback"), F.col("snapshot")).otherwise(F.col("value")).alias("canary"),
+            F.when(is_("promote"), F.col("value")).when(is_("rollback"), F.col("snapshot")).otherwise(F.col("stable")).alias("stable"),
+            F.when(is_("promote"), F.col("stable")).otherwise(F.col("snapshot")).alias("snapshot"),
+            F.when(is_("promote"), F.least(F.col("share") + SHARE_STEP, F.greatest(F.col("share"), F.lit(SHARE_MOST)))).otherwise(F.col("share")).cast("bigint").alias("share"),
+            (F.col("episodes") + F.col("n_")).alias("episodes"), (F.col("promotions") + is_("promote").cast("bigint")).alias("promotions"),
+            (F.col("rollbacks") + is_("rollback").cast("bigint")).alias("rollbacks"), "ring", "avg30", "event"))
+        return after.drop("ring"), after
+    return step
