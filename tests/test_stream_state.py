@@ -45,3 +45,66 @@ def test_versions_differ_in_the_query(spark):
     rows = {(r.version, r.cluster): r.n for r in entry.queries()["str_rule_reload"](spark, SF).collect()}
     assert (1, "XSS:added") in rows and (0, "XSS:added") not in rows
     assert (1, "PathTraversal:double") not in rows
+
+
+def plain_policy(batches, labels, modes, bucket):
+    """The automaton as a loop over rows."""
+    state = {"canary": dict.fromkeys(labels, J.BASE), "stable": dict.fromkeys(labels, J.BASE), "snapshot": dict.fromkeys(labels, J.BASE)}
+    share, ring, events = J.SHARE, [], []
+    for k, batch in enumerate(batches):
+        frozen = modes[max(m for m in modes if m <= k)] == "freeze"
+        learned = observed = 0
+        for _seq, src, predicted, true_label, reward in sorted(batch):
+            ring = [*ring, reward][-J.RING:]
+            observed += not frozen and not share <= bucket(src) < share + 5
+            if frozen or bucket(src) >= share:
+                continue
+            learned += 1
+            label, d = (true_label, -J.LR * 0.5) if reward < 0 else (predicted, J.LR * 0.1)
+            s = state["stable"][label]
+            state["canary"][label] = min(J.HIGHEST, s + J.DRIFT, max(J.LOWEST, s - J.DRIFT, state["canary"][label] + d))
+        avg = [sum(ring[-n:]) / len(ring[-n:]) if ring else 0.0 for n in (J.MEAN_OF, J.RING)]
+        event = "learn" if learned else "observe"
+        if learned and len(ring) >= J.RING and min(avg) >= J.PROMOTE_AT:
+            event, share = "promote", min(J.SHARE_MOST, share + J.SHARE_STEP)
+            state["snapshot"], state["stable"] = state["stable"], dict(state["canary"])
+        elif observed and len(ring) >= J.LEAST_REWARDS and avg[0] <= J.ROLLBACK_AT:
+            event = "rollback"
+            state["canary"], state["stable"] = dict(state["snapshot"]), dict(state["snapshot"])
+        events.append((event, share, {c: {x: round(v, 6) for x, v in t.items()} for c, t in state.items()}))
+    return events
+
+
+def test_the_policy_equals_a_loop(spark):
+    from hashlib import md5
+    from random import Random
+    rng, labels = Random(5), ["SQLi", "XSS", "Normal"]
+    bucket = lambda src: int(md5(src.encode()).hexdigest()[:8], 16) % 100
+
+    def feed(first, n, good):
+        out = []
+        for i in range(first, first + n):
+            p, t = rng.choice(labels), rng.choice(labels)
+            p = t if rng.random() < good else p
+            out.append((i, f"s{rng.randrange(300)}", p, t, 1.0 if p == t else -0.5 if "Normal" not in (p, t) else -1.0))
+        return out
+    batches = [feed(0, 12, 1.0), feed(12, 300, 0.9), feed(312, 400, 0.95), feed(712, 200, -1), [], feed(912, 60, 0.9), feed(972, 90, 0.9)]
+    batches[3] = [r for r in batches[3] if r[4] < 0]
+    modes = {0: "canary", 5: "freeze", 6: "canary"}
+    want = plain_policy(batches, labels, modes, bucket)
+    assert {"promote", "rollback", "observe"} <= {w[0] for w in want}
+    step, state = J.automaton_step(labels, modes), None
+    for k, (batch, (event, share, thresholds)) in enumerate(zip(batches, want, strict=True)):
+        df = spark.createDataFrame(batch, "seq long, src string, predicted string, true_label string, reward double")
+        before = state
+        for _ in range(2 if k == 3 else 1):  # a batch that is run again gives the same state
+            rows, state = step(df, k, before)
+        got = rows.collect()
+        assert {(r.event, r.share) for r in got} == {(event, share)}
+        for c, t in thresholds.items():
+            assert {r.label: round(r[c], 6) for r in got} == t, (k, c)
+
+
+def test_the_review_brings_a_rollback(spark):
+    rows = {(r.batch, r.event) for r in entry.queries()["str_policy_automaton"](spark, SF).collect()}
+    assert (2, "rollback") in rows and (4, "observe") in rows

@@ -85,3 +85,19 @@ def test_rescue_branches(spark):
     df = frame(spark, [t for t, _ in rows]).select("id", F.col("t").alias("raw"), F.col("t").alias("norm"), F.lit(1).alias("depth"))
     got = [r.rescue_label for r in add_scores(df, "rescue_label").orderBy("id").collect()]
     assert got == [w for _, w in rows]
+
+
+def test_trigram_vectors_equal_a_loop():
+    import numpy as np
+    import pandas as pd
+
+    from paysieve.functions import features as X
+    texts = ["", None, "ab", "abc", "Select select İx \U0001f600\U0001f600\U0001f600 ﬀ", "a b ccc ccc"]
+    got = X.embed_texts(pd.Series(texts, dtype=object))
+    for t, row in zip(texts, got, strict=True):
+        low, want = (t or "").lower(), np.zeros(X.EMBED_DIM)
+        for i in range(len(low) - 2):
+            want[X.hash_bucket(low[i:i + 3])] += 1.0
+        for w in low.split():
+            want[X.hash_bucket(w)] += 0.5 * (len(w) >= 3)
+        assert np.allclose(row, want / max(np.linalg.norm(want), 1e-8))
