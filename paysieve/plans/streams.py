@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paysieve.fixtures import table, template_table
+from paysieve.fixtures import payload_rows, table, template_table
 from paysieve.functions import rules as R
 from paysieve.operators.memory import DUPLICATE
 from paysieve.plans.evaluate import feedback, predictions, reward
@@ -87,7 +87,7 @@ FEEDS, REVIEWED, FROZEN_FROM = 5, 2, 4
 def policy_feeds(spark, sf):
     """Feedback in five parts of the ids.  The third comes from a review that only files errors of the undecoded verdict."""
     p = predictions(spark, sf)
-    p = p.crossJoin(F.broadcast(p.agg((F.max("row_id") + 1).alias("end_")))).withColumn("feed", F.floor(F.col("row_id") * FEEDS / F.col("end_")))
+    p = p.crossJoin(F.broadcast(payload_rows(spark, sf).agg((F.max("row_id") + 1).alias("end_")))).withColumn("feed", F.floor(F.col("row_id") * FEEDS / F.col("end_")))
     review = F.col("feed") == REVIEWED
     p = p.withColumn("pred", F.when(review, F.col("pred0")).otherwise(F.col("pred"))).filter(~review | (F.col("pred") != F.col("label")))
     return p.select("feed", F.col("row_id").alias("seq"), "src", F.col("pred").alias("predicted"), F.col("label").alias("true_label"), reward().alias("reward"))
