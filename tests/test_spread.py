@@ -67,3 +67,11 @@ def test_byte_grid_holds_a_bounded_number_of_grids():
     assert all((picked[c].to_numpy() == one_by_one[c].to_numpy()).all() for c in ("edge", "high", "mean", "std"))
     assert len(next(X.byte_grid.func(iter([texts[:0]])))) == 0
     assert peak < len(texts) * 2048 * 8
+
+
+def test_series_of_one_query_is_not_taken_for_another_location(spark):
+    from paysieve.operators.decide import add_series
+    df = spark.createDataFrame([("a'--", 1, "cookie")], "norm string, depth int, location string")
+    first = add_series(df, F.col("location")).select("series").first()[0]
+    second = add_series(df.drop("location"), F.lit("query")).select("series").first()[0]
+    assert [b for a, b in zip(first, second) if a != b] == [1.0]
