@@ -75,3 +75,35 @@ def test_series_of_one_query_is_not_taken_for_another_location(spark):
     first = add_series(df, F.col("location")).select("series").first()[0]
     second = add_series(df.drop("location"), F.lit("query")).select("series").first()[0]
     assert [b for a, b in zip(first, second) if a != b] == [1.0]
+
+
+def dense_moments(t):
+    import numpy as np
+    b = np.frombuffer((t or "").encode("utf-8"), dtype=np.uint8)
+    cells = np.zeros(2048)
+    for i in range(min(b.size, 2048)):
+        cells[i] = b[i::2048].mean() / 255.0
+    g = cells.reshape(32, 64)
+    blocks = g.reshape(8, 4, 16, 4).mean(axis=(1, 3)).reshape(-1)
+    vec = np.concatenate([[cells.mean(), cells.std(), (cells > 0.6).mean(), (cells < 0.05).mean()], blocks])[:64]
+    return vec / np.linalg.norm(vec), np.abs(np.diff(g, axis=1)).sum() / 2048, (cells > 0.8).mean()
+
+
+def test_byte_grid_visits_only_the_filled_cells():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from paysieve.functions import features as X
+    texts = [None, "", "a", "z" * 64, "z" * 65, "ÿ" * 63, "x" * 2047, "y" * 2048, "é" * 1500, "%41" * 3000, "id=1' or 1=1 --"]
+    found = X.grid_moments(pd.Series(texts))
+    for i, t in enumerate(texts):
+        vec, edge, high = dense_moments(t)
+        assert np.allclose(found.vec[i], vec, atol=1e-12) and np.allclose([found.edge[i], found.high[i]], [edge, high], atol=1e-12), t
+    short = pd.Series([f"id={i}" for i in range(X.GRID_ROWS)])
+    tracemalloc.start()
+    X.grid_moments(short)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < X.GRID_ROWS * 2048 * 8 / 4
