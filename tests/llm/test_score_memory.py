@@ -25,3 +25,18 @@ def test_peak_of_a_batch_and_scores_by_group():
     assert peak < 64 << 20
     alone = [X.Scorer(net).scores([t])[0] for t in [*rows[:20], *rows[-3:]]]
     assert np.allclose([*got[:20], *got[-3:]], alone, atol=1e-6)
+
+
+def test_rows_and_projections_are_held_once():
+    words = [f"word{i}" for i in range(50_000)]
+    tracemalloc.start()
+    rows = X.rows_of(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * rows.nbytes and rows[7].tolist() == X.word_rows("word7") and X.rows_of([]).shape == (0, len(X.PREFIXES) + 1)
+    scorer = X.Scorer(X.TextCnn())
+    scorer._group([words[:10]])
+    kept = scorer.shares
+    scorer._group([words[5:30_000]])
+    assert scorer.shares is kept and len(scorer.index) == 30_000
+    assert np.allclose(kept[:10], scorer.net.project(X.rows_of(sorted(words[:10]))))
