@@ -41,6 +41,7 @@ MIN_ESTIMATE = 0.67  # the standard error of the estimate is about 0.023 at 0.75
 HUBS = 2
 BLOCK = 4000  # members of a bucket, or of a block of hubs, per salt
 HUB_BLOCK = 512  # hubs whose sets a task holds while members pass
+LINKS_PER_TASK = 100_000  # in a star step
 BROADCAST_BYTES = 32 << 20
 WORDS64 = SKETCH_BITS // 64
 SKETCH = [f"s{i}" for i in range(WORDS64)]
@@ -185,15 +186,21 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return saved(met.mapInArrow(_confirm_batches, "x long, y long").select(*_pair("x", "y")).distinct())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (u, v): v's side hangs on the smallest node that u sees."""
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
+    """One star step over edges (u, v): v's side hangs on the smallest node that u sees.
+
+    Its stages have ``tasks`` tasks, or twice as many, whatever the number of shuffle partitions: steps are many and links
+    short, and the driver keeps metrics of every task.
+    """
     if large:
         sides = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+        hung = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return hung.coalesce(tasks).distinct().coalesce(tasks)
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    least = down.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+    hung = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return hung.coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,7 +212,8 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         seen = state
-        edges = saved(_star(_star(edges, True).distinct(), False).distinct())
+        tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-state[0] // LINKS_PER_TASK))
+        edges = saved(_star(_star(edges.coalesce(tasks), True, tasks), False, tasks))
 
 
 def _differing(a: str, b: str) -> Column:
