@@ -78,3 +78,15 @@ def test_the_cascade_is_one_step_of_the_plan(spark):
     from paysieve.operators.decide import decide_parts
     plan = decide_parts(frame(spark), ["id"], "fin_label", "fin_conf", "fin_mal")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "rp_SQLi" not in plan and "lf_XSS" not in plan
+
+
+def test_request_scores_are_batches_and_texts_stay_behind_the_join(spark, monkeypatch):
+    from paths import SF
+
+    from paysieve.plans import explain
+    verdicts = spark.createDataFrame([(1, "SQLi", 0.5, True)], "req_id long, pred string, conf double, mal boolean")
+    monkeypatch.setattr(explain, "request_verdicts", lambda spark, sf: verdicts)
+    for run in (explain._flip, explain._boost, explain._resc):
+        plan = run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "rp_SQLi" not in plan and "an_raw_low" not in plan
+    assert not {"enc", "raw"} & set(explain.request_frame(spark, SF, shape=F.col("enc").contains("x")).columns)
