@@ -107,3 +107,18 @@ def test_byte_grid_visits_only_the_filled_cells():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < X.GRID_ROWS * 2048 * 8 / 4
+
+
+def test_a_batch_of_one_row_group_is_spread(spark, tmp_path, monkeypatch):
+    from paysieve.plans import decide
+    from paysieve.plans.streams import payload_stream
+    from paysieve.streaming import jobs
+    n, seen = 4000, []
+    spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 7).alias("user_id")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+
+    def verdicts(rows, *same):
+        seen.append(rows_per_task(rows))
+        return rows.select(*same, F.lit("SQLi").alias("pred"), F.lit(True).alias("mal"), F.lit(1.0).alias("conf"))
+    monkeypatch.setattr(decide, "gated_verdicts", verdicts)
+    assert jobs.alerts(payload_stream(spark, str(tmp_path))).count() == n
+    assert sum(map(sum, seen)) == n and max(map(max, seen)) <= n / 4
